@@ -9,18 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, a laptop) a temporary folder is made
-    and put into the session, so later calls agree.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary folder is
+    made, one for each application.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR"))
-        spark.conf.set(CHECKPOINT_KEY, named)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        named = _own[app]
     return named.rstrip("/")
 
 
@@ -34,3 +37,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keep Arrow batches small, so that a batch of very long texts still fits a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
