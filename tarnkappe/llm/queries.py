@@ -26,14 +26,56 @@ def op3_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive_query(spark, _table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op4_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.chat import chat_query
+
+    return chat_query(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.warc import warc_query
+
+    return warc_query(spark, _table(spark, sf_dir, "pages"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.mixing import mix_query
+
+    return mix_query(_table(spark, sf_dir, "documents"))
+
+
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.syncmers import fingerprint_query
+
+    return fingerprint_query(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnkappe.llm.packing import pack_query
 
     return pack_query(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.quality import quality_query
+
+    return quality_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.lm import lm_query
+
+    return lm_query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_token_archive": op3_token_archive,
+    "op4_chat_examples": op4_chat_examples,
+    "op5_warc_archive": op5_warc_archive,
+    "op6_source_mix": op6_source_mix,
+    "op7_syncmers": op7_syncmers,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
