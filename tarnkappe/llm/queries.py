@@ -20,6 +20,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.forest import forest_query
+
+    return forest_query(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnkappe.llm.tokens import token_archive_query
 
@@ -69,6 +81,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_prefix_forest": op1_prefix_forest,
+    "op2_minhash": op2_minhash,
     "op3_token_archive": op3_token_archive,
     "op4_chat_examples": op4_chat_examples,
     "op5_warc_archive": op5_warc_archive,
