@@ -175,6 +175,21 @@ def links(docs: DataFrame, texts: DataFrame, width: int, percent: int, k: int =
     return placed.join(sets, "h").groupBy("pivot", "i", "j").applyInArrow(join, "a long, b long")
 
 
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, tie (hash of the text), n_shingles and component_id of every row."""
+    small_batches(docs.sparkSession)
+    rows = sketched(docs, width)
+    able = rows.filter(F.col("doc_id").isNotNull())
+    roots = components(links(able, docs.filter(F.col("doc_id").isNotNull()), width, percent))
+    classes = able.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("low"))
+    rooted = classes.join(roots, classes["h"] == roots["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    named = rooted.join(least, "root").select("h", "component")
+    out = rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles")).join(named, "h", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -184,15 +199,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are judged each by its own text. Rows without doc_id are linked with nothing, have no component and are kept. Other
     columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = sketched(docs, width)
-    able = rows.filter(F.col("doc_id").isNotNull())
-    roots = components(links(able, docs.filter(F.col("doc_id").isNotNull()), width, percent))
-    classes = able.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("low"))
-    rooted = classes.join(roots, classes["h"] == roots["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(least, "root").select("h", "component")
-    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles")).join(named, "h", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows = _judged(docs, width, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each component: that of its smallest doc_id.
+
+    Of rows that repeat this id one stays. Texts without shingles stay, one row for each id, and so do all rows without
+    doc_id.
+    """
+    judged = _judged(docs, width, percent).filter(F.col("component_id").isNotNull())
+    stays = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie"))
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    named = docs.join(stays, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__tie")))
+    nth = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy("__id"))
+    return named.withColumn("__nth", nth).filter("__nth = 1").select(*names).unionByName(docs.filter(F.col("doc_id").isNull()))
