@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnkappe.llm import oracles
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,4 +94,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_lm_scores": op10_lm_scores,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_minhash": oracles.OP2, "op4_chat_examples": oracles.OP4, "op5_warc_archive": oracles.OP5}
