@@ -24,16 +24,20 @@ ROWS = "part int, before long, doc_id long, n_tokens long, ids array<int>"
 
 
 class _Memo(dict):
-    """Encoded pieces; emptied when it holds ``most``, so a worker's memory is bounded."""
+    """Encoded pieces in two generations of ``most`` at most, so a worker's memory is bounded and frequent pieces stay."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 350_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[piece] = made = self.make(piece)
+        made = self.older.pop(piece, None)
+        if made is None:
+            made = self.make(piece)
+        self[piece] = made
         return made
 
 
