@@ -57,10 +57,10 @@ def pseudonymise(units: DataFrame, names: DataFrame, options: Options = Options(
     spread = linking.propagate(tok, linking.owned_parts(linked), taken.unionByName(linked.select("doc_id", "unit_id", "start", "end")))
     single = F.array(F.struct(F.lit("word").alias("kind"), "start", "end", (F.col("end") - F.char_length("suffix")).cast("int").alias("stem_end"), "key", F.lit(False).alias("first"), F.lit(False).alias("last"), F.lit(False).alias("ambiguous"), F.lit(True).alias("known"), F.lit(False).alias("shaped")))
     more = spread.select("doc_id", "unit_id", "start", "end", "certainty", "suffix", F.lit(False).alias("titled"), "off", F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("surname"), F.col("key").alias("single"), single.cast(linked.schema["parts"].dataType).alias("parts"), "entity", F.lit(None).cast("string").alias("link"))
-    persons = linked.drop("own").unionByName(more).join(units, ["doc_id", "unit_id"])
+    persons = written(linked.drop("own").unionByName(more).join(units, ["doc_id", "unit_id"]), "persons")
     words = linking.placeholder_words(units)
     blocked = linking.reserved(words)
-    letters = linking.letters(persons.select("doc_id", "entity", "unit_id", "start"), blocked if options.mode == "person" else None)
+    letters = written(linking.letters(persons.select("doc_id", "entity", "unit_id", "start"), blocked if options.mode == "person" else None), "letters")
     surface = F.substr("text", F.col("start") + 1, F.col("end") - F.char_length("suffix") - F.col("start"))
     shown = linking.display_forms(persons.withColumn("surface", surface)).join(letters, ["doc_id", "entity"])
     persons = persons.join(letters, ["doc_id", "entity"])
@@ -83,7 +83,7 @@ def pseudonymise(units: DataFrame, names: DataFrame, options: Options = Options(
         whole = active.filter("kind <> 'person'").join(units, ["doc_id", "unit_id"])
         stem_end = F.col("end") - F.when(F.col("suffix").rlike(r"\p{Lu}"), 0).otherwise(F.char_length("suffix"))
         rest = whole.select("doc_id", "unit_id", "start", stem_end.alias("end"), F.coalesce(F.element_at(base, F.col("kind")), F.concat_ws(" ", F.lit("Einrichtung"), "letter")).alias("base"), F.substr("text", F.col("start") + 1, stem_end - F.col("start")).alias("value"))
-        placed = reversible.numbered(parts.select("doc_id", "unit_id", "start", "end", "base", "value").unionByName(rest), blocked)
+        placed = written(reversible.numbered(parts.select("doc_id", "unit_id", "start", "end", "base", "value").unionByName(rest), blocked), "placed")
         key = reversible.restore_key(placed)
         swaps = placed.select("doc_id", "unit_id", "start", "end", F.col("placeholder").alias("label"))
     else:
