@@ -2,7 +2,7 @@
 
 A tree is a sorted array of long hash strings, one bit for each random direction. A query goes down all trees to its
 longest prefix matches, whose length varies with the data, and then up in all trees at once, one bit at a time, until
-the entries that share the prefix are a given part of the trees' entries. These candidates get exact distances.
+the entries that share the prefix are as many as a given part of the vectors. These candidates get exact distances.
 
 The vectors are dealt out by a hash of their id into shards of bounded size, each with a forest of its own. Query
 vectors are a stated set; they go to every shard in blocks of bounded size. A shard returns its nearest for each query
@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Trees, bits of a hash string, and the part of the entries to look at. Vectors without any structure, as in high
+#: Trees, bits of a hash string, and how many entries to look at, as a part of the vectors. Vectors without any structure, as in high
 #: dimensions at random, need this much for a recall above 0.9; in clustered ones the prefixes find it sooner.
-TREES, BITS, PART = 48, 32, 0.5
+TREES, BITS, PART = 48, 32, 0.8
 SHARD, QUERIES = 8192, 4096
 
 
@@ -52,7 +52,7 @@ class Forest:
         return out
 
     def candidates(self, queries: np.ndarray, least: int):
-        """For each query the places of its candidates: at the longest prefix for which all trees' entries number ``least``."""
+        """For each query the places of its candidates: at the longest prefix that at least ``least`` entries of all trees share."""
         strings = self.strings(queries)
         n, low, high = len(queries), None, None
         begin, end = np.zeros((n, self.trees), np.int64), np.full((n, self.trees), len(self.vectors))
@@ -95,9 +95,9 @@ def _search(k: int, trees: int, bits: int, part: float):
         ids, vectors = ids[order], vectors[order]
         asked, points = queries["id"].to_numpy(), _matrix(queries["vector"])
         forest = Forest(vectors, trees, bits)
-        least = trees * max(math.ceil(part * len(ids)), min(len(ids), 20 * k))
+        least = math.ceil(part * len(ids)) + trees if len(ids) > 100 * k else trees * len(ids)  # the query is in each tree
         found: list[list] = [[], [], []]
-        for q, point, places in zip(asked, points, forest.candidates(points, min(least, trees * len(ids)))):
+        for q, point, places in zip(asked, points, forest.candidates(points, least)):
             places = places[ids[places] != q]
             away = vectors[places] - point
             score = np.sqrt(np.einsum("nd,nd->n", away, away))
@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     Distances are Euclidean, of doubles; ties go to the smaller id; a query gets fewer if there are fewer candidates.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no part. Vectors
     meet only those of their own dimension. Rows that repeat an id count once, the first by its components, as query
-    too. Small shards are looked at whole. Other columns are ignored; an empty table gives no rows.
+    too. Shards of at most 100 * ``k`` vectors are looked at whole. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", F.col("raw").cast("array<double>").alias("vector"), F.size("raw").alias("dim"), "asks")
