@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from tarnkappe.llm.components import components
 from tarnkappe.session import small_batches, written
 
 K = 48
-#: Members of a block.
-BLOCK = 256
+#: Members of a block, of those with sketches (of fixed size) and of those with full sets.
+SKETCHES, BLOCK = 4096, 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -145,14 +146,47 @@ def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent:
     return links
 
 
-def links(docs: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K) -> DataFrame:
-    """(a, b): verified links between classes, enough to join all that are linked."""
-    met = gatherings(docs, percent, k)
-    counts = met.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
+def _dealt(met: DataFrame, block: int) -> DataFrame:
+    """(pivot, h, block, i, j): the members of gatherings of two and more, each at every pair of blocks that its own is part of."""
+    counts = met.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
     placed = met.join(counts, "pivot").withColumn("block", F.pmod(F.xxhash64("h", "pivot"), F.col("blocks")).cast("int"))
-    # a block goes to every pair of blocks that it is part of
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    placed = placed.select("pivot", "h", "block", F.explode(pairs).alias("at")).select("pivot", "h", "block", "at.i", "at.j")
+    return placed.select("pivot", "h", "block", F.explode(pairs).alias("at")).select("pivot", "h", "block", "at.i", "at.j")
+
+
+def _partnered(sketches: list[np.ndarray], sizes: np.ndarray, percent: int, k: int) -> np.ndarray:
+    """Which members have a partner that they may be alike with, by size and equal sketch values."""
+    kept = np.array([len(s) for s in sketches])
+    codes = np.unique(np.concatenate(sketches), return_inverse=True)[1]
+    ends = np.concatenate([[0], np.cumsum(kept)])
+    mark, found = np.zeros(int(codes.max()) + 1, bool), np.zeros(len(sketches), bool)
+    for i in range(len(sketches)):
+        own = codes[ends[i] : ends[i + 1]]
+        mark[own] = True
+        equal = np.add.reduceat(mark[codes], ends[:-1])
+        mark[own] = False
+        partner = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (16 * equal >= 9 * np.minimum(kept, kept[i]))
+        partner[i] = False
+        found[i] = partner.any()
+    return found
+
+
+def alike(docs: DataFrame, met: DataFrame, percent: int, k: int = K) -> DataFrame:
+    """The rows of gatherings whose sketches leave them a partner."""
+
+    def look(table: pa.Table) -> pa.Table:
+        flat, ends = pc.list_flatten(table["sketch"].combine_chunks()).to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(table["sketch"]).to_numpy())])
+        found = _partnered([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], table["n"].to_numpy(), percent, k)
+        return table.select(["pivot", "h"]).filter(pa.array(found))
+
+    one = docs.filter("n > 0").join(_dealt(met, SKETCHES).select("h").distinct(), "h").groupBy("h").agg(F.min(F.struct("row", "n", "sketch")).alias("s")).select("h", "s.n", "s.sketch")
+    return _dealt(met, SKETCHES).join(one, "h").groupBy("pivot", "i", "j").applyInArrow(look, "pivot long, h long").distinct()
+
+
+def links(docs: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K) -> DataFrame:
+    """(a, b): verified links between classes, enough to join all that are linked."""
+    met = written(alike(docs, gatherings(docs, percent, k), percent, k), "minhash-alike")
+    placed = _dealt(met, BLOCK)
     needed = placed.select("h").distinct()
     one = docs.join(needed, "h").groupBy("h").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select("h", "one.*")
 
