@@ -25,7 +25,7 @@ from tarnkappe.session import small_batches, written
 
 K = 48
 #: Members of a block, of those with sketches (of fixed size) and of those with full sets.
-SKETCHES, BLOCK = 4096, 256
+SKETCHES, BLOCK = 4096, 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
