@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnkappe.llm.common import WORD
 from tarnkappe.llm.components import components
 from tarnkappe.session import small_batches, written
 
@@ -210,7 +211,10 @@ def links(docs: DataFrame, texts: DataFrame, width: int, percent: int, k: int =
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, tie (hash of the text), n_shingles and component_id of every row."""
+    """doc_id, tie (hash of the text), n_shingles, component_id and root (what the row's text is linked with) of every row.
+
+    Rows of one doc_id with unlike texts have that doc_id as component all of them, but roots of their own.
+    """
     small_batches(docs.sparkSession)
     rows = sketched(docs, width)
     able = rows.filter(F.col("doc_id").isNotNull())
@@ -218,10 +222,10 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = able.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("low"))
     rooted = classes.join(roots, classes["h"] == roots["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(least, "root").select("h", "component")
+    named = rooted.join(least, "root").select("h", "root", "component")
     out = rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles")).join(named, "h", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), "root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -238,14 +242,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, one for each component: that of its smallest doc_id.
+    """The rows of ``docs``, all columns, one for each group of texts that are linked: that of the smallest doc_id.
 
-    Of rows that repeat this id one stays. Texts without shingles stay, one row for each id, and so do all rows without
-    doc_id.
+    Texts are linked, not ids: of rows of one doc_id with unlike texts each counts in its own text's group. Where the
+    smallest doc_id has several texts of the group, the smallest hash of the text stays, and of equal rows one. Texts
+    without shingles are linked with nothing: all their rows stay, and so do all rows without doc_id.
     """
-    judged = _judged(docs, width, percent).filter(F.col("component_id").isNotNull())
-    stays = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie"))
+    judged = _judged(docs, width, percent).filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    stays = judged.groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie"))
     names = [F.col(f"`{n}`") for n in docs.columns]
-    named = docs.join(stays, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__tie")))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    named = docs.filter(~alone).join(stays, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__tie")))
     nth = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy("__id"))
-    return named.withColumn("__nth", nth).filter("__nth = 1").select(*names).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return named.withColumn("__nth", nth).filter("__nth = 1").select(*names).unionByName(docs.filter(alone))

@@ -71,6 +71,13 @@ def test_odd_tables(spark):
     assert sorted(map(str, ((r.doc_id, r.component_id, r.kept) for r in got))) == sorted(map(str, [(1, 1, True), (1, 1, True), (None, None, True), (2, 1, False), (3, 3, True)]))
 
 
+def test_one_of_each_goes_by_text_not_by_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, one), (5, two), (12, two + " end"), (13, one), (7, one), (5, ""), (5, None), (8, " \t"), (None, two), (5, one)]
+    got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, one), (5, two), (5, ""), (5, None), (8, " \t"), (None, two)]))
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(0, 60).selectExpr("(id * 37) % 61 as a", "((id + 1) * 37) % 61 as b").union(spark.sql("select 100L, 101L union all select 101L, 100L union all select 7L, 7L"))
     got = {r.node: r.root for r in components(chain).collect()}
