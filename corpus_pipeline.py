@@ -23,13 +23,16 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often and in the order as the mix takes them; a document may come twice."""
+    """The documents as often and in the order as the mix takes them; a document may come twice.
+
+    Written, the order is that of the files' numbers and of the rows in a file.
+    """
     return mixing.in_training_order(docs, mixing.mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 1024-token sequences, with their ids."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, length=1024)
+    """Pieces of 1024-token sequences, with their ids; ``docs`` are read from files and packed in the order of these."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, length=1024, runs=packing.file_runs(docs))
 
 
 STAGES = [("quality", quality_stage), ("dedup", dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -101,7 +101,7 @@ def in_training_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
     words = F.filter(F.split("row.text", GAP), lambda w: w != "")
     text = F.when(F.col("copy.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("copy.words").cast("int")), " ")).otherwise(F.col("row.text"))
     out = joined.withColumn("text", text).withColumn("position", F.col("copy.position"))
-    out = out.repartitionByRange("position", "id").sortWithinPartitions("position", "id", F.col("copy.pass"))
+    out = out.repartitionByRange("position", "id").sortWithinPartitions("position", "id", "t", F.col("copy.pass"))
     return out.select(*[F.col("text") if n == "text" else F.char_length("text").cast("long").alias(n) if n == "n_chars" else F.col(f"row.`{n}`").alias(n) for n in names])
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnkappe.llm.common import exclusive_totals
@@ -46,22 +46,35 @@ def _cut(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def file_runs(docs: DataFrame) -> Column:
+    """Names for the pieces of files that a table just read is scanned by, ascending in the order the rows were written.
+
+    A writer's partitions are the numbers in the files' names, and a piece holds a file's rows from its offset on. The
+    scan deals pieces to partitions by length, so the order of partitions isn't that of the rows.
+    """
+    file = docs.metadataColumn("_metadata")
+    digits = lambda n: F.lpad(n.cast("string"), 20, "0")
+    number = F.coalesce(F.regexp_extract(file["file_name"], "^part-([0-9]+)", 1).try_cast("long"), F.lit(0))
+    return F.concat_ws("/", digits(number), file["file_path"], digits(file["file_block_start"]))
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, id_col: str = "doc_id", text_col: str = "text", runs: Column | None = None) -> DataFrame:
     """The pieces of all documents in sequences of ``length`` ids; ``ids`` are little-endian 32-bit integers.
 
     Each document's ids are followed by ``end_id``. Every sequence but the last is full; only that needs padding. Null
     texts are empty (a piece with the end id alone), repeated rows are packed each, other columns are ignored, an empty
-    table gives no pieces. The vocabulary must have at most 65,536 ids, for they are kept in 16 bits between the passes.
+    table gives no pieces. Documents follow each other by partition; with ``runs``, a string that names the run of rows
+    a row is in (see ``file_runs``), by that name and inside a run in the order of the rows. The vocabulary must have at most 65,536 ids, for they are kept in 16 bits between the passes.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "part int, before long, doc_id long, n_tokens long, ids binary"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([] if runs is None else [runs.alias("run")]))
+    schema = f"part {'int' if runs is None else 'string'}, before long, doc_id long, n_tokens long, ids binary"
     path = new_folder(spark, "packing")
     rows.mapInArrow(_as_rows(tokenizer, end_id, narrow=True), schema).write.option("compression", "zstd").parquet(path)
     encoded = spark.read.schema(schema).parquet(path)
     totals = encoded.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("total"))
-    # one row for each partition: small whatever the texts are
+    # one row for each partition or run: small whatever the texts are
     starts = exclusive_totals(totals, "part", "total", "base")
     placed = encoded.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("before")).alias("place"), "n_tokens", "ids")
     return placed.mapInArrow(_cut(length), PIECES)

@@ -108,29 +108,41 @@ def encoder(path: str) -> Encoder:
 
 
 def _as_rows(path: str, end_id: int, narrow: bool):
-    """A function for mapInArrow: rows as in ROWS, or with binary ids of 16 bits each."""
+    """A function for mapInArrow: rows as in ROWS, or with binary ids of 16 bits each.
+
+    ``part`` is the partition's number. If there is a third column it names the run of rows that a row belongs to;
+    ``part`` then has that name and ``before`` counts inside the run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
 
-        enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(path), TaskContext.get().partitionId(), {}
         end = struct.pack("<I", end_id)
         for batch in batches:
             found = [enc.encode(x or "") + end for x in batch.column(1).to_pylist()]
             sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
             ids = np.frombuffer(b"".join(found), dtype="<u4")
             ends = np.concatenate([[0], np.cumsum(sizes)])
+            parts = batch.column(2) if batch.num_columns > 2 else pa.array(np.full(len(sizes), part, np.int32))
+            place = np.empty(len(sizes), np.int64)
+            runs = parts.dictionary_encode()
+            codes = runs.indices.to_numpy(zero_copy_only=False)
+            for code, run_name in enumerate(runs.dictionary.to_pylist()):
+                own = codes == code
+                up = np.cumsum(sizes[own])
+                place[own] = before.get(run_name, 0) + up - sizes[own]
+                before[run_name] = before.get(run_name, 0) + int(up[-1])
             if narrow:
                 wide = ids.astype("<u2").tobytes()
                 column = pa.array([wide[2 * a : 2 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
             else:
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype("<i4")))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sizes), part, np.int32)), pa.array(before + ends[:-1]), batch.column(0).cast(pa.int64()), pa.array(sizes), column],
+                [parts, pa.array(place), batch.column(0).cast(pa.int64()), pa.array(sizes), column],
                 ["part", "before", "doc_id", "n_tokens", "ids"],
             )
-            before += int(ends[-1])
 
     return run
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
-from tarnkappe.llm import quality, queries, tokens
+from tarnkappe.llm import mixing, quality, queries, tokens
 from tests.llm.test_minhash import by_hand
 from tests.llm.test_mixing_chat import targets_by_hand
 
@@ -62,3 +62,44 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert [n for s, n in sorted(runs.items())][:-1] == [1024] * (len(runs) - 1)
     whole = corpus_pipeline.run(spark, folder)
     assert sum(p.length for p in whole.collect()) == sum(p.length for p in pieces)
+
+
+def test_packing_keeps_the_order_over_files(spark, tmp_path):
+    """Files of rising and falling lengths, each cut into several pieces, dealt to partitions by length."""
+    r = np.random.default_rng(9)
+    text = lambda n: " ".join("".join(r.choice(list("etaoinsh"), 7)) for _ in range(n))
+    rows = [(i, text(3 + 60 * (i // 40 % 3)), "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    path = f"file://{tmp_path}/mixed"
+    docs.repartitionByRange(10, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", "4096").option("parquet.page.size", "1024").parquet(path)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for cut in ("5000", "30000", "100000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            pieces = corpus_pipeline.packing_stage(spark, spark.read.parquet(path), "").collect()
+        finally:
+            for k, v in held.items():
+                spark.conf.set(k, v)
+        starts = sorted((p.sequence_id, p.offset, p.doc_id) for p in pieces if p.start == 0)
+        assert [d for _, _, d in starts] == list(range(400)), cut
+
+
+def test_written_mix_is_packed_by_position(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i * 7 % 90)), "en", f"s{i % 3}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    positions = {}
+    for m in mixing.mix(docs).collect():
+        for c in m.copies:
+            positions.setdefault(m.doc_id, []).append(c.position)
+    path = f"file://{tmp_path}/mixed"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mixing_stage(spark, docs, "").write.parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 1
+    pieces = corpus_pipeline.packing_stage(spark, spark.read.parquet(path), "").collect()
+    order = [p.doc_id for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)) if p.start == 0]
+    want = [d for _, d in sorted((x, d) for d, xs in positions.items() for x in xs)]
+    assert order == want
