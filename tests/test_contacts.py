@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tarnkappe.functions import text as T
 from tarnkappe.operators import contacts as C
+from tarnkappe.plans import catalog
 
 CASES = [
     ("Mail an anna.b@schule-x.de, bitte", [("email", "anna.b@schule-x.de", "certain")]),
@@ -34,6 +36,21 @@ def test_masking_and_switches(spark):
     assert only.masked == "😀 [E-MAIL] und 0341 1234567!"
 
 
+def test_mask_contacts_by_hand(spark, tmp_path):
+    rows = [(i, t) for i, (t, _) in enumerate(CASES)] + [(100, " | ".join(t for t, _ in CASES if t))]
+    want = {}
+    for i, text in rows:
+        spans = [s for _, found in CASES for s in found] if i == 100 else CASES[i][1]
+        masked = text
+        for kind, part, _ in spans:
+            masked = masked.replace(part, {"email": "[E-MAIL]", "phone": "[TELEFON]", "iban": "[IBAN]", "address": "[ADRESSE]"}[kind], 1)
+        want[i] = (*[sum(s[0] == kind for s in spans) for kind in ("email", "phone", "iban", "address")], masked)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["mask_contacts"](spark, f"file://{tmp_path}").collect()
+    assert {r.doc_id: (r.n_email, r.n_phone, r.n_iban, r.n_address, r.masked) for r in got} == want and len(got) == len(rows)
+    assert {"n_email", "n_phone", "n_iban", "n_address", "masked"} < set(entry.entry(spark).columns)
+
+
 @pytest.mark.parametrize("word,key", [("Müller", "muller"), ("Yılmaz", "yilmaz"), ("Łukasz", "lukasz"), ("Groß", "gross"), ("D’Angelo", "d'angelo"), ("Nguyễn", "nguyen"), ("abc-d'e", "abc-d'e"), ("Ὀδυσσεύς", "οδυσσευς")])
 def test_fold(spark, word, key):
     assert spark.createDataFrame([(word,)], "w string").select(T.fold(F.col("w"))).first()[0] == key
