@@ -58,17 +58,14 @@ def is_allcaps(word: Column) -> Column:
 
 
 def letter_for(n: Column) -> Column:
-    """0 is A, 25 is Z, 26 is AA: a bijective numeral of base 26 with one to four letters."""
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-
-    def digit(x: Column) -> Column:
-        return F.substr(alphabet, (x % 26 + 1).cast("int"), F.lit(1))
-
-    left, out = n, F.lit("")
-    for _ in range(4):
-        out = F.when(left >= 0, F.concat(digit(F.greatest(left, F.lit(0))), out)).otherwise(out)
-        left = F.when(left >= 0, F.floor(left / 26) - 1).otherwise(left)
-    return out
+    """0 is A, 25 is Z, 26 is AA: a bijective numeral of base 26, exact for all longs from 0 (up to 14 letters)."""
+    alphabet, n, out, least = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n.cast("long"), [], 0
+    for place in range(14):
+        # numbers from ``least`` on have a letter at this place from the right
+        least += 26**place if place else 0
+        digit = F.call_function("div", n - F.lit(least).cast("long"), F.lit(26**place).cast("long")) % 26
+        out.append(F.when(n >= least, F.substr(alphabet, (digit + 1).cast("int"), F.lit(1))).otherwise(""))
+    return F.concat(*reversed(out))
 
 
 def spans(text: Column, pattern: str, kind: str | None = None) -> Column:

@@ -9,9 +9,9 @@ from tarnkappe.functions.text import apply_spans, spans
 
 #: Placeholder words of name parts and contacts.
 CONTACT_BASE = {"email": "E-MAIL", "phone": "TELEFON", "iban": "IBAN", "address": "ADRESSE"}
-NAME_PLACEHOLDER = r"(?<![\p{L}\p{N}])(?:Vorname|Nachname|Initiale|Name|Einrichtung) [A-Z]{1,3}[0-9]*(?=(?:'s|’s|'|’|s|es|ns|n)?(?![\p{L}\p{N}]))"
+NAME_PLACEHOLDER = r"(?<![\p{L}\p{N}])(?:Vorname|Nachname|Initiale|Name|Einrichtung) [A-Z]+[0-9]*(?=(?:'s|’s|'|’|s|es|ns|n)?(?![\p{L}\p{N}]))"
 CONTACT_PLACEHOLDER = r"\[(?:E-MAIL|TELEFON|IBAN|ADRESSE)-[0-9]+\]"
-LOOSE = r"(?i)(?<![\p{L}\p{N}])(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-]*[A-Z]{1,3}[0-9]*(?![\p{L}\p{N}])"
+LOOSE = r"(?i)(?<![\p{L}\p{N}])(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-]*(?!(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-])[A-Z]+[0-9]*(?![\p{L}\p{N}])"
 
 
 def name_parts(hits: DataFrame) -> DataFrame:
@@ -147,6 +147,6 @@ def changed_placeholders(units: DataFrame, key: DataFrame) -> DataFrame:
     loose = units.select("doc_id", "unit_id", F.explode(spans(F.coalesce("text", F.lit("")), LOOSE)).alias("s")).select("doc_id", "unit_id", "s.*")
     exact = found_placeholders(units).select("doc_id", "unit_id", "start", F.lit(True).alias("exact"))
     word = F.initcap(F.regexp_extract("text", r"(?i)^(Vorname|Nachname|Initiale|Name)", 1))
-    letter = F.upper(F.regexp_extract("text", r"([A-Za-z]{1,3}[0-9]*)$", 1))
+    letter = F.upper(F.regexp_extract("text", r"(?i)^(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-]*([A-Z]+[0-9]*)$", 1))
     rows = loose.join(exact, ["doc_id", "unit_id", "start"], "left").filter("exact is null").withColumn("guess", F.concat_ws(" ", word, letter))
     return rows.join(key.select("doc_id", F.col("placeholder").alias("guess")), ["doc_id", "guess"], "left_semi").select("doc_id", "unit_id", "start", "text", "guess")

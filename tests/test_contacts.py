@@ -62,6 +62,19 @@ def test_letters(spark):
     assert [r[0] for r in got] == ["A", "Z", "AA", "AS", "AZ", "ZZ", "AAA", "ZZZ"]
 
 
+def test_letters_of_all_longs(spark):
+    def by_hand(n):
+        out = ""
+        while n >= 0:
+            out, n = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[n % 26] + out, n // 26 - 1
+        return out
+
+    ns = [*range(0, 1_000_000, 9973), 18_278, 475_253, 475_254, 475_255, 12_356_630, 2**53 + 1, 2**63 - 2, 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", T.letter_for(F.col("n")).alias("l")).collect()
+    assert {r.n: r.l for r in got} == {n: by_hand(n) for n in ns}
+    assert len({r.l for r in got}) == len(set(ns))
+
+
 def test_apply_spans_drops_overlaps(spark):
     df = spark.sql("select 'abcdef' as t, array(named_struct('start',3,'end',5,'text','X'), named_struct('start',1,'end',4,'text','Y')) as r")
     assert df.select(T.apply_spans(F.col("t"), F.col("r"))).first()[0] == "aYef"

@@ -46,6 +46,14 @@ def test_reversible_round_trip(spark):
     assert [(x.doc_id, x.guess) for x in reversible.changed_placeholders(other, r.key).collect()] == [(2, "Vorname A")]
 
 
+def test_long_letters_are_restored(spark):
+    key = spark.createDataFrame([(1, "Nachname ABCD", "Weber", 1), (1, "Vorname AAAAA2", "Anna", 1)], "doc_id long, placeholder string, value string, count long")
+    texts = spark.createDataFrame([(1, 0, "Vorname AAAAA2 Nachname ABCDs Hund")], "doc_id long, unit_id int, text string")
+    assert reversible.restore(texts, key).first().restored == "Anna Webers Hund"
+    edited = spark.createDataFrame([(1, 0, "Name Vorname aaaaa2, nachname_abcd")], "doc_id long, unit_id int, text string")
+    assert sorted(x.guess for x in reversible.changed_placeholders(edited, key).collect()) == ["Nachname ABCD", "Vorname AAAAA2"]
+
+
 def test_name_mode_and_overrides(spark):
     own = spark.createDataFrame([(1, 0, 0, 11, False)], "doc_id long, unit_id int, start int, end int, on boolean")
     r = pseudonymise(units(spark, LINES[:1]), seed_names(spark), Options(mode="name"), overrides=own)
