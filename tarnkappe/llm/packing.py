@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnkappe.llm.common import exclusive_totals
-from tarnkappe.llm.tokens import _as_rows
+from tarnkappe.llm.tokens import _as_rows, binary_rows
 from tarnkappe.session import new_folder, small_batches
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -22,14 +23,11 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             place = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             size = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() for x in batch.column(3).to_pylist()]
             windows = (place + size - 1) // length - place // length + 1
             row = np.repeat(np.arange(len(size)), windows)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -37,9 +35,11 @@ def _cut(length: int):
             begin = np.maximum(sequence * length, place[row])
             end = np.minimum((sequence + 1) * length, place[row] + size[row])
             start = begin - place[row]
-            ids = [texts[r][4 * a : 4 * b] for r, a, b in zip(row, start, start + end - begin)]
+            # the pieces stand in the order of the rows, so their ids together are those of the rows
+            ids = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").astype("<u4")
+            ids = binary_rows(ids, np.concatenate([[0], np.cumsum(end - begin)]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - begin), pa.array(size[row]), pa.array(sequence), pa.array(begin - sequence * length), pa.array(ids, pa.binary())],
+                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - begin), pa.array(size[row]), pa.array(sequence), pa.array(begin - sequence * length), ids],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, id_co
     Each document's ids are followed by ``end_id``. Every sequence but the last is full; only that needs padding. Null
     texts are empty (a piece with the end id alone), repeated rows are packed each, other columns are ignored, an empty
     table gives no pieces. Documents follow each other by partition; with ``runs``, a string that names the run of rows
-    a row is in (see ``file_runs``), by that name and inside a run in the order of the rows. The vocabulary must have at most 65,536 ids, for they are kept in 16 bits between the passes.
+    a row is in (see ``file_runs``), by that name and inside a run in the order of the rows. Ids from 65,536 on are refused, for they are kept in 16 bits between the passes.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -8,10 +8,11 @@ groups by metadata, and stripes are read in parallel.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -23,24 +24,6 @@ from tarnkappe.session import new_folder, small_batches
 ROWS = "part int, before long, doc_id long, n_tokens long, ids array<int>"
 
 
-class _Memo(dict):
-    """Encoded pieces in two generations of ``most`` at most, so a worker's memory is bounded and frequent pieces stay."""
-
-    def __init__(self, make, most: int = 350_000):
-        super().__init__()
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        made = self.older.pop(piece, None)
-        if made is None:
-            made = self.make(piece)
-        self[piece] = made
-        return made
-
-
 def _byte_signs() -> dict[int, int]:
     """Byte-level models write a byte as one printable sign: itself, or the next free sign from 256."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,53 +31,123 @@ def _byte_signs() -> dict[int, int]:
     return {b: b if b in keep else next(free) for b in range(256)}
 
 
+def _gather(codes: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ``flat`` that are named by ``codes``, one behind the other, and their sizes; span c ends at ends[c + 1]."""
+    starts = ends[codes]
+    sizes = ends[codes + 1] - starts
+    upto = np.cumsum(sizes)
+    return flat[np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1])], sizes
+
+
 class Encoder:
-    """Ids of whole texts by a file of the tokenizers library, as little-endian 32-bit integers.
+    """Ids of whole texts by a file of the tokenizers library.
 
-    A text is cut at spaces, where no token of the two kinds of model spans, and each different piece is encoded once.
-    The ids are those that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
+    A batch of texts is cut at spaces and single line breaks, which no token of the two kinds of model spans; each
+    different piece falls into a line break, a word of letters and signs behind it, and each different word is encoded
+    once. The ids lie in one pool, from which a batch's are gathered. The pool is emptied before a batch if it takes more
+    than ``most`` bytes, so a worker holds that and one batch's words. The ids are those that
+    ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
     """
 
     #: Letters, then signs that no rule of these models joins to letters or to special tokens.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#()\-]*)")
-    #: A space beside white space belongs to a longer run, which must stay together.
-    RUN = re.compile(r" \s|\s ")
+    LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,!?;:*$%&#()\-"
+    PLAIN = f"^(?P<lead>\n?)(?P<word>[{LETTERS}]+)(?P<tail>[{SIGNS}]*)$"
+    #: White space beside white space is a run, which must stay together.
+    BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 160 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
+        self.model, self.most = self.tok.model, most
         self.drops_space = getattr(self.model, "end_of_word_suffix", None) is not None
         self.signs = _byte_signs()
-        self.space = chr(self.signs[32])
-        self.cores, self.tails = _Memo(self._core), _Memo(self._any)
-        self.first, self.next = _Memo(lambda p: self._piece("", p)), _Memo(lambda p: self._piece(" ", p))
-
-    def _any(self, text: str) -> bytes:
-        ids = self.tok.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _core(self, core: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(core)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, lead: str, piece: str) -> bytes:
-        plain = self.PLAIN.fullmatch(piece)
-        if not plain:
-            return self._any(lead + piece) if piece or not self.drops_space else b""
-        core, tail = plain.groups()
+        self.space = "" if self.drops_space else chr(self.signs[32])
+        self._clear()
+
+    def _clear(self) -> None:
+        #: code 0 is the empty span
+        self.flat, self.ends, self.held = array("i"), array("q", [0, 0]), 0
+        self.words: dict[str, dict[str, int]] = {"": {}, self.space: {}}
+        self.others: dict[str, int] = {"": 0}
+
+    def _put(self, ids: list[int], piece: str) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        self.held += 200 + len(piece) + 4 * len(ids)
+        return len(self.ends) - 2
+
+    def _word_codes(self, words: list[str], sign: str) -> list[int]:
+        known, tokenize, signs = self.words[sign], self.model.tokenize, self.signs
+        for word in words:
+            if word not in known:
+                key = word if word.isascii() else word.encode().decode("latin-1").translate(signs)
+                known[word] = self._put([t.id for t in tokenize(sign + key)], word)
+        return list(map(known.__getitem__, words))
+
+    def _other_code(self, piece: str) -> int:
+        """Any text, by the library."""
+        if piece not in self.others:
+            self.others[piece] = self._put(self.tok.encode(piece, add_special_tokens=False).ids, piece)
+        return self.others[piece]
+
+    def _piece_codes(self, pieces: pa.Array, leads: bool) -> np.ndarray:
+        """Three codes for each piece: of the line break or what is no word, of the word, of the signs behind.
+
+        A piece has a space before it if ``leads``, unless it begins with a line break.
+        """
+        out = np.zeros((len(pieces), 3), np.int64)
+        if not len(pieces):
+            return out
+        parts = pc.extract_regex(pieces, self.PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        lead, word, tail = parts.flatten()
+        broken = pc.equal(lead, "\n").fill_null(False).to_numpy(zero_copy_only=False)
+        word = pc.utf8_lower(word) if self.drops_space else word
+        for own, sign in ((plain & ~broken, self.space if leads else ""), (broken, "")):
+            found = word.filter(pa.array(own)).dictionary_encode()
+            names = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            out[own, 1] = np.array(self._word_codes(names, sign), np.int64)[found.indices.to_numpy()]
+        out[broken, 0] = self._other_code("\n") if broken.any() else 0
+        found = tail.filter(pa.array(plain)).dictionary_encode()
+        out[plain, 2] = np.array([self._other_code(x) for x in found.dictionary.to_pylist()], np.int64)[found.indices.to_numpy()]
+        odd = np.flatnonzero(~plain)
+        for i, piece in zip(odd.tolist(), pieces.take(pa.array(odd)).to_pylist()):
+            lead = "" if not leads or piece.startswith("\n") or (self.drops_space and not piece) else " "
+            out[i, 0] = self._other_code(lead + piece)
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all in a row. Null is the empty text."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if self.held > self.most:
+            self._clear()
+        texts, odd = texts.fill_null(""), []
         if self.drops_space:
-            core, lead = core.lower(), ""
-        signs = core.encode().decode("latin-1").translate(self.signs)
-        return self.cores[(self.space if lead else "") + signs] + (self.tails[tail] if tail else b"")
-
-    def encode(self, text: str) -> bytes:
-        if self.drops_space:
-            return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
-        first, *others = self.CUT.split(text) if self.RUN.search(text) else text.split(" ")
-        return self.first[first] + b"".join(map(self.next.__getitem__, others))
+            plain = pc.replace_substring(texts, "\n", " ")
+        else:
+            runs = pc.match_substring_regex(texts, self.BLANK + self.BLANK)
+            odd = np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist()
+            plain = pc.replace_substring(pc.if_else(runs, "", texts) if odd else texts, "\n", " \n")
+        cut = pc.split_pattern(plain, " ")
+        pieces = cut.flatten().dictionary_encode()
+        begin = cut.offsets.to_numpy()[:-1].astype(np.int64) - cut.offsets[0].as_py()
+        codes = self._piece_codes(pieces.dictionary, True)
+        place = pieces.indices.to_numpy().astype(np.int64)
+        if not self.drops_space:  # a text's first piece has no space before it
+            heads = pieces.dictionary.take(pieces.indices.take(pa.array(begin)))
+            place[begin] = len(codes) + np.arange(len(begin))
+            codes = np.concatenate([codes, self._piece_codes(heads, False)])
+        for i in odd:  # put together from what stands between its runs
+            head, *others = self.CUT.split(texts[i].as_py())
+            found = [*self._piece_codes(pa.array([head]), False).ravel(), *self._piece_codes(pa.array(others, pa.string()), True).ravel()]
+            codes[place[begin[i]]] = self._put([x for c in found for x in self.flat[self.ends[c] : self.ends[c + 1]]], ""), 0, 0
+        ids, sizes = _gather(codes.ravel(), np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.int32))
+        ends = np.concatenate([[0], np.cumsum(sizes.reshape(-1, 3).sum(axis=1))])
+        ids, sizes = _gather(place, ends, ids)
+        return np.add.reduceat(sizes, begin), ids
 
 
 _encoders: dict[str, Encoder] = {}
@@ -111,34 +164,35 @@ def _as_rows(path: str, end_id: int, narrow: bool):
     """A function for mapInArrow: rows as in ROWS, or with binary ids of 16 bits each.
 
     ``part`` is the partition's number. If there is a third column it names the run of rows that a row belongs to;
-    ``part`` then has that name and ``before`` counts inside the run.
+    ``part`` then has that name and ``before`` counts inside the run. Ids beyond 16 bits are refused, not cut.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         from pyspark import TaskContext
 
         enc, part, before = encoder(path), TaskContext.get().partitionId(), {}
-        end = struct.pack("<I", end_id)
         for batch in batches:
-            found = [enc.encode(x or "") + end for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
-            ids = np.frombuffer(b"".join(found), dtype="<u4")
+            sizes, found = enc.encode_all(batch.column(1))
+            sizes = sizes + 1
             ends = np.concatenate([[0], np.cumsum(sizes)])
+            ids, own = np.full(ends[-1], end_id, np.int32), np.ones(ends[-1], bool)
+            own[ends[1:] - 1] = False
+            ids[own] = found
             parts = batch.column(2) if batch.num_columns > 2 else pa.array(np.full(len(sizes), part, np.int32))
             place = np.empty(len(sizes), np.int64)
             runs = parts.dictionary_encode()
             codes = runs.indices.to_numpy(zero_copy_only=False)
             for code, run_name in enumerate(runs.dictionary.to_pylist()):
-                own = codes == code
-                up = np.cumsum(sizes[own])
-                place[own] = before.get(run_name, 0) + up - sizes[own]
+                mine = codes == code
+                up = np.cumsum(sizes[mine])
+                place[mine] = before.get(run_name, 0) + up - sizes[mine]
                 before[run_name] = before.get(run_name, 0) + int(up[-1])
             if narrow:
-                wide = ids.astype("<u2").tobytes()
-                column = pa.array([wide[2 * a : 2 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+                if len(ids) and (ids.max() >= 1 << 16 or ids.min() < 0):
+                    raise ValueError(f"id {ids.max()} doesn't fit into 16 bits")
+                column = binary_rows(ids.astype("<u2"), ends)
             else:
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype("<i4")))
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
                 [parts, pa.array(place), batch.column(0).cast(pa.int64()), pa.array(sizes), column],
                 ["part", "before", "doc_id", "n_tokens", "ids"],
@@ -147,6 +201,12 @@ def _as_rows(path: str, end_id: int, narrow: bool):
     return run
 
 
+def binary_rows(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of the numbers in ``flat``, one for each span between two of ``ends`` (counts of numbers)."""
+    at = pa.py_buffer((ends * flat.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(flat))])
+
+
 def write_archive(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write ids in ascending document order as ORC.
 
@@ -180,8 +240,6 @@ def with_crc(rows: DataFrame) -> DataFrame:
     """``ids`` replaced by the CRC-32 of its little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             lists = batch.column(3)
             ids = np.ascontiguousarray(pc.list_flatten(lists).to_numpy(zero_copy_only=False), dtype="<i4").data.cast("B")
