@@ -4,13 +4,15 @@ A document's sketch is the ``K`` smallest hashes of its shingles. Inverted lists
 two documents that are alike share at least ``_least_overlap`` retained values, so with values ordered from rare to
 frequent they meet in a list of one of the first ``size - overlap + 1`` of each (the prefix), and frequent values are
 left to the tail. A list's members are gathered under the member that shares most with others, so that the many lists of
-one group of copies become one. Large gatherings are dealt out as pairs of blocks of bounded size. Inside a block pair
-the share of equal sketch values bounds the estimate from the union's sketch and filters; the rest is verified on full
-sets, and only links that join what wasn't joined yet leave the task: fewer than there are members, never all pairs.
+one group of copies become one. Gatherings are compared in blocks of bounded size, each with that member in it, and only
+what wasn't joined with it meets the other blocks. In a block the share of equal sketch values bounds the estimate from
+the union's sketch and filters; the rest is verified on full sets, and only links that join what wasn't joined yet leave
+the task: fewer than there are members, never all pairs. Copies of one text are one row from the start.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,13 +67,27 @@ def _sets(texts: list[bytes | None], width: int, hashes: _Hash) -> Iterator[tupl
         yield words, shingles(words, width)
 
 
+def least_equal(percent: int, k: int = K, loss: float = 1e-6) -> list[int]:
+    """For 0 to ``k`` retained values, how many of them are shared by documents that are alike, but for the chance ``loss``.
+
+    Of the smallest values of the union each is in both documents with a chance of at least ``percent``. Drawing is
+    without return, so a binomial count is the worse case: the bound is its quantile.
+    """
+    p, out = percent / 100, []
+    for m in range(k + 1):
+        below, t = 0.0, 0
+        while t < m and (below := below + math.comb(m, t) * p**t * (1 - p) ** (m - t)) <= loss:
+            t += 1
+        out.append(t)
+    return out
+
+
 def _least_overlap(n: Column, percent: int, k: int) -> Column:
     """Retained values that a document of ``n`` shingles shares with any that is alike.
 
-    With at most k * percent / 100 shingles the partner's set is retained whole as well, and the bound is exact. Else it
-    is k / 2: a pair at 80 % shares fewer retained values with probability below 1e-6.
+    With at most k * percent / 100 shingles the partner's set is retained whole as well, and the bound is exact.
     """
-    return F.when(n <= k * percent // 100, F.ceil(n * percent / 100)).otherwise(k // 2).cast("int")
+    return F.when(n <= k * percent // 100, F.ceil(n * percent / 100)).otherwise(least_equal(percent, k)[k]).cast("int")
 
 
 def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
@@ -94,37 +110,59 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     return written(rows.mapInArrow(run, "row long, doc_id long, tie long, h long, n long, sketch array<long>"), "minhash")
 
 
-def gatherings(docs: DataFrame, percent: int, k: int = K) -> DataFrame:
+def classes(rows: DataFrame) -> DataFrame:
+    """One row for each class of equal texts: h, n, sketch, the smallest (doc_id, tie) and how many rows there are; written."""
+    one = F.min(F.struct("doc_id", "tie", "n", "sketch")).alias("one")
+    found = rows.filter("n > 0").groupBy("h").agg(one, F.count("*").alias("copies"))
+    return written(found.select("h", "one.*", "copies"), "minhash-classes")
+
+
+def _by_key(rows: DataFrame, facts: DataFrame, key: str, frequent: Column) -> DataFrame:
+    """Join on ``key``; the few ``frequent`` keys of ``facts`` are broadcast, so none of them is one task.
+
+    ``frequent`` must hold for a bounded number of keys, as a key that takes a given share of all rows does.
+    """
+    hot = F.broadcast(facts.filter(frequent))
+    return rows.join(hot, key).unionByName(rows.join(facts.filter(~frequent), key))
+
+
+def gatherings(found: DataFrame, percent: int, k: int = K) -> DataFrame:
     """(pivot, h): classes that meet in lists, gathered under one of them; pivots are members of their own gatherings."""
-    values = docs.filter("n > 0").select("row", F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = values.join(common, "v")
-    facts = docs.select("row", "h", "n")
-    shared = shared.join(facts, "row")
-    mine = Window.partitionBy("row")
+    total = found.count()
+    values = found.select("h", "n", F.explode("sketch").alias("v"))
+    common = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-values")
+    # at most 4096 * k values are in more than one of 4096 classes, so are at most 4096 * k lists
+    shared = _by_key(values, common, "v", F.col("df") * 4096 > total)
+    mine = Window.partitionBy("h")
     size = F.least("n", F.lit(k))
     rare = size - F.count("*").over(mine)  # values of this document alone stand first
     place = rare + F.row_number().over(mine.orderBy("df", "v"))
     shared = shared.withColumn("place", place).withColumn("hub", F.sum(F.log("df")).over(mine))
     prefix = shared.filter(F.col("place") <= size - _least_overlap(F.col("n"), percent, k) + 1).select("v", "h", "hub")
+    lists = written(prefix, "minhash-lists")
     best = F.max(F.struct("hub", "h"))
-    lists = written(prefix.groupBy("v", "h").agg(F.max("hub").alias("hub")), "minhash-lists")
-    pivots = lists.groupBy("v").agg(best["h"].alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    return written(lists.join(pivots.drop("members"), "v").select("pivot", "h").distinct(), "minhash-gatherings")
+    pivots = written(lists.groupBy("v").agg(best["h"].alias("pivot"), F.count("*").alias("members")).filter("members > 1"), "minhash-pivots")
+    met = _by_key(lists.select("v", "h"), pivots, "v", F.col("members") * 4096 > total)
+    return written(met.select("pivot", "h").distinct(), "minhash-gatherings")
+
 
+def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent: int, k: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join the members, and the group that each is in by these; pairs are verified unless both are joined already.
 
-def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent: int, k: int) -> list[tuple[int, int]]:
-    """Links that join the members: pairs are verified unless both are joined already. ``first`` marks the members of one block; all pairs with one of them count if both blocks are there."""
+    ``first`` marks the members of one side; if there are two sides, pairs across count only.
+    """
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     sizes = np.diff(ends)
     kept = np.minimum(sizes, k)
+    least = np.array(least_equal(percent, k))
     heads = np.concatenate([codes[a : a + m] for a, m in zip(ends, kept)])
     head_ends = np.concatenate([[0], np.cumsum(kept)])[:-1]
     group, mark, links = np.arange(len(sets)), np.zeros(int(codes.max()) + 1, bool), []
+    across = first.any() and not first.all()
     for i in range(len(sets)):
         others = (group != group[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-        if first.any() and not first.all():
+        if across:
             others &= first != first[i]
         others[: i + 1] = False
         if not others.any():
@@ -133,8 +171,7 @@ def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent:
         mark[own[:k]] = True
         equal = np.add.reduceat(mark[heads], head_ends)
         mark[own[:k]] = False
-        # the union's sketch holds at most this many shared values: below 9/16 the pair isn't alike
-        others &= 16 * equal >= 9 * np.minimum(kept, kept[i])
+        others &= equal >= least[np.minimum(kept, kept[i])]
         mark[own] = True
         for j in np.flatnonzero(others):
             if group[j] == group[i]:
@@ -144,70 +181,116 @@ def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent:
                 links.append((names[i], names[j]))
                 group[group == group[j]] = group[i]
         mark[own] = False
-    return links
+    return links, group
 
 
-def _dealt(met: DataFrame, block: int) -> DataFrame:
-    """(pivot, h, block, i, j): the members of gatherings of two and more, each at every pair of blocks that its own is part of."""
-    counts = met.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    placed = met.join(counts, "pivot").withColumn("block", F.pmod(F.xxhash64("h", "pivot"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    return placed.select("pivot", "h", "block", F.explode(pairs).alias("at")).select("pivot", "h", "block", "at.i", "at.j")
-
-
-def _partnered(sketches: list[np.ndarray], sizes: np.ndarray, percent: int, k: int) -> np.ndarray:
+def _partnered(sketches: list[np.ndarray], sizes: np.ndarray, first: np.ndarray, percent: int, k: int) -> np.ndarray:
     """Which members have a partner that they may be alike with, by size and equal sketch values."""
     kept = np.array([len(s) for s in sketches])
     codes = np.unique(np.concatenate(sketches), return_inverse=True)[1]
     ends = np.concatenate([[0], np.cumsum(kept)])
+    least = np.array(least_equal(percent, k))
     mark, found = np.zeros(int(codes.max()) + 1, bool), np.zeros(len(sketches), bool)
+    across = first.any() and not first.all()
     for i in range(len(sketches)):
+        if found[i]:
+            continue
         own = codes[ends[i] : ends[i + 1]]
         mark[own] = True
         equal = np.add.reduceat(mark[codes], ends[:-1])
         mark[own] = False
-        partner = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (16 * equal >= 9 * np.minimum(kept, kept[i]))
+        partner = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (equal >= least[np.minimum(kept, kept[i])])
+        if across:
+            partner &= first != first[i]
         partner[i] = False
         found[i] = partner.any()
+        found |= partner
     return found
 
 
-def alike(docs: DataFrame, met: DataFrame, percent: int, k: int = K) -> DataFrame:
+def _placed(met: DataFrame, block: int) -> DataFrame:
+    """(pivot, h, lead, block, blocks) of the members of gatherings of two and more; lead is the pivot if it is among them, else the smallest."""
+    counts = met.groupBy("pivot").agg(F.count("*").alias("m"), F.max(F.when(F.col("h") == F.col("pivot"), F.col("h"))).alias("own"), F.min("h").alias("least"))
+    counts = counts.filter("m > 1").select("pivot", F.coalesce("own", "least").alias("lead"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    return met.join(counts, "pivot").withColumn("block", F.pmod(F.xxhash64("h", "pivot"), F.col("blocks")).cast("int"))
+
+
+def _compared(met: DataFrame, facts: DataFrame, block: int, look, schema: str, name: str) -> DataFrame:
+    """What ``look`` finds among the members of each gathering, in two rounds; its rows with ``rest`` name those left over.
+
+    In the first round every block of members is looked at, with the gathering's lead in each. So the work is in
+    proportion to the members, and in a group of copies few are left over that weren't joined with the lead. In the
+    second these meet all other blocks. ``facts`` has a row for each h.
+    """
+    placed = written(_placed(met, block), f"{name}-placed")
+    seats = F.when(F.col("h") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    one = placed.withColumn("i", F.explode(seats)).select("pivot", "h", "lead", "i", F.lit(0).alias("j"), F.lit(True).alias("first"), (F.col("blocks") > 1).alias("more"))
+    found = written(one.join(facts, "h").groupBy("pivot", "i", "j").applyInArrow(look, schema), name)
+    left = found.filter("rest").select("pivot", "h").distinct()
+    sides = left.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("sides"))
+    left = left.join(sides, "pivot").withColumn("i", F.pmod(F.xxhash64("pivot", "h"), F.col("sides")).cast("int"))
+    blocks = placed.select("pivot", "h", "block", "blocks")
+    asks = left.join(blocks, ["pivot", "h"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    answers = blocks.join(sides, "pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    two = asks.select("pivot", "h", "i", "j", F.lit(True).alias("first")).unionByName(answers.select("pivot", "h", "i", F.col("block").alias("j"), F.lit(False).alias("first")))
+    two = two.withColumn("lead", F.lit(0).cast("long")).withColumn("more", F.lit(False))
+    again = two.join(facts, "h").groupBy("pivot", "i", "j").applyInArrow(look, schema)
+    return found.unionByName(again)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    flat, ends = pc.list_flatten(column).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def alike(found: DataFrame, met: DataFrame, percent: int, k: int = K) -> DataFrame:
     """The rows of gatherings whose sketches leave them a partner."""
 
     def look(table: pa.Table) -> pa.Table:
-        flat, ends = pc.list_flatten(table["sketch"].combine_chunks()).to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(table["sketch"]).to_numpy())])
-        found = _partnered([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], table["n"].to_numpy(), percent, k)
-        return table.select(["pivot", "h"]).filter(pa.array(found))
+        first = table["first"].to_numpy()
+        good = _partnered(_lists(table["sketch"]), table["n"].to_numpy(), first, percent, k)
+        out = pa.table({"pivot": table["pivot"], "h": table["h"], "rest": pa.array(~good)})
+        # without a partner yet, but other blocks are there; in the second round nobody is left over
+        return out.filter(pa.array(good | table["more"].to_numpy(zero_copy_only=False)))
+
+    looked = _compared(met, found.select("h", "n", "sketch"), SKETCHES, look, "pivot long, h long, rest boolean", "minhash-partners")
+    return written(looked.filter("not rest").select("pivot", "h").distinct(), "minhash-alike")
 
-    one = docs.filter("n > 0").join(_dealt(met, SKETCHES).select("h").distinct(), "h").groupBy("h").agg(F.min(F.struct("row", "n", "sketch")).alias("s")).select("h", "s.n", "s.sketch")
-    return _dealt(met, SKETCHES).join(one, "h").groupBy("pivot", "i", "j").applyInArrow(look, "pivot long, h long").distinct()
 
+def _with_text(texts: DataFrame, one: DataFrame, most: int) -> DataFrame:
+    """(h, text) of the rows that ``one`` (h, doc_id, tie) names. Up to ``most`` names are broadcast, so that the other
+    texts needn't be shuffled; beyond that it is a join of both sides."""
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    small = F.broadcast(one) if one.count() <= most else one
+    return rows.join(small, ["doc_id", "tie"]).select("h", "text").dropDuplicates(["h"])
 
-def links(docs: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K) -> DataFrame:
+
+def links(found: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K, most: int = 2_000_000) -> DataFrame:
     """(a, b): verified links between classes, enough to join all that are linked."""
-    met = written(alike(docs, gatherings(docs, percent, k), percent, k), "minhash-alike")
-    placed = _dealt(met, BLOCK)
-    needed = placed.select("h").distinct()
-    one = docs.join(needed, "h").groupBy("h").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select("h", "one.*")
+    met = alike(found, gatherings(found, percent, k), percent, k)
+    one = found.join(met.select("h").distinct(), "h").select("h", "doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hash()
         for batch in batches:
-            found = [s.tobytes() for _, s in _sets(batch.column(1).to_pylist(), width, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["h", "set"])
+            whole = [s.tobytes() for _, s in _sets(batch.column(1).to_pylist(), width, hashes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], ["h", "set"])
 
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    held = rows.join(one, rows["doc_id"].eqNullSafe(one["doc_id"]) & (rows["tie"] == one["tie"])).select("h", "text")
-    sets = held.mapInArrow(run, "h long, set binary")
+    sets = written(_with_text(texts, written(one, "minhash-named"), most).mapInArrow(run, "h long, set binary"), "minhash-sets")
 
     def join(table: pa.Table) -> pa.Table:
-        names, whole, block = table["h"].to_pylist(), table["set"].to_pylist(), table["block"].to_numpy()
-        order = sorted({n: p for p, n in enumerate(names)}.values(), key=lambda p: (names[p] != table["pivot"][p].as_py(), names[p]))
-        found = _link([np.frombuffer(whole[p], np.uint64) for p in order], [names[p] for p in order], block[order] == block[0], percent, k)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        names, whole, first = table["h"].to_pylist(), table["set"].to_pylist(), table["first"].to_numpy()
+        lead = table["lead"][0].as_py()
+        order = sorted(range(len(names)), key=lambda p: (names[p] != lead, not first[p], names[p]))
+        linked, group = _link([np.frombuffer(whole[p], np.uint64) for p in order], [names[p] for p in order], first[order], percent, k)
+        rest = [names[p] for p, g in zip(order, group) if g != group[0]] if table["more"][0].as_py() else []
+        rows = [(x, y, False) for x, y in linked] + [(x, None, True) for x in rest]
+        pivot = table["pivot"][0].as_py()
+        return pa.table({"pivot": pa.array([pivot] * len(rows), pa.int64()), "h": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "rest": pa.array([r[2] for r in rows], pa.bool_())})
 
-    return placed.join(sets, "h").groupBy("pivot", "i", "j").applyInArrow(join, "a long, b long")
+    looked = _compared(met, sets, BLOCK, join, "pivot long, h long, b long, rest boolean", "minhash-links")
+    return looked.filter("not rest").select(F.col("h").alias("a"), "b")
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -218,12 +301,16 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = sketched(docs, width)
     able = rows.filter(F.col("doc_id").isNotNull())
-    roots = components(links(able, docs.filter(F.col("doc_id").isNotNull()), width, percent))
-    classes = able.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("low"))
-    rooted = classes.join(roots, classes["h"] == roots["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(least, "root").select("h", "root", "component")
-    out = rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles")).join(named, "h", "left")
+    found = classes(able)
+    roots = components(links(found, docs.filter(F.col("doc_id").isNotNull()), width, percent))
+    rooted = found.select("h", "doc_id", "copies").join(roots, found["h"] == roots["node"], "left").select("h", "doc_id", "copies", F.coalesce("root", "h").alias("root"))
+    # roots of large groups are few: a group of more than one of 4096 rows is looked up by broadcast, and so is a large class
+    total = rows.count()
+    sized = rooted.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("members"))
+    named = written(_by_key(rooted, sized, "root", F.col("members") * 4096 > total).select("h", "root", "component", "copies"), "minhash-named")
+    bare = rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles"))
+    out = _by_key(bare.filter("doc_id is not null and n_shingles > 0"), named, "h", F.col("copies") * 4096 > total).drop("copies")
+    out = out.unionByName(bare.filter("doc_id is null or n_shingles = 0"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), "root")
 
