@@ -10,26 +10,48 @@ from pyspark.sql import functions as F
 GIVEN = "anna lena maria julia laura sophie emma clara peter paul max jonas lukas thomas stefan ahmet ayse mehmet fatma chidi ngozi ivan olga john mary susan david marta jan piotr"
 SURNAMES = "muller schmidt schneider fischer weber meier wagner becker hoffmann schulz krause lehmann yilmaz kaya demir okonkwo ivanov petrova smith johnson brown taylor kowalski nowak al-hassan el-masri"
 BOTH_WORDS = "winter rose sommer stein berg may lang klein gross august"
-#: Forms of address and roles, folded; the first kind shows a name strongly, the second weakly.
-STRONG_TITLES = "herr herrn frau fraulein frl hr fr dr prof professor professorin doktor mr mrs ms mx miss mister sir madame familie fam med dent phil jur rer nat ing dipl mag"
-WEAK_TITLES = "kollege kollegin direktor direktorin rektor rektorin lehrer lehrerin richter richterin anwalt anwaltin arzt arztin sohn tochter mutter vater bruder schwester onkel tante oma opa freund freundin nachbar nachbarin schuler schulerin patient patientin kunde kundin zeuge zeugin hallo hi liebe lieber dear geehrte geehrter colleague mother father son daughter brother sister"
-POST_TITLES = "bey hanim efendi hoca san"
-ADDRESS_ONLY = "herr herrn frau fraulein hr fr frl"
-PARTICLES = "von van de der den del della di da dos du le la al el bin ibn ben abu ter ten zu zur vom"
+#: Forms of address and degrees, which show that a name follows; German first, then other languages, folded.
+ADDRESS_ONLY = "frau frl hr herr herrn fr fraulein"
+STRONG_TITLES = f"{ADDRESS_ONLY} familie " + "dipl doktor dr ing mag med nat phil prof professor professorin rer jur dent fam " + "madam madame miss mister mr mrs ms mx sir senor senora signor signora bay bayan pan pani"
+#: Words for relations and roles, which may stand before a name: family, school and health, law and trade, greetings.
+WEAK_TITLES = (
+    "bruder mutter oma onkel opa schwester sohn tante tochter vater brother daughter father mother sister son uncle aunt "
+    "arzt arztin direktor direktorin kollege kollegin lehrer lehrerin patient patientin pfleger pflegerin rektor rektorin schuler schulerin colleague nurse teacher "
+    "anwalt anwaltin kunde kundin mieter mieterin nachbar nachbarin richter richterin zeuge zeugin freund freundin client neighbour witness "
+    "dear geehrte geehrter hallo hello hi liebe lieber"
+)
+POST_TITLES = "bey efendi hanim hoca san"
+PARTICLES = "von " + "de den der ten ter van " + "da del della di do dos du la le " + "abu al bin el ibn"
 STOP = "der die das den dem des ein eine einer eines einem einen und oder aber auch wir ich sie er es ihr man ist sind war waren hat haben wird werden nicht mit ohne auf in im am an zu zum zur bei beim von vom fur uber unter nach vor seit aus als wie dass wenn the a an and or of to is are was were in on at for with by this that he she it we you they"
-DETERMINERS = "der die das den dem des ein eine einer eines einem einen im am zum zur vom beim kein keine mein meine sein seine ihr ihre unser dieser diese dieses jeder jede the a an this that my your his her our their"
-PREPOSITIONS = "ab an auf aus bei bis durch fur gegen in mit nach neben ohne seit uber um unter von vor zu zwischen into from to at on of for with by about since until"
-CALENDAR = "montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar marz april mai juni juli august september oktober november dezember may june july"
-FILLERS = "n.n. nn offen unbekannt leer vakant entfallt - ? x tba tbd"
-SHAPE = r"(?:ovic|evic|vic|ic|ski|ska|cki|cka|wicz|czyk|czak|oglu|zade|zadeh|ov|ova|ev|eva|enko|uk|chuk|escu|eanu|poulos|akis|idis|iadis|yan|shvili|dze|sson|pour|ullah|uddin)$"
+#: Articles and words that stand in their place: German definite, merged, indefinite and possessive, then English.
+DETERMINERS = "das dem den der des die am beim im vom zum zur ein eine einem einen einer eines kein keine dieser diese dieses jede jeder mein meine sein seine ihr ihre unser unsere a an the that this her his my our their your"
+PREPOSITIONS = "ab an auf aus bei durch fur gegen in mit nach neben ohne seit um unter uber von vor zu zwischen about at by for from in into of on since to until with"
+CALENDAR = "montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar marz april mai juni juli august september oktober november dezember monday friday sunday may june july"
+#: Cells of tables that say that there is no name (yet).
+FILLERS = "- ? x n.n. nn leer offen tba tbd unbekannt vakant entfallt entfallen niemand keine keiner none"
+#: Lines that close a letter; the next line is a signature.
+CLOSINGS = r"^(?:mit (?:freundlichen|besten|herzlichen) grußen?|mit (?:freundlichen|besten|herzlichen) grüßen|(?:viele|liebe|beste|herzliche) grüße|hochachtungsvoll|(?:kind|best|warm) regards|yours (?:sincerely|faithfully)|sincerely) ?[,.!]?$"
+#: Endings of surnames by where they come from; a word of five letters or more with one of them is shaped like a name.
+SURNAME_ENDINGS = {
+    "South Slavic": "ic vic",
+    "West Slavic": "cki cka ski ska czyk czak wicz",
+    "East Slavic": "enko chuk ov ova ev eva",
+    "Turkish, Persian, Urdu": "oglu zade pour ullah uddin",
+    "Caucasian": "dze shvili yan",
+    "Greek, Romanian": "akis idis poulos eanu escu",
+    "Nordic": "sson",
+}
+SHAPE = f"(?:{'|'.join(' '.join(SURNAME_ENDINGS.values()).split())})$"
 
 
 def seed_names(spark: SparkSession) -> DataFrame:
     """(key, first, last, ambiguous) of the seeds; stop words and keys of under two letters are taken out."""
-    parts = [(GIVEN, True, False, False), (SURNAMES, False, True, False), (BOTH_WORDS, False, True, True)]
-    rows = [(k, f, s, a) for text, f, s, a in parts for k in text.split()]
-    df = spark.createDataFrame(rows, "key string, first boolean, last boolean, ambiguous boolean")
-    return build_names(df, spark.createDataFrame([(w,) for w in STOP.split()], "key string"))
+    def rows(text: str, first: bool, last: bool, ambiguous: bool) -> DataFrame:
+        key = F.explode(F.split(F.lit(text), " ")).alias("key")
+        return spark.range(1).select(key, F.lit(first).alias("first"), F.lit(last).alias("last"), F.lit(ambiguous).alias("ambiguous"))
+
+    names = rows(GIVEN, True, False, False).union(rows(SURNAMES, False, True, False)).union(rows(BOTH_WORDS, False, True, True))
+    return build_names(names, spark.range(1).select(F.explode(F.split(F.lit(STOP), " ")).alias("key")))
 
 
 def build_names(names: DataFrame, stop: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tarnkappe.functions import lexicon
 from tarnkappe.functions.text import fold, letter_for
+from tarnkappe.operators import reversible
 from tarnkappe.operators.tokens import one_of, stems
+from tarnkappe.session import written
 
 INITIAL_ONLY = r"\.$"
 
@@ -63,21 +65,26 @@ def link(mentions: DataFrame, unlinks: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("chosen", choice).select(*mentions.columns, "own", "chosen.entity", "chosen.link")
 
 
-def resolve_merges(hits: DataFrame, merges: DataFrame, rounds: int = 6) -> DataFrame:
+def resolve_merges(hits: DataFrame, merges: DataFrame) -> DataFrame:
     """``hits`` with merged entities replaced by what they lead to; ``merges`` has doc_id, entity, target.
 
-    Each round doubles the steps taken, so ``rounds`` reaches chains of 2 ** rounds merges; a ring leads to its smallest
-    entity. Of several targets of one entity the smallest counts.
+    Each round doubles the steps taken, until no target leads on; so chains of any length end where they should. A ring
+    leads to its smallest entity: once all steps together are more than there are merges, whoever still leads on stands
+    on a ring or leads into one, and has gone all around it. Of several targets of one entity the smallest counts.
     """
-    chain = merges.filter("entity <> target").groupBy("doc_id", "entity").agg(F.min("target").alias("target")).withColumn("seen", F.array("entity", "target"))
-    nothing = F.array().cast("array<string>")
-    for _ in range(rounds):
-        after = chain.select("doc_id", F.col("entity").alias("target"), F.col("target").alias("further"), F.col("seen").alias("more"))
-        seen = F.array_distinct(F.concat("seen", F.coalesce("more", nothing)))
-        chain = chain.join(after, ["doc_id", "target"], "left").select("doc_id", "entity", F.coalesce("further", "target").alias("target"), seen.alias("seen"))
-    # an entity whose target still leads on stands on a ring, or leads into one
-    heads = chain.select("doc_id", F.col("entity").alias("target"), F.array_min("seen").alias("least"))
-    to = chain.join(heads, ["doc_id", "target"], "left").select("doc_id", "entity", F.coalesce("least", "target").alias("target"))
+    chain = written(merges.filter("entity <> target").groupBy("doc_id", "entity").agg(F.min("target").alias("target")).withColumn("least", F.least("entity", "target")), "merges")
+    number, steps = chain.count(), 1
+    while True:
+        after = chain.select("doc_id", F.col("entity").alias("target"), F.col("target").alias("further"), F.col("least").alias("below"))
+        both = chain.join(after, ["doc_id", "target"], "left")
+        if steps > 2 * number or not both.filter("further is not null").limit(1).count():
+            break
+        least = F.when(F.col("below").isNotNull(), F.least("least", "below")).otherwise(F.col("least"))
+        chain = written(both.select("doc_id", "entity", F.coalesce("further", "target").alias("target"), least.alias("least")), "merges")
+        steps *= 2
+    # a target that still leads on lies on a ring, and the least that was met from there is the ring's
+    ring = chain.select("doc_id", F.col("entity").alias("target"), F.col("least").alias("ring"))
+    to = chain.join(ring, ["doc_id", "target"], "left").select("doc_id", "entity", F.coalesce("ring", "target").alias("target"))
     return hits.join(to, ["doc_id", "entity"], "left").withColumn("entity", F.coalesce("target", "entity")).drop("target")
 
 
@@ -110,17 +117,16 @@ def propagate(tokens: DataFrame, owned: DataFrame, covered: DataFrame) -> DataFr
 
 def placeholder_words(units: DataFrame) -> DataFrame:
     """(doc_id, word, n): what looks like a placeholder in the original already; none of these is given out."""
-    name = r"(?<![\p{L}\p{N}])(?:Vorname|Nachname|Initiale|Name|Person|Einrichtung)[  ][A-Z][A-Z0-9]*(?:'s|’s|'|’|s|es|ns|n)?(?![\p{L}\p{N}])"
-    bracket = r"\[(?:E-MAIL|TELEFON|IBAN|ADRESSE|NAME|EINRICHTUNG)(?:-[\p{L}\p{N}]*)?\][\p{L}\p{N}]*"
     text = F.coalesce("text", F.lit(""))
-    found = F.concat(F.regexp_extract_all(text, F.lit(name), F.lit(0)), F.regexp_extract_all(text, F.lit(bracket), F.lit(0)))
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (reversible.LIKE_NAME, reversible.LIKE_BRACKET)])
     return units.select("doc_id", F.explode(found).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 def reserved(words: DataFrame) -> DataFrame:
-    """(doc_id, word) that may not be given out: the words found and what is left of them without an ending."""
-    base = F.regexp_extract("word", r"^(.*?[A-Z0-9\]])(?:'s|’s|'|’|s|es|ns|n)$", 1)
-    return words.select("doc_id", F.explode(F.array("word", base)).alias("word")).filter("word <> ''").distinct()
+    """(doc_id, word) that may not be given out: the words found, and what is left of them without an ending."""
+    bare = lambda e: F.when(F.endswith("word", F.lit(e)), F.substr(F.col("word"), F.lit(1), F.char_length("word") - len(e)))
+    stems_ = F.filter(F.array(*map(bare, reversible.ENDINGS)), lambda w: w.isNotNull() & w.rlike(r"[A-Z0-9\]]$"))
+    return words.select("doc_id", F.explode(F.concat(F.array("word"), stems_)).alias("word")).distinct()
 
 
 def letters(first_seen: DataFrame, taken: DataFrame | None = None, prefix: str = "Person ") -> DataFrame:

@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 
 from tarnkappe.functions.text import apply_spans, spans
 
-#: Placeholder words of name parts and contacts.
+#: Placeholder words of name parts, of whole persons and organisations, of contacts, and endings of names.
+NAME_WORDS = ("Vorname", "Nachname", "Initiale", "Name")
+WHOLE_WORDS = ("Person", "Einrichtung")
 CONTACT_BASE = {"email": "E-MAIL", "phone": "TELEFON", "iban": "IBAN", "address": "ADRESSE"}
-NAME_PLACEHOLDER = r"(?<![\p{L}\p{N}])(?:Vorname|Nachname|Initiale|Name|Einrichtung) [A-Z]+[0-9]*(?=(?:'s|’s|'|’|s|es|ns|n)?(?![\p{L}\p{N}]))"
-CONTACT_PLACEHOLDER = r"\[(?:E-MAIL|TELEFON|IBAN|ADRESSE)-[0-9]+\]"
-LOOSE = r"(?i)(?<![\p{L}\p{N}])(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-]*(?!(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-])[A-Z]+[0-9]*(?![\p{L}\p{N}])"
+BRACKET_WORDS = (*CONTACT_BASE.values(), "NAME", "EINRICHTUNG")
+ENDINGS = ("'s", "’s", "'", "’", "s", "es", "ns", "n")
+
+_FREE_BEFORE, _FREE_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_ENDING = f"(?:{'|'.join(ENDINGS)})?"
+_NAMES = f"(?:{'|'.join(NAME_WORDS)})"
+NAME_PLACEHOLDER = rf"{_FREE_BEFORE}(?:{'|'.join((*NAME_WORDS, 'Einrichtung'))}) [A-Z]+[0-9]*(?={_ENDING}{_FREE_AFTER})"
+CONTACT_PLACEHOLDER = rf"\[(?:{'|'.join(CONTACT_BASE.values())})-[0-9]+\]"
+LOOSE = rf"(?i){_FREE_BEFORE}{_NAMES}[sn]?[\s_-]*(?!{_NAMES}[sn]?[\s_-])[A-Z]+[0-9]*{_FREE_AFTER}"
+#: What could be taken for a placeholder: any of the words with a letter behind, or one in brackets, and what is glued to it.
+LIKE_NAME = rf"{_FREE_BEFORE}(?:{'|'.join((*NAME_WORDS, *WHOLE_WORDS))})[ \u00a0][A-Z][A-Z0-9]*{_ENDING}{_FREE_AFTER}"
+LIKE_BRACKET = rf"\[(?:{'|'.join(BRACKET_WORDS)})(?:-[\p{{L}}\p{{N}}]*)?\][\p{{L}}\p{{N}}]*"
 
 
 def name_parts(hits: DataFrame) -> DataFrame:

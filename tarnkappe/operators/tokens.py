@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnkappe.functions import lexicon
 from tarnkappe.functions.text import fold, is_allcaps, is_cap
+from tarnkappe.session import written
 
 _W = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*"
 TILES = rf"{_W}(?:-{_W})*|\p{{N}}+|[\s\x{{a0}}]+|[^\s\x{{a0}}]"
@@ -61,14 +62,17 @@ def word_flags(rows: DataFrame, names: DataFrame, exceptions: DataFrame | None =
     # as looked up: the word itself, or without 's, ’s or s
     cuts = cuts.filter((F.col("nth") == 0) | (~F.col("stop") & F.col("cut.suffix").isin("'s", "’s", "s", "'S", "’S", "S")))
     cuts = cuts.select("text", "whole", "stop", "nth", fold(F.col("cut.stem")).alias("key"), F.col("cut.suffix").alias("suffix"))
-    found = cuts.join(names, "key", "left").filter(F.col("first").isNotNull() & ((F.col("nth") == 0) | (F.char_length("key") >= 3)) | (F.col("nth") == 0))
+    cuts = cuts.join(names, "key", "left").join(_hyphened(cuts, names), ["text", "nth"], "left")
+    for name in ("first", "last", "ambiguous"):
+        cuts = cuts.withColumn(name, F.coalesce(name, F.when(F.col("whole_known"), F.col(f"part_{name}"))))
+    found = cuts.filter(F.col("first").isNotNull() & ((F.col("nth") == 0) | (F.char_length("key") >= 3)) | (F.col("nth") == 0))
     best = F.row_number().over(Window.partitionBy("text").orderBy(F.col("first").isNull(), "nth"))
     rows = found.withColumn("best", best).filter("best = 1")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     key = F.col("key")
     rows = rows.select(
         "text", "key", "suffix", "stop", flag("first"), flag("last"), flag("ambiguous"),
-        ((F.char_length(key) >= 5) & key.rlike(lexicon.SHAPE)).alias("shaped"),
+        (((F.char_length(key) >= 5) & key.rlike(lexicon.SHAPE)) | F.coalesce("part_shaped", F.lit(False))).alias("shaped"),
         one_of(key, lexicon.STRONG_TITLES).alias("strong"), one_of(key, lexicon.WEAK_TITLES).alias("weak"),
         one_of(key, lexicon.POST_TITLES).alias("post"), one_of(F.col("whole"), lexicon.PARTICLES).alias("particle"),
         one_of(key, lexicon.DETERMINERS).alias("determiner"), one_of(key, lexicon.PREPOSITIONS).alias("preposition"), one_of(key, lexicon.CALENDAR).alias("calendar"),
@@ -79,6 +83,33 @@ def word_flags(rows: DataFrame, names: DataFrame, exceptions: DataFrame | None =
     return rows.join(own, "key", "left").withColumn("exception", F.coalesce("exception", F.lit(False)))
 
 
-def flagged(rows: DataFrame, names: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
-    """Tokens with the flags of their words; other tokens have null flags."""
-    return rows.join(word_flags(rows, names, exceptions), "text", "left")
+def _hyphened(cuts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text, nth, whole_known, part_first, part_last, part_ambiguous, part_shaped) of words with hyphens, by their parts.
+
+    Where lists know all parts, the word is a given name if its first and last part are, a surname if its last part is,
+    an ordinary word if all parts are. Where they know a clear surname among other words, it is shaped like a surname.
+    """
+    parts = cuts.filter(F.contains("key", F.lit("-"))).select("text", "nth", F.posexplode(F.split("key", "-")).alias("place", "key"))
+    parts = parts.join(names, "key", "left").withColumn("known", F.col("first").isNotNull())
+    at = lambda ends, name: ends(F.struct("place", F.coalesce(F.col(name), F.lit(False)).alias("is")))["is"]
+    clear = F.max(F.coalesce(F.col("last") & ~F.col("ambiguous"), F.lit(False)))
+    sums = parts.groupBy("text", "nth").agg(
+        F.min("known").alias("whole_known"), (at(F.min, "first") & at(F.max, "first")).alias("part_first"), at(F.max, "last").alias("part_last"),
+        F.min(F.coalesce("ambiguous", F.lit(False))).alias("part_ambiguous"), (clear & ~F.min("known")).alias("part_shaped"),
+    )
+    return sums
+
+
+def flagged(rows: DataFrame, names: DataFrame, exceptions: DataFrame | None = None, most: int = 300_000, salts: int = 16) -> DataFrame:
+    """Tokens with the flags of their words; other tokens have null flags.
+
+    The flags of up to ``most`` different words are broadcast. More of them are joined by word; frequent words and the
+    tokens that are no words are then spread over ``salts`` places.
+    """
+    flags = written(word_flags(rows, names, exceptions), "word-flags")
+    if flags.count() <= most:
+        return rows.join(F.broadcast(flags), "text", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "unit_id"), F.lit(salts)).cast("int")
+    spread = flags.withColumnRenamed("text", "of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("int"))
+    keyed = rows.withColumn("salt", salt).withColumn("of", F.when(F.col("word"), F.col("text")).otherwise(F.concat(F.lit("\0"), F.xxhash64("doc_id", "unit_id").cast("string"))))
+    return keyed.join(spread, ["of", "salt"], "left").drop("of", "salt")

@@ -41,7 +41,7 @@ def pseudonymise(units: DataFrame, names: DataFrame, options: Options = Options(
     hits are written once between detection and replacement.
     """
     units = units.select("doc_id", "unit_id", "text")
-    found = contact_rows(units, ["doc_id", "unit_id"], options=options.contacts)
+    found = written(contact_rows(units, ["doc_id", "unit_id"], options=options.contacts), "contacts")
     tok = written(flagged(tokens(units), names, exceptions), "tokens")
     orgs = None
     taken = found.select("doc_id", "unit_id", "start", "end")
@@ -53,7 +53,8 @@ def pseudonymise(units: DataFrame, names: DataFrame, options: Options = Options(
     spots = taken.select(F.col("doc_id").alias("d"), F.col("unit_id").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"))
     inside = tok.join(spots, (F.col("doc_id") == F.col("d")) & (F.col("unit_id") == F.col("u")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_semi").select("doc_id", "unit_id", "pos", F.lit(True).alias("taken"))
     marked = tok.join(inside, ["doc_id", "unit_id", "pos"], "left")
-    linked = written(linking.link(person_mentions(marked, F.col("taken"), options.unsure_on)), "mentions")
+    mentions = written(person_mentions(marked, F.col("taken"), options.unsure_on), "mentions")
+    linked = written(linking.link(mentions), "linked")
     spread = linking.propagate(tok, linking.owned_parts(linked), taken.unionByName(linked.select("doc_id", "unit_id", "start", "end")))
     single = F.array(F.struct(F.lit("word").alias("kind"), "start", "end", (F.col("end") - F.char_length("suffix")).cast("int").alias("stem_end"), "key", F.lit(False).alias("first"), F.lit(False).alias("last"), F.lit(False).alias("ambiguous"), F.lit(True).alias("known"), F.lit(False).alias("shaped")))
     more = spread.select("doc_id", "unit_id", "start", "end", "certainty", "suffix", F.lit(False).alias("titled"), "off", F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("surname"), F.col("key").alias("single"), single.cast(linked.schema["parts"].dataType).alias("parts"), "entity", F.lit(None).cast("string").alias("link"))

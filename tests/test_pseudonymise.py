@@ -26,7 +26,7 @@ def test_person_mode(spark):
     assert out[2] == "Herr Person C und Person B: Person A bleibt."
     assert out[3] == "Im Einrichtung A; des Einrichtung As"
     assert out[5] == "" and masked(r, 2) == out
-    assert {(p.letter, p.display) for p in r.persons.filter("doc_id = 1").collect()} == {("B", "Müller"), ("C", "Peter Weber")} or {p.letter for p in r.persons.collect()} == {"B", "C"}
+    assert {p.letter for p in r.persons.filter("doc_id = 1").collect()} == {"B", "C"}
     assert r.leaks.count() == 0
 
 
@@ -70,6 +70,10 @@ def test_merges_rings_and_islands(spark):
     hits = spark.createDataFrame([(1, c) for c in "abcdxyz"], "doc_id long, entity string")
     merges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "d"), (1, "x", "y"), (1, "y", "x"), (2, "z", "q")], "doc_id long, entity string, target string")
     assert sorted(r.entity for r in linking.resolve_merges(hits, merges).collect()) == list("ddddxxz")
+    long = [(1, f"e{i:03d}", f"e{i + 1:03d}") for i in range(300)] + [(2, f"r{i:03d}", f"r{(i + 1) % 70:03d}") for i in range(70)] + [(2, "in", "r069")]
+    hits = spark.createDataFrame([(1, "e000"), (1, "e299"), (2, "r050"), (2, "in")], "doc_id long, entity string")
+    got = linking.resolve_merges(hits, spark.createDataFrame(long, "doc_id long, entity string, target string")).collect()
+    assert sorted(r.entity for r in got) == ["e300", "e300", "r000", "r000"]
     rows = spark.createDataFrame([(1, 0, "e", 0, 3), (1, 0, "e", 4, 7), (1, 0, "f", 8, 9), (1, 0, "e", 10, 12)], "doc_id long, unit_id int, entity string, start int, end int")
     assert sorted((r.entity, r.start, r.end) for r in linking.merge_adjacent(rows).collect()) == [("e", 0, 7), ("e", 10, 12), ("f", 8, 9)]
 
@@ -93,6 +97,13 @@ def test_name_columns(spark):
     assert [(x.given, x.surname) for x in columns.row_persons(found).collect()] == [("Thi Lan", "Ngu")]
 
 
+def test_table_without_a_header(spark):
+    cells = spark.createDataFrame([(1, "t", r, c, t) for r, row in enumerate([["Anna", "Berg"], ["Jo", "Kaya"]]) for c, t in enumerate(row)], "doc_id long, table_id string, r int, c int, text string")
+    assert columns.name_columns(cells).count() == 0
+    own = spark.createDataFrame([(1, "t", 0, True)], "doc_id long, table_id string, c int, on boolean")
+    assert sorted(x.text for x in columns.name_cells(cells, columns.name_columns(cells, own)).collect()) == ["Anna", "Jo"]
+
+
 def test_leaks(spark):
     parts = spark.createDataFrame([(1, "P", "jager", "Jäger", False), (1, "Q", "rose", "Rose", True)], "doc_id long, entity string, key string, raw string, ambiguous boolean")
     texts = spark.createDataFrame([(1, 0, "JÄGERS Jaeger-Hof rose Rosen Rosenheim"), (2, 0, "Jäger")], "doc_id long, unit_id int, text string")
