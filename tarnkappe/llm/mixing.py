@@ -3,7 +3,8 @@
 Targets: sources share a budget of words by weight; none may repeat its words too often, the excess goes to the others
 by weight. Curriculum: each source has a weight schedule over the training time from 0 to 1. The integral of the
 schedule is the source's cumulative demand; a copy of a document is due when that demand reaches the copy's place in its
-source's words, so the place is put into the inverse of the integral, and the mix is range-sorted by the time found.
+source's words, so the place is put into the inverse of the integral. The demand of all sources up to that time, as a
+part of the whole, is the copy's position in the stream of tokens, and the mix is range-sorted by it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from tarnkappe.llm.common import GAP, count_words
 from tarnkappe.session import written
 
-#: Weight at the start and at the end of training, linear between; of mean 1, given to sources in turn.
+#: Weights at the start, the end and, if there are more, at equal distances between, linear from one to the next; given
+#: to sources in turn. Only their proportions count.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 
 
@@ -41,14 +43,53 @@ def source_targets(sized: DataFrame, weights: tuple, budget: float, most: float)
     return ranked.select("source", "nth", "source_size", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _integrals(schedules: tuple) -> tuple[list[list[float]], list[list[float]]]:
+    """Each schedule's weights scaled to an integral of 1, and its integral up to each knot."""
+    weights, upto = [], []
+    for s in schedules:
+        steps = [(a + b) / 2 / (len(s) - 1) for a, b in zip(s[:-1], s[1:])]
+        total = sum(steps)
+        if min(s) < 0 or total <= 0:
+            raise ValueError("the weights of a schedule must not be negative, nor all zero")
+        weights.append([float(w) / total for w in s])
+        upto.append([sum(steps[:i]) / total for i in range(len(s))])
+    if len({len(s) for s in schedules}) > 1:
+        raise ValueError("schedules must have the same number of weights")
+    return weights, upto
+
+
+def _picked(tables: list[list[float]], nth: Column) -> Column:
+    return F.element_at(F.array(*[F.array(*[F.lit(x) for x in row]) for row in tables]), (nth % len(tables) + 1).cast("int"))
+
+
 def due_time(share: Column, nth: Column, schedules: tuple = SCHEDULES) -> Column:
-    """When a source's cumulative demand, as a share of its target, reaches ``share``: a*t + (b-a)*t*t/2 = share, solved for t."""
-    pick = (nth % len(schedules) + 1).cast("int")
-    scale = [(a + b) / 2 for a, b in schedules]
-    a = F.element_at(F.array(*[F.lit(float(x[0] / s)) for x, s in zip(schedules, scale)]), pick)
-    b = F.element_at(F.array(*[F.lit(float(x[1] / s)) for x, s in zip(schedules, scale)]), pick)
-    bend = b - a
-    return F.when(F.abs(bend) < 1e-9, share).otherwise((F.sqrt(F.greatest(a * a + 2 * bend * share, F.lit(0.0))) - a) / F.when(F.abs(bend) < 1e-9, F.lit(1.0)).otherwise(bend))
+    """When a source's cumulative demand, as a share of its target, reaches ``share``: a struct (step, x) of the number of
+    knots passed and the time since; solves a*x + (b-a)/(2h)*x*x = what is left of the share, h being a knot's distance."""
+    weights, upto = (_picked(t, nth) for t in _integrals(schedules))
+    h = 1 / (len(schedules[0]) - 1)
+    step = F.least(F.size(F.filter(upto, lambda c: c < share)), F.lit(len(schedules[0]) - 1)) - 1
+    step = F.greatest(step, F.lit(0))
+    a, b, left = F.get(weights, step), F.get(weights, step + 1), F.greatest(share - F.get(upto, step), F.lit(0.0))
+    bend = (b - a) / h
+    # the stable form of the root: no difference of nearly equal numbers, and right without a bend
+    x = 2 * left / F.greatest(a + F.sqrt(F.greatest(a * a + 2 * bend * left, F.lit(0.0))), F.lit(1e-300))
+    return F.struct(step.cast("int").alias("step"), F.least(x, F.lit(h)).alias("x"))
+
+
+def _streams(targets: DataFrame, schedules: tuple) -> DataFrame:
+    """``targets`` with the weights of all sources together, by their targets, and their integral, at each knot."""
+    weights, upto = (_picked(t, F.col("nth")) for t in _integrals(schedules))
+    whole = Window.partitionBy()
+    total = F.greatest(F.sum("target").over(whole), F.lit(1e-9))
+    at = lambda table: F.array(*[F.sum(F.col("target") * F.get(table, F.lit(i))).over(whole) / total for i in range(len(schedules[0]))])
+    return targets.withColumn("all_weights", at(weights)).withColumn("all_upto", at(upto))
+
+
+def position(due: Column, schedules: tuple = SCHEDULES) -> Column:
+    """The part of all words that is due by a time (step, x)."""
+    h = 1 / (len(schedules[0]) - 1)
+    a, b = F.get(F.col("all_weights"), due["step"]), F.get(F.col("all_weights"), due["step"] + 1)
+    return F.least(F.lit(1.0), F.get(F.col("all_upto"), due["step"]) + a * due["x"] + (b - a) / (2 * h) * due["x"] * due["x"])
 
 
 def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, most: float = 2.0, schedules: tuple = SCHEDULES) -> DataFrame:
@@ -63,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, most:
     tie = F.xxhash64("text")
     sized = written(docs.select("doc_id", tie.alias("tie"), "source", count_words(F.col("text")).alias("size"), F.xxhash64("doc_id", tie, F.lit(6)).alias("spot")), "mix-sizes")
     bits = min(16, max(6, math.ceil(math.log2(sized.count() / 4096 + 1))))
-    targets = source_targets(sized, weights, budget, most)
+    targets = _streams(source_targets(sized, weights, budget, most), schedules)
     sized = sized.withColumn("bucket", F.shiftrightunsigned("spot", 64 - bits))
     # a hot source is summed in two steps, first by buckets of its order, so no task holds all its rows
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, most:
     def copy(n: Column) -> Column:
         words = F.when(n < F.col("whole"), F.col("size")).otherwise(F.col("part"))
         middle = n * F.col("source_size") + F.col("place") + words / 2
-        return F.struct(n.alias("pass"), words.alias("words"), due_time(F.least(F.lit(1.0), middle / F.greatest(F.col("target"), F.lit(1e-9))), F.col("nth"), schedules).alias("position"))
+        return F.struct(n.alias("pass"), words.alias("words"), position(due_time(F.least(F.lit(1.0), middle / F.greatest(F.col("target"), F.lit(1e-9))), F.col("nth"), schedules), schedules).alias("position"))
 
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.col("whole")), copy), lambda c: c["words"] > 0)
     taken = (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")
@@ -95,7 +136,7 @@ def in_training_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
     A copy taken in part keeps its first words, joined by spaces; ``n_chars`` is set anew where the table has it.
     """
     names = docs.columns
-    held = docs.groupBy("doc_id", F.xxhash64("text").alias("tie")).agg(F.first(F.struct(*names)).alias("row"))
+    held = docs.groupBy("doc_id", F.xxhash64("text").alias("tie")).agg(F.first(F.struct(*[F.col(f"`{n}`") for n in names])).alias("row"))
     copies = plan.select(F.col("doc_id").alias("id"), F.col("tie").alias("t"), "size", F.explode("copies").alias("copy"))
     joined = copies.join(held, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tie")))
     words = F.filter(F.split("row.text", GAP), lambda w: w != "")
@@ -106,4 +147,7 @@ def in_training_order(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """The mix, range-sorted by the position of each document's first copy; documents that aren't taken come last."""
+    first = F.array_min(F.transform("copies", lambda c: c["position"]))
+    rows = mix(docs).withColumn("position", first)
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id", "tie").select("doc_id", "size", "source_size", "target", "taken", "position", "copies")

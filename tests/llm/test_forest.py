@@ -21,7 +21,6 @@ def table(spark, x, more=()):
 
 def test_recall_without_structure(spark, monkeypatch):
     monkeypatch.setattr(forest, "SHARD", 1500)
-    monkeypatch.setattr(forest, "QUERIES", 20)
     x = np.random.default_rng(0).normal(size=(4000, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = forest.nearest(table(spark, x), F.col("vec_id") % 100 == 0).collect()
@@ -33,6 +32,18 @@ def test_recall_without_structure(spark, monkeypatch):
         assert abs(r.score - np.sqrt(((x[r.vec_id].astype(float) - x[r.query_id]) ** 2).sum())) < 1e-12
 
 
+def test_a_small_shard_goes_through_the_trees():
+    x = np.random.default_rng(4).normal(size=(500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = forest.Forest(x, forest.TREES, forest.BITS)
+    want = exact(np.arange(500), x, range(0, 500, 5), 10)
+    looked, hits = 0, 0
+    for q, places in zip(want, f.candidates(x[::5], int(forest.PART * 500) + forest.TREES, 200)):
+        looked += len(places)
+        hits += sum(v in set(places.tolist()) for v, _ in want[q])
+    assert looked < 0.9 * 500 * len(want) and hits / (10 * len(want)) >= 0.92
+
+
 def test_odd_rows(spark):
     x = np.random.default_rng(1).normal(size=(30, 4)).astype(np.float32)
     more = [(100, None), (101, []), (102, [0.0] * 4), (103, [1.0, None, 0.0, 0.0]), (104, [1.0, float("nan"), 0.0, 0.0]), (105, [float("inf")] * 4), (None, [1.0] * 4), (200, [1.0, 2.0]), (201, [1.0, 3.0]), (7, [float(v) for v in x[7]]), (300, [float(v) for v in x[5]])]

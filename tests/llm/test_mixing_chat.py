@@ -50,13 +50,30 @@ def test_mix_follows_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_curriculum_inverts_the_schedule(spark):
+@pytest.mark.parametrize("schedules", [mixing.SCHEDULES, ((1, 0, 3, 2), (0, 0, 1, 1), (5, 5, 5, 5))])
+def test_curriculum_inverts_the_schedule(spark, schedules):
     from pyspark.sql import functions as F
 
     df = spark.range(0, 303).select((F.col("id") % 101 / 100).alias("u"), (F.col("id") % 3).alias("nth"))
-    for u, nth, t in df.select("u", "nth", mixing.due_time(F.col("u"), F.col("nth"))).collect():
-        a, b = mixing.SCHEDULES[nth]
-        assert a * t + (b - a) * t * t / 2 == pytest.approx(u, abs=1e-9)
+    for u, nth, (step, x) in df.select("u", "nth", mixing.due_time(F.col("u"), F.col("nth"), schedules)).collect():
+        w, h = schedules[nth], 1 / (len(schedules[nth]) - 1)
+        areas = [(a + b) / 2 * h for a, b in zip(w[:-1], w[1:])]
+        a, b = w[step], w[step + 1]
+        assert 0 <= x <= h + 1e-12 and (sum(areas[:step]) + a * x + (b - a) / (2 * h) * x * x) / sum(areas) == pytest.approx(u, abs=1e-7)
+
+
+def test_positions_are_places_in_the_stream_of_words(spark):
+    df, _ = table(spark)
+    rows = mixing.mix_query(df.withColumn("a.b", df["size"])).collect()
+    firsts = [r.position for r in rows if r.position is not None]
+    assert firsts == sorted(firsts) and all(r.position is None for r in rows[len(firsts) :])
+    copies = sorted((c.position, c.words) for r in rows for c in r.copies)
+    words, before = sum(n for _, n in copies), 0
+    for place, n in copies:
+        assert place == pytest.approx((before + n / 2) / words, abs=0.02)
+        before += n
+    held = mixing.in_training_order(df.withColumn("a.b", df["size"]), mixing.mix(df))
+    assert held.columns[-1] == "a.b" and held.count() == len(copies)
 
 
 def test_training_order_has_the_words_taken(spark):
