@@ -2,7 +2,11 @@
 
 The units are words, lower-cased by A-Z. A k-mer of words is an anchor if the smallest hash among the s-mers inside it
 lies at its first or last place. That depends on nothing outside the k-mer, so an edit changes only anchors that overlap
-it, and the same passage gives the same anchors in any text. An anchor keeps its position for matching by place.
+it, and the same passage gives the same anchors in any text. Short texts, and texts of very long words, have anchors of
+characters as well, which an edit of a word leaves standing.
+
+Anchors are matched by position: an entry of the fingerprint is an anchor's hash and its distance from the one before.
+So a passage matches where its anchors stand in the same places to each other, wherever it is in the text.
 """
 
 from __future__ import annotations
@@ -10,25 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnkappe.llm.common import GAP, lowered, range_cuts, shard_of
+from tarnkappe.llm.common import GAP, lowered, range_cuts, shard_of, spread_keys
+from tarnkappe.session import written
 
 K, S = 8, 2
+ANCHORS = "array<struct<position:int,hash:bigint>>"
+#: Texts of at most so many characters, or of more than so many a word, have anchors of characters too.
+SHORT, LONG_WORD = 512, 40
 
 
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """``df`` with ``out``, an array of (position, hash) in order of position, from the text column named.
-
-    A text with words but without an anchor (all with fewer than ``k`` words) has one: the hash of all its words at
-    position 1. Null and white space have none.
-    """
-    w, m, c = f"__{out}_words", f"__{out}_inner", f"__{out}_found"
-    words = F.filter(F.split(lowered(F.coalesce(F.col(text), F.lit(""))), GAP), lambda x: x != "")
-    df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
-    n = F.size(w)
-    inner = F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i: F.xxhash64(*[F.get(F.col(w), i + (j - 1)) for j in range(s)]))
+def _anchors(df: DataFrame, units: str, out: str, k: int, s: int) -> DataFrame:
+    """``df`` with ``out``, the anchors (position, hash) among the hashes in the array column ``units``."""
+    m, n, span = f"__{out}_inner", F.size(units), k - s + 1
+    inner = F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i: F.xxhash64(*[F.get(F.col(units), i + (j - 1)) for j in range(s)]))
     df = df.withColumn(m, F.when(n >= s, inner).otherwise(F.array().cast("array<bigint>")))
-    span = k - s + 1
-    # s-mers that tile the k-mer, and its last one, stand for its words
+    # s-mers that tile the k-mer, and its last one, stand for its units
     tiles = sorted({*range(0, span, s), span - 1})
 
     def judge(i: Column) -> Column:
@@ -38,19 +38,50 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
         return F.when((first == least) | (last == least), F.struct(i.cast("int").alias("position"), whole.alias("hash")))
 
     found = F.filter(F.transform(F.sequence(F.lit(1), n - (k - 1)), judge), lambda x: x.isNotNull())
-    df = df.withColumn(c, F.when(n >= k, found).otherwise(F.array().cast("array<struct<position:int,hash:bigint>>")))
+    return df.withColumn(out, F.when(n >= k, found).otherwise(F.array().cast(ANCHORS))).drop(m)
+
+
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """``df`` with ``out``, an array of (position, hash) in order of position, from the text column named.
+
+    Anchors of characters, where a text has them, stand behind those of words at negative positions, descending. A text
+    with words but without an anchor has one: the hash of all its words at position 1. Null and white space have none.
+    """
+    w, c, a, b = (f"__{out}_{x}" for x in ("words", "signs", "by_word", "by_sign"))
+    low = lowered(F.coalesce(F.col(text), F.lit("")))
+    words = F.filter(F.split(low, GAP), lambda x: x != "")
+    df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
+    n = F.size(w)
+    size = F.char_length(F.coalesce(F.col(text), F.lit("")))
+    signs = F.transform(F.split(F.array_join(words, " "), ""), lambda x: F.xxhash64(x))
+    fine = (n > 0) & ((size <= SHORT) | (size > LONG_WORD * n))
+    df = df.withColumn(c, F.when(fine, signs).otherwise(F.array().cast("array<bigint>")))
+    df = _anchors(_anchors(df, w, a, k, s), c, b, k, s)
+    behind = F.transform(b, lambda x: F.struct((-x["position"]).alias("position"), x["hash"].alias("hash")))
     alone = F.array(F.struct(F.lit(1).alias("position"), F.xxhash64(F.col(w)).alias("hash")))
-    return df.withColumn(out, F.when((F.size(c) > 0) | (n == 0), F.col(c)).otherwise(alone)).drop(w, m, c)
+    both = F.concat(a, behind)
+    return df.withColumn(out, F.when((F.size(both) > 0) | (n == 0), both).otherwise(alone)).drop(w, c, a, b)
+
+
+def entries(anchors: str) -> Column:
+    """The fingerprint as an array of texts: each anchor's hash in hexadecimal, 40 bits, and its distance from the one before."""
+
+    def entry(a: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col(anchors), i - 1)["position"], F.lit(0))
+        apart = F.when((i > 0) & (F.sign(before) == F.sign(a["position"])), a["position"] - before).otherwise(0)
+        return F.concat_ws("@", F.hex(F.shiftrightunsigned(a["hash"], 24)), apart.cast("string"))
+
+    return F.transform(anchors, entry)
 
 
 def as_string(anchors: str) -> Column:
-    """The anchors' hashes in order, as hexadecimal numbers of 40 bits."""
-    return F.array_join(F.transform(anchors, lambda a: F.hex(F.shiftrightunsigned(a["hash"], 24))), " ")
+    """The entries of the fingerprint in order."""
+    return F.array_join(entries(anchors), " ")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Shared part of the distinct anchors of both (Jaccard); 1 if neither has any."""
-    x, y = F.array_distinct(F.transform(a, lambda v: v["hash"])), F.array_distinct(F.transform(b, lambda v: v["hash"]))
+def likeness(a: Column, b: Column) -> Column:
+    """Shared part of the distinct entries of two fingerprints (Jaccard); 1 if neither has any."""
+    x, y = F.array_distinct(a), F.array_distinct(b)
     both = F.size(F.array_intersect(x, y))
     union = F.size(x) + F.size(y) - both
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
@@ -63,15 +94,17 @@ def with_next(docs: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
     window finds the next row, and a range's last row gets the first of the next range.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = rows.select("doc_id", (F.octet_length("text") + 64).cast("long").alias("bytes"))
+    sizes = written(rows.select("doc_id", (F.octet_length("text") + 64).cast("long").alias("bytes")), "syncmer-sizes")
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     cuts = range_cuts(sizes, "doc_id", "bytes", min(4096, max(1, -(-total // chunk_bytes))))
-    rows = rows.withColumn("chunk", shard_of(F.col("doc_id"), cuts))
+    keys = spread_keys(docs.sparkSession, len(cuts) + 1)
+    chunk = F.element_at(F.array(*map(F.lit, keys)), shard_of(F.col("doc_id"), cuts) + 1)
+    rows = rows.withColumn("chunk", chunk.cast("long"))
     order = Window.partitionBy("chunk").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    dealt = with_anchors(rows.repartition("chunk"), "text", "anchors")
+    dealt = with_anchors(rows.repartition(len(keys), "chunk"), "text", "anchors")
     inside = dealt.withColumn("next", F.lead(F.struct("text", "anchors")).over(order)).withColumn("ends", F.lead(F.lit(1)).over(order).isNull())
     # at most one row for each range: the largest id, and the range before which it stands
-    tops = rows.groupBy("chunk").agg(F.max("doc_id").alias("top"))
+    tops = sizes.groupBy(chunk.cast("long").alias("chunk")).agg(F.max("doc_id").alias("top"))
     up = Window.orderBy(F.col("top").desc_nulls_last())
     follows = F.coalesce(F.lag("chunk").over(up), F.last("chunk").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     tops = tops.withColumn("before", follows)
@@ -81,7 +114,7 @@ def with_next(docs: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
     heads = heads.select(F.col("before").alias("at"), F.struct("text", "anchors").alias("head"))
     joined = inside.join(heads, (F.col("chunk") == F.col("at")) & F.col("ends"), "left")
     after = F.coalesce("next", "head")
-    return joined.select("doc_id", "text", "anchors", F.coalesce(after["text"], F.lit("")).alias("next_text"), F.coalesce(after["anchors"], F.array().cast("array<struct<position:int,hash:bigint>>")).alias("next_anchors"))
+    return joined.select("doc_id", "text", "anchors", F.coalesce(after["text"], F.lit("")).alias("next_text"), F.coalesce(after["anchors"], F.array().cast(ANCHORS)).alias("next_anchors"))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -101,12 +134,14 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - cut), F.substr(F.col("next_text"), F.lit(1), cut))
     rows = with_anchors(rows.withColumn("edited", edited), "edited", "edited_anchors")
+    own = {c: entries(c) for c in ("anchors", "edited_anchors", "next_anchors")}
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[e.alias(c) for c, e in own.items()])
     return rows.select(
         "doc_id",
-        n.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        as_string("anchors").alias("fingerprint"),
-        as_string("edited_anchors").alias("edited_fingerprint"),
-        likeness("anchors", "edited_anchors").alias("near_edited"),
-        likeness("anchors", "next_anchors").alias("near_next"),
+        "n_chars",
+        "edited_sha256",
+        F.array_join("anchors", " ").alias("fingerprint"),
+        F.array_join("edited_anchors", " ").alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )

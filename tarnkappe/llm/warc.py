@@ -142,7 +142,7 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = 32 << 20, roll_by
     nothing = F.lit(None)
     decisions = later.select("page_id", F.col("first.url").alias("url"), nothing.cast("string").alias("html"), "digest", F.lit(0).alias("kind"), F.col("first.page_id").alias("first_id"))
     both = rows.select("*", F.lit(1).alias("kind"), nothing.cast("long").alias("first_id")).unionByName(decisions).withColumn("shard", shard_of(F.col("page_id"), cuts))
-    ordered = both.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    ordered = both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(base, recursive=True)
     manifest = f"_temporary/{uuid.uuid4().hex}"
