@@ -1,19 +1,22 @@
 """LM scoring with a log-bilinear neural model in numpy (operator 10).
 
-Words are counted over all training documents. The model predicts the next of ``CLASSES`` classes (the most frequent
-words, one class for all others, the end) from the two classes before it: each is looked up in a table of vectors and
-multiplied by a matrix of its own, the sum is compared with a vector for every class. It learns by noise-contrastive
-estimation: every partition of the training documents is one pass of its own, and the parameters are averaged by
-tokens. Scoring normalises: matrix products over blocks of contexts give the log of the sum over all classes. A word
-of the class for all others gets that class's probability times its smoothed share in it.
-
-The counts of the ``HEAD`` most frequent words go to the workers (a fixed number of pairs of integers). All rarer words
-are looked up by a join on their hash, so nothing that grows with the corpus is broadcast or sent to the driver.
+Words are counted over all training documents. The model predicts the next of ``CLASSES`` classes from the two classes
+before it: the most frequent words are classes of their own, all others fall into classes by their last letters, and the
+end is one. Each of the two is looked up in a table of vectors and multiplied by a matrix of its own, the sum is
+compared with a vector for every class. It learns by noise-contrastive estimation: every partition of the training
+documents is one pass of its own, and the parameters are averaged by tokens. Scoring normalises: matrix products over
+blocks of contexts give the log of the sum over all classes. A word in a class of several gets that class's probability
+times its smoothed share in it, from its count; so every word of the corpus, however many there are, has its own
+probability, and the probabilities of all words, known and unknown, sum up to one.
+
+The counts of at most ``HEAD`` most frequent words go to the workers (a fixed number of pairs of integers). All rarer
+words are looked up by a join on their hash, so nothing that grows with the corpus is broadcast or sent to the driver.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from tarnkappe.session import new_folder, small_batches, written
 
 CLASSES, DIM, NOISE, MINI, RATE, HEAD = 1024, 16, 24, 4096, 0.05, 32768
-OTHER, END, BEGIN = CLASSES - 2, CLASSES - 1, CLASSES
+#: Classes of single words; then come classes by ending, the end, and as a context only the begin.
+OWN = 640
+END, BEGIN = CLASSES - 1, CLASSES
 
 
 class _Codes(dict):
@@ -46,14 +51,19 @@ def _hashes(words) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64).view(np.int64)
 
 
+def _by_ending(words) -> np.ndarray:
+    """The class of a word that has none of its own: by its last two bytes, and by being longer than these."""
+    return np.array([OWN + zlib.crc32(w[-2:] + (b"+" if len(w) > 2 else b"")) % (END - OWN) for w in words], dtype=np.int64)
+
+
 def count_words(texts: DataFrame, most: int = 400_000) -> DataFrame:
-    """How often each word occurs in the binary column ``text``: h (hash of the word), c."""
+    """How often each word occurs in the binary column ``text``: h (hash of the word), k (its class by ending), c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = _Codes(), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(_hashes(codes)), pa.array(counts)], ["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(_hashes(codes)), pa.array(_by_ending(codes).astype(np.int32)), pa.array(counts)], ["h", "k", "c"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -73,7 +83,7 @@ def count_words(texts: DataFrame, most: int = 400_000) -> DataFrame:
         counts = counts[: len(codes)]
         yield out()
 
-    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "h long, k int, c long").groupBy("h").agg(F.min("k").alias("k"), F.sum("c").alias("c"))
 
 
 @dataclass
@@ -87,24 +97,40 @@ class Corpus:
     distinct: int
     documents: int
     class_counts: np.ndarray
+    class_sizes: np.ndarray  # different words in each class
 
-    @property
-    def other_total(self) -> float:
-        """Smoothed size of the class for all other words: its tokens, its different words, one for all unseen."""
-        named = np.count_nonzero(self.classes != OTHER)
-        return float(self.class_counts[OTHER] + (self.distinct - min(1, self.documents) - named) + 1)
+    def class_logs(self) -> np.ndarray:
+        """log10 of the smoothed size of the classes by ending: tokens, different words, one for all unseen; 0 for other classes."""
+        logs = np.log10(self.class_counts + self.class_sizes + 1.0)
+        logs[:OWN] = logs[END] = 0
+        return logs
 
 
 def gather(counts: DataFrame, documents: int) -> Corpus:
-    top = counts.orderBy(F.col("c").desc(), "h").limit(HEAD).collect()
-    words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # a histogram of the logarithms of counts, a few thousand bars at most, shows from which count on a word is in the head
+    bar = F.floor(F.log2("c") * 64).cast("int")
+    bars = {r.bar: r.n for r in counts.groupBy(bar.alias("bar")).agg(F.count("*").alias("n")).collect()}
+    held, least = 0, None
+    for b in sorted(bars, reverse=True):
+        held += bars[b]
+        if held > HEAD:
+            break
+        least = b
+    top = sorted(counts.filter(bar >= least).collect(), key=lambda r: (-r.c, r.h)) if least is not None else []
     h, c = np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64)
-    classes = np.where(np.arange(len(h)) < OTHER, np.arange(len(h)), OTHER)
-    by_class = np.zeros(CLASSES, np.int64)
-    by_class[: min(OTHER, len(h))] = c[:OTHER]
-    by_class[OTHER], by_class[END] = words - by_class.sum(), documents
+    ending = np.array([r.k for r in top], np.int64)
+    classes = np.where(np.arange(len(h)) < OWN, np.arange(len(h)), ending)
+    by_class, sizes = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        by_class[r.k], sizes[r.k] = r.c, r.n
+    words, distinct = int(by_class.sum()), int(sizes.sum())
+    own = min(OWN, len(h))
+    np.subtract.at(by_class, ending[:own], c[:own])
+    np.subtract.at(sizes, ending[:own], 1)
+    by_class[:own], sizes[:own] = c[:own], 1
+    by_class[END] = documents
     order = np.argsort(h)
-    return Corpus(h[order], c[order], classes[order], words + documents, distinct + min(1, documents), documents, by_class)
+    return Corpus(h[order], c[order], classes[order], words + documents, distinct + min(1, documents), documents, by_class, sizes)
 
 
 class _Batch:
@@ -118,7 +144,8 @@ class _Batch:
         at = np.minimum(np.searchsorted(corpus.head, self.hashes), max(0, len(corpus.head) - 1))
         self.known = corpus.head[at] == self.hashes if len(corpus.head) else np.zeros(len(codes), bool)
         self.counts = np.where(self.known, corpus.head_counts[at] if len(corpus.head) else 0, 0)
-        classes = np.append(np.where(self.known, corpus.classes[at] if len(corpus.head) else OTHER, OTHER), END)
+        ending = _by_ending(codes)
+        classes = np.append(np.where(self.known, corpus.classes[at], ending) if len(corpus.head) else ending, END)
         n = len(codes)
         self.words = np.concatenate([np.append(x, n) for x in each]) if each else np.zeros(0, np.int64)  # n is the end
         self.owner = np.repeat(np.arange(len(each)), self.sizes)
@@ -200,21 +227,22 @@ def train(texts: DataFrame, corpus: Corpus) -> Model:
                 model.learn(b.now[pick], b.one[pick], b.two[pick], r)
             tokens += len(order)
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(model.flat))), pa.array(model.flat.astype(np.float64) * tokens), pa.array(np.full(len(model.flat), tokens))], ["i", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([model.flat.astype(np.float64) * tokens]), pa.array([tokens])], ["v", "n"])
 
-    sums = texts.mapInArrow(run, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+    passes = texts.mapInArrow(run, "v array<double>, n long").select("n", F.posexplode("v").alias("i", "v"))
+    sums = passes.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
     model = Model(corpus)
     return Model(corpus, np.array([r.v for r in sorted(sums)], np.float32)) if sums else model
 
 
-SCALARS = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, others long, other_logs double, hashes array<long>, counts array<int>"
+SCALARS = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, other_logs double, hashes array<long>, counts array<int>"
 
 
 def _score(corpus: Corpus, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(corpus, flat)
         sums = np.full((CLASSES + 1) ** 2, np.nan, np.float32)
-        end_log = math.log10(corpus.documents + 1)
+        end_log, class_logs = math.log10(corpus.documents + 1), corpus.class_logs()
         for batch in batches:
             b = _Batch(corpus, batch.column(3).to_pylist())
             context = b.one * (CLASSES + 1) + b.two
@@ -228,7 +256,8 @@ def _score(corpus: Corpus, flat: np.ndarray):
             model_log = (at + model.bias[b.now] - sums[context]).astype(np.float64) / math.log(10)
             logs = np.append(np.log10(b.counts + 1.0), end_log)[b.words]
             known = np.append(b.known, corpus.documents > 0)[b.words]
-            other = b.now == OTHER
+            # words in classes of several: their share, as far as their counts are at hand
+            shared = np.where((b.now >= OWN) & (b.now < END), logs, 0.0) - class_logs[b.now]
             # words that only the join knows: each once for each text, with its count
             rare = np.append(~b.known, False)[b.words]
             keys, n = np.unique(b.owner[rare] * (len(b.hashes) + 1) + b.words[rare], return_counts=True)
@@ -236,7 +265,7 @@ def _score(corpus: Corpus, flat: np.ndarray):
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(b.sizes)))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(b.sizes)]
-                + [pa.array(b.sums(known).astype(np.int64)), pa.array(b.sums(logs)), pa.array(b.sums(model_log)), pa.array(b.sums(other).astype(np.int64)), pa.array(b.sums(logs * other))]
+                + [pa.array(b.sums(known).astype(np.int64)), pa.array(b.sums(logs)), pa.array(b.sums(model_log)), pa.array(b.sums(shared))]
                 + [pa.ListArray.from_arrays(ends, pa.array(b.hashes[word])), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
                 [x.split()[0] for x in SCALARS.split(", ")],
             )
@@ -264,10 +293,10 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     numbered.mapInArrow(_score(corpus, model.flat), SCALARS).write.parquet(path)
     scored = spark.read.schema(SCALARS).parquet(path)
     rare = scored.select("row", F.explode(F.arrays_zip("hashes", "counts")).alias("x")).select("row", F.col("x.hashes").alias("h"), F.col("x.counts").alias("n"))
-    found = rare.join(counts.hint("shuffle_hash"), "h").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    found = rare.join(counts.drop("k"), "h").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
     both = scored.drop("hashes", "counts").join(found, "row", "left").na.fill(0, ["more"]).na.fill(0.0, ["more_logs"])
     base = F.col("logs") + F.col("more_logs") - F.col("n_tokens") * F.lit(math.log10(corpus.tokens + corpus.distinct + 1))
-    whole = F.col("model") + F.col("other_logs") + F.col("more_logs") - F.col("others") * F.lit(math.log10(corpus.other_total))
+    whole = F.col("model") + F.col("other_logs") + F.col("more_logs")
     return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(corpus.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
 
 

@@ -51,9 +51,9 @@ def test_rare_words_come_by_the_join(spark, monkeypatch):
 
 
 def test_probabilities_sum_to_one():
-    counts = np.zeros(lm.CLASSES, np.int64)
-    counts[:5], counts[lm.OTHER], counts[lm.END] = [50, 40, 30, 20, 10], 25, 7
-    corpus = lm.Corpus(np.arange(5), counts[:5], np.arange(5), 182, 20, 7, counts)
+    counts, sizes = np.zeros(lm.CLASSES, np.int64), np.zeros(lm.CLASSES, np.int64)
+    counts[:5], counts[lm.OWN], counts[lm.END], sizes[lm.OWN] = [50, 40, 30, 20, 10], 25, 7, 14
+    corpus = lm.Corpus(np.arange(5), counts[:5], np.arange(5), 182, 20, 7, counts, sizes)
     model, r = lm.Model(corpus), np.random.default_rng(0)
     now = r.integers(0, 5, 512)
     for _ in range(20):
@@ -61,7 +61,45 @@ def test_probabilities_sum_to_one():
     for one, two in ((lm.BEGIN, lm.BEGIN), (1, 4)):
         s = model.context(np.array([one]), np.array([two])) @ model.out.T + model.bias
         assert np.exp(s - model.log_sum(np.array([one]), np.array([two]))[:, None]).sum() == pytest.approx(1, abs=1e-4)
-    assert corpus.other_total == 25 + (20 - 1 - 5) + 1
+    assert 10 ** corpus.class_logs()[lm.OWN] == pytest.approx(25 + 14 + 1)
+
+
+@pytest.mark.parametrize("head", [32768, 40, 4])
+def test_score_is_the_models_by_hand(spark, monkeypatch, head):
+    """An independent pass, token by token, over the parameters that the workers are given."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    kept = {}
+    made = lm.train
+    monkeypatch.setattr(lm, "train", lambda texts, corpus: kept.setdefault("m", (made(texts, corpus), corpus))[0])
+    df, rows = table(spark, 60)
+    got = lm.lm_query(df.coalesce(1)).collect()
+    model, corpus = kept["m"]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    counts = Counter(t for d, x in rows if not held(d) for t in tokens(x) if t)
+    hashed = {int(lm._hashes([w.encode()])[0]): w for w in counts}
+    single = {hashed[int(h)]: int(k) for h, k in zip(corpus.head, corpus.classes) if k < lm.OWN}
+    ending = lambda w: int(lm._by_ending([w.encode()])[0])
+    size = Counter()
+    for w, n in counts.items():
+        if w not in single:
+            size[ending(w)] += n + 1
+
+    def by_hand(text):
+        one = two = lm.BEGIN
+        total = 0.0
+        for t in tokens(text):
+            k = lm.END if t is None else single.get(t, None)
+            k = ending(t) if k is None else k
+            s = (model.seen[one] @ model.one + model.seen[two] @ model.two) @ model.out.T + model.bias
+            total += (s[k] - s.max() - np.log(np.exp(s - s.max()).sum())) / math.log(10)
+            if t is not None and t not in single:
+                total += math.log10((counts[t] + 1) / (size[k] + 1))
+            one, two = k, one
+        return total
+
+    want = sorted((str(d), len(tokens(x)), by_hand(x)) for d, x in rows)
+    for (d, n, s), r in zip(want, sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens, r.score))):
+        assert (d, n) == (str(r.doc_id), r.n_tokens) and r.score == pytest.approx(s, rel=1e-4, abs=1e-3)
 
 
 def test_odd_tables(spark):
