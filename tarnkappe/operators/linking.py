@@ -95,20 +95,44 @@ def owned_parts(linked: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "key").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("owners")).filter("owners = 1").drop("owners")
 
 
-def propagate(tokens: DataFrame, owned: DataFrame, covered: DataFrame) -> DataFrame:
+def manual_parts(terms: DataFrame) -> DataFrame:
+    """(doc_id, key, entity) of the words of terms (doc_id, term) that were marked by hand; a word of two terms is the smaller's."""
+    whole = fold(F.trim(F.regexp_replace("term", r"[\s\x{a0}]+", " ")))
+    rows = terms.select("doc_id", whole.alias("whole")).select("doc_id", F.concat(F.lit("M|"), "whole").alias("entity"), F.explode(F.split("whole", " ")).alias("key"))
+    rows = rows.filter((F.char_length("key") >= 2) & ~one_of(F.col("key"), lexicon.PARTICLES))
+    return rows.groupBy("doc_id", "key").agg(F.min("entity").alias("entity"))
+
+
+def joined_words(hits: DataFrame) -> DataFrame:
+    """Hits of one entity in a unit with at most one sign between become one, with the parts of all: gaps and islands."""
+    order = Window.partitionBy("doc_id", "unit_id").orderBy("start")
+    apart = (F.col("entity") != F.lag("entity").over(order)) | (F.col("start") - F.lag("end").over(order) > 1)
+    island = F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = hits.withColumn("island", island).groupBy("doc_id", "unit_id", "entity", "island").agg(F.array_sort(F.collect_list(F.struct("start", "end", "certainty", "suffix", "titled", "off", "single", "parts"))).alias("all"), F.max("link").alias("link"))
+    keys = F.transform("all", lambda x: x["single"])
+    n, first, last = F.size("all"), F.get("all", 0), F.element_at("all", -1)
+    empty = F.lit(None).cast("string")
+    return rows.select(
+        "doc_id", "unit_id", first["start"].alias("start"), last["end"].alias("end"), first["certainty"].alias("certainty"), last["suffix"].alias("suffix"), first["titled"].alias("titled"), first["off"].alias("off"),
+        F.when(n > 1, F.array_join(F.slice(keys, 1, n - 1), " ")).otherwise(empty).alias("given"), F.when(n > 1, F.element_at(keys, -1)).alias("surname"), F.when(n == 1, F.get(keys, 0)).alias("single"),
+        F.flatten(F.transform("all", lambda x: x["parts"])).alias("parts"), "entity", "link",
+    )
+
+
+def propagate(tokens: DataFrame, owned: DataFrame, covered: DataFrame, marked: bool = False) -> DataFrame:
     """Further places of owned parts among flagged tokens that no hit of ``covered`` (doc_id, unit_id, start, end) touches.
 
     A token fits with the first of its stems that is a part; ambiguous words only with a capital, and then uncertain,
-    and off behind an article or preposition.
+    and off behind an article or preposition. Parts that are ``marked`` by hand are certain wherever they stand.
     """
     near = Window.partitionBy("doc_id", "unit_id").orderBy("pos")
     before = F.coalesce(F.lag("determiner").over(near), F.lit(False)) | F.coalesce(F.lag("preposition").over(near), F.lit(False))
-    words = tokens.withColumn("noun", before).filter("word and not stop and not particle and not strong and not weak and not exception")
+    words = tokens.withColumn("noun", before).filter("word and not exception" if marked else "word and not stop and not particle and not strong and not weak and not exception")
     free = words.join(covered.select("doc_id", "unit_id", F.col("start").alias("s"), F.col("end").alias("e")), (words["doc_id"] == covered["doc_id"]) & (words["unit_id"] == covered["unit_id"]) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")
     cuts = free.select("doc_id", "unit_id", "start", "end", "text", "cap", "ambiguous", "noun", F.posexplode(stems(F.col("text"))).alias("nth", "cut"))
-    found = cuts.withColumn("key", fold(F.col("cut.stem"))).join(owned, ["doc_id", "key"]).filter("cap or not ambiguous")
+    found = cuts.withColumn("key", fold(F.col("cut.stem"))).join(owned, ["doc_id", "key"]).filter("true" if marked else "cap or not ambiguous")
     first = F.row_number().over(Window.partitionBy("doc_id", "unit_id", "start").orderBy("nth"))
-    sure = F.col("cap") & ~F.col("ambiguous")
+    sure = F.lit(True) if marked else F.col("cap") & ~F.col("ambiguous")
     return found.withColumn("best", first).filter("best = 1").select(
         "doc_id", "unit_id", "start", "end", "entity", "key", F.col("cut.suffix").alias("suffix"),
         F.when(sure, "certain").otherwise("uncertain").alias("certainty"), (~sure & F.col("ambiguous") & F.col("noun")).alias("off"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnkappe.functions.text import apply_spans
-from tarnkappe.operators import checks, linking, organisations, reversible
+from tarnkappe.operators import checks, columns, linking, organisations, reversible
 from tarnkappe.operators.contacts import LABELS, ContactOptions, contact_rows
 from tarnkappe.operators.mentions import person_mentions
 from tarnkappe.operators.tokens import flagged, tokens
@@ -33,12 +33,34 @@ class Result:
     leaks: DataFrame  # doc_id, unit_id, start, word, entity
 
 
-def pseudonymise(units: DataFrame, names: DataFrame, options: Options = Options(), exceptions: DataFrame | None = None, org_terms: DataFrame | None = None, overrides: DataFrame | None = None) -> Result:
+def _words(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Single words found by their keys, as mentions of the columns of ``like``."""
+    no_text = F.lit(None).cast("string")
+    single = F.array(F.struct(F.lit("word").alias("kind"), "start", "end", (F.col("end") - F.char_length("suffix")).cast("int").alias("stem_end"), "key", F.lit(False).alias("first"), F.lit(False).alias("last"), F.lit(False).alias("ambiguous"), F.lit(True).alias("known"), F.lit(False).alias("shaped")))
+    return rows.select("doc_id", "unit_id", "start", "end", "certainty", "suffix", F.lit(False).alias("titled"), "off", no_text.alias("given"), no_text.alias("surname"), F.col("key").alias("single"), single.cast(like.schema["parts"].dataType).alias("parts"), "entity", no_text.alias("link"))
+
+
+def pseudonymise(
+    units: DataFrame,
+    names: DataFrame,
+    options: Options = Options(),
+    exceptions: DataFrame | None = None,
+    org_terms: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+    cells: DataFrame | None = None,
+    name_columns: DataFrame | None = None,
+    manual: DataFrame | None = None,
+    merges: DataFrame | None = None,
+    unlinks: DataFrame | None = None,
+) -> Result:
     """Run all steps on units (doc_id, unit_id, text).
 
-    Contacts come first, then listed organisations, then names; later steps skip what earlier ones took. ``overrides``
-    (doc_id, unit_id, start, end, on) switches single hits. Every step is a join, window or aggregate by doc_id; the
-    hits are written once between detection and replacement.
+    Contacts come first, then listed organisations, name columns, names in texts, terms marked by hand, and parts of
+    found names; later steps skip what earlier ones took. Every step is a join, window or aggregate by doc_id; the hits
+    are written once between detection and replacement. The answers of a review are tables: ``overrides`` (doc_id,
+    unit_id, start, end, on) switches single hits, ``cells`` (doc_id, unit_id, table_id, r, c) says where units stand in
+    tables and ``name_columns`` (doc_id, table_id, c, on) which columns hold names, ``manual`` (doc_id, term) adds names,
+    ``merges`` (doc_id, entity, target) makes entities one, ``unlinks`` (doc_id, own) keeps short forms apart.
     """
     units = units.select("doc_id", "unit_id", "text")
     found = written(contact_rows(units, ["doc_id", "unit_id"], options=options.contacts), "contacts")
@@ -51,14 +73,29 @@ def pseudonymise(units: DataFrame, names: DataFrame, options: Options = Options(
         orgs = orgs.join(spots, (orgs["doc_id"] == spots["doc_id"]) & (orgs["unit_id"] == F.col("u")) & (orgs["start"] < F.col("e")) & (orgs["end"] > F.col("s")), "left_anti")
         taken = taken.unionByName(orgs.select("doc_id", "unit_id", "start", "end"))
     spots = taken.select(F.col("doc_id").alias("d"), F.col("unit_id").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"))
+    of_cells = None
+    if cells is not None:
+        placed = cells.select("doc_id", "unit_id", "table_id", "r", "c").join(units, ["doc_id", "unit_id"])
+        of_cells = written(columns.cell_mentions(tok, placed, name_columns), "cells")
+        spots = spots.unionByName(of_cells.select(F.col("doc_id").alias("d"), F.col("unit_id").alias("u"), F.col("start").alias("s"), F.col("end").alias("e")))
     inside = tok.join(spots, (F.col("doc_id") == F.col("d")) & (F.col("unit_id") == F.col("u")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_semi").select("doc_id", "unit_id", "pos", F.lit(True).alias("taken"))
     marked = tok.join(inside, ["doc_id", "unit_id", "pos"], "left")
     mentions = written(person_mentions(marked, F.col("taken"), options.unsure_on), "mentions")
-    linked = written(linking.link(mentions), "linked")
-    spread = linking.propagate(tok, linking.owned_parts(linked), taken.unionByName(linked.select("doc_id", "unit_id", "start", "end")))
-    single = F.array(F.struct(F.lit("word").alias("kind"), "start", "end", (F.col("end") - F.char_length("suffix")).cast("int").alias("stem_end"), "key", F.lit(False).alias("first"), F.lit(False).alias("last"), F.lit(False).alias("ambiguous"), F.lit(True).alias("known"), F.lit(False).alias("shaped")))
-    more = spread.select("doc_id", "unit_id", "start", "end", "certainty", "suffix", F.lit(False).alias("titled"), "off", F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("surname"), F.col("key").alias("single"), single.cast(linked.schema["parts"].dataType).alias("parts"), "entity", F.lit(None).cast("string").alias("link"))
-    persons = written(linked.drop("own").unionByName(more).join(units, ["doc_id", "unit_id"]), "persons")
+    mentions = mentions if of_cells is None else mentions.unionByName(of_cells)
+    linked = written(linking.link(mentions, unlinks), "linked")
+    by_hand, joins = None, merges
+    if manual is not None:
+        parts = linking.manual_parts(manual)
+        covered = taken.unionByName(linked.select("doc_id", "unit_id", "start", "end"))
+        by_hand = written(linking.joined_words(_words(linking.propagate(tok, parts, covered, marked=True), linked)), "by-hand")
+        own = linked.join(parts.withColumnRenamed("entity", "target"), "doc_id").filter("key = coalesce(single, surname)").select("doc_id", "entity", "target").distinct()
+        joins = own if merges is None else own.unionByName(merges.select("doc_id", "entity", "target"))
+    taken_by = taken.unionByName(linked.select("doc_id", "unit_id", "start", "end"))
+    taken_by = taken_by if by_hand is None else taken_by.unionByName(by_hand.select("doc_id", "unit_id", "start", "end"))
+    more = _words(linking.propagate(tok, linking.owned_parts(linked), taken_by), linked)
+    people = linked.drop("own").unionByName(more if by_hand is None else more.unionByName(by_hand))
+    people = people if joins is None else linking.resolve_merges(people, joins)
+    persons = written(people.join(units, ["doc_id", "unit_id"]), "persons")
     words = linking.placeholder_words(units)
     blocked = linking.reserved(words)
     letters = written(linking.letters(persons.select("doc_id", "entity", "unit_id", "start"), blocked if options.mode == "person" else None), "letters")

@@ -15,11 +15,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary folder is
-    made, one for each application.
+    A cluster names it in ``spark.checkpoint.dir``. Only on a local master (tests, a laptop) where that is unset a
+    temporary folder is made, one for each application; on a cluster the executors wouldn't see it.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))

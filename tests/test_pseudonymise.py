@@ -61,6 +61,28 @@ def test_name_mode_and_overrides(spark):
     assert {(x.doc_id, x.word) for x in r.leaks.collect()} == {(1, "Müller")}
 
 
+def test_answers_of_a_review(spark):
+    lines = ["Anna Müller und A. Weber", "Müller kam, Peter Weber auch", "xaver quark, der Quarks", "Quark Xaver"]
+    df = units(spark, lines)
+    out = masked(pseudonymise(df, seed_names(spark), manual=spark.createDataFrame([(1, "Xaver  Quark")], "doc_id long, term string")))
+    assert out[0] == "Person A und Person B" and out[1] == "Person A kam, Person C auch"
+    assert out[2] == "Person D, der Person Ds" and out[3] == "Person D"
+    one = spark.createDataFrame([(1, "N|a.|weber", "N|peter|weber")], "doc_id long, entity string, target string")
+    apart = spark.createDataFrame([(1, "S|muller")], "doc_id long, own string")
+    r = pseudonymise(df, seed_names(spark), merges=one, unlinks=apart)
+    assert masked(r)[:2] == ["Person A und Person B", "Person C kam, Person B auch"]
+    assert masked(r, 2)[:2] == ["Person A und Person B", "Person A kam, Person C auch"]
+
+
+def test_name_columns_in_the_plan(spark):
+    grid = [["Nr", "Vorname", "Nachname", "Notiz"], ["1", "Thi Lan", "Ngu", "Ngu fehlt"], ["2", "Jo", "N.N.", "-"]]
+    rows = [(1, 10 * r + c, "t", r, c, t) for r, row in enumerate(grid) for c, t in enumerate(row)]
+    table = spark.createDataFrame(rows, "doc_id long, unit_id int, table_id string, r int, c int, text string")
+    r = pseudonymise(table, seed_names(spark), cells=table)
+    out = {x.unit_id: x.masked for x in r.output.collect()}
+    assert (out[11], out[12], out[13], out[21], out[22]) == ("Person A", "Person A", "Person A fehlt", "Person B", "N.N.")
+
+
 def test_broken_keys(spark):
     rows = spark.createDataFrame([(1, ""), (2, "{"), (3, '{"version":9,"placeholders":[]}'), (4, '{"version":1,"placeholders":[]}'), (5, '{"version":1,"placeholders":[{"placeholder":"a","value":"b"},{"placeholder":"a","value":"c"}]}'), (6, '{"version":1,"placeholders":[{"placeholder":"a"}]}')], "doc_id long, key string")
     assert {x.doc_id: x.problem for x in reversible.parse_key(rows).collect()} == {1: "empty", 2: "not a key", 3: "unknown version", 4: "no placeholders", 5: "repeated placeholder", 6: "damaged entry"}
