@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnkappe.session import small_batches
@@ -128,16 +128,19 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 200_000, held: int = 1, folds: int = 3) -> Net:
-    """Learn labels.quality from at most ``sample`` labelled rows of the folds other than ``held``.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 200_000, held: int | None = 1, folds: int = 3, most: int = 64 << 20) -> Net:
+    """Learn labels.quality from at most ``sample`` labelled rows of the folds other than ``held`` (of all, if None).
 
-    The rows with the smallest hashes of ids are taken, whole texts of at most ``longest`` bytes each, so the driver
-    holds a bounded number of them. Labels of null are left out; of several labels of one document the larger counts.
+    The rows with the smallest hashes of ids are taken, whole texts of at most ``longest`` bytes each and as many as
+    have ``most`` bytes together, so the driver holds a bounded part of the corpus. Labels of null are left out; of several labels of one document the larger counts.
     """
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held))
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    known = known if held is None else known.filter(remainder(F.col("doc_id"), folds) != held)
     known = known.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
-    rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).orderBy("doc_id", "text").limit(sample).select("text", "label").collect()
+    taken = texts.join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).orderBy("doc_id", "text").limit(sample)
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = taken.withColumn("upto", upto).filter(F.col("upto") <= most).select("text", "label").collect()
     return train([r.text.encode() for r in rows], [r.label for r in rows])
 
 

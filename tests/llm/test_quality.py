@@ -59,3 +59,19 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.quality_query(docs, none).collect()} == {0.5}
     assert quality.quality_query(docs.limit(0), none).count() == 0
+
+
+def test_logits_by_hand():
+    """An independent forward pass: windows, answers, maxima and means in plain loops."""
+    r = np.random.default_rng(2)
+    net = quality.Net(5)
+    net.bias, net.offset = r.normal(size=quality.FILTERS).astype(np.float32), np.array([0.3], np.float32)
+    for text in (b"", b"short", bytes(r.integers(0, 256, 700, dtype=np.uint8)), b"ab " * 400):
+        chunks = []
+        for at in range(0, max(1, len(text) - (quality.CHUNK - quality.STEP)), quality.STEP):
+            piece = list(text[at : at + quality.CHUNK])
+            piece += [quality.PAD] * (quality.CHUNK - len(piece))
+            answers = [np.concatenate([net.vectors[b] for b in piece[i : i + quality.WIDTH]]) @ net.filters for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+            chunks.append(float(np.maximum(np.max(answers, axis=0) + net.bias, 0) @ net.weights))
+        want = 1 / (1 + np.exp(-(np.mean(chunks) + 0.3)))
+        assert abs(net.scores([text])[0] - want) < 1e-4
