@@ -11,9 +11,13 @@ from tarnkappe.session import small_batches, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of label 1 is at least 0.5; learned from the labels of the documents at hand."""
+    """Documents whose probability of label 1 is at least 0.5; learned from all labels of the documents at hand.
+
+    Null and empty texts are scored as empty ones; repeated rows are judged each; without labels a document's score is
+    one half, and all stay; an empty table gives none.
+    """
     small_batches(spark)
-    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held=None)
     return docs.filter(quality.score(net)(F.col("text")) >= 0.5)
 
 
@@ -31,7 +35,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 1024-token sequences, with their ids; ``docs`` are read from files and packed in the order of these."""
+    """Pieces of 1024-token sequences, with their ids; ``docs`` are read from files and packed in the order of these.
+
+    Null texts are a piece with the end id alone, repeated rows are packed each, an empty table gives no pieces.
+    """
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, length=1024, runs=packing.file_runs(docs))
 
 
