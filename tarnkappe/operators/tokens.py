@@ -93,11 +93,10 @@ def _hyphened(cuts: DataFrame, names: DataFrame) -> DataFrame:
     parts = parts.join(names, "key", "left").withColumn("known", F.col("first").isNotNull())
     at = lambda ends, name: ends(F.struct("place", F.coalesce(F.col(name), F.lit(False)).alias("is")))["is"]
     clear = F.max(F.coalesce(F.col("last") & ~F.col("ambiguous"), F.lit(False)))
-    sums = parts.groupBy("text", "nth").agg(
+    return parts.groupBy("text", "nth").agg(
         F.min("known").alias("whole_known"), (at(F.min, "first") & at(F.max, "first")).alias("part_first"), at(F.max, "last").alias("part_last"),
         F.min(F.coalesce("ambiguous", F.lit(False))).alias("part_ambiguous"), (clear & ~F.min("known")).alias("part_shaped"),
     )
-    return sums
 
 
 def flagged(rows: DataFrame, names: DataFrame, exceptions: DataFrame | None = None, most: int = 300_000, salts: int = 16) -> DataFrame:
