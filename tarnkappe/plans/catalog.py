@@ -13,7 +13,8 @@ from tarnkappe.functions.lexicon import seed_names
 from tarnkappe.functions.text import fold, letter_for
 from tarnkappe.operators import checks, columns, linking, organisations, reversible
 from tarnkappe.operators.contacts import LABELS, ContactOptions, contact_rows, iban_remainder, with_masked
-from tarnkappe.operators.tokens import tiles
+from tarnkappe.operators.mentions import person_mentions
+from tarnkappe.operators.tokens import flagged, tiles, tokens
 from tarnkappe.plans.pseudonymise import Options, pseudonymise
 
 
@@ -175,8 +176,6 @@ ORG_TEXT = "concat('Im ', CASE WHEN o_orderkey % 4 = 0 THEN 'Haus Rose' WHEN o_o
 
 def org_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(ORG_TEXT).alias("text"))
-    from tarnkappe.operators.tokens import tokens
-
     found = organisations.find(tokens(units), spark.createDataFrame([(t,) for t in ORG_TERMS], "term string"))
     return found.select("doc_id", "unit_id", F.col("start").cast("long").alias("start"), "term", "suffix")
 
@@ -196,9 +195,54 @@ def reversible_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reversible.restore(result.output.select("doc_id", "unit_id", F.col("masked").alias("text")), result.key).select("doc_id", "unit_id", "restored")
 
 
+#: Pairs of lines, and the names in them: line, start, end, certainty, off, suffix. A line that begins with {p} gets a
+#: heading of the length of its order's key, and its names stand so much further on.
+NAMED_LINES = [
+    ("{p}Anna-Lena Müller-Schmidt war da", "niemand", [(0, 0, 24, "certain", False, "")]),
+    ("Mit freundlichen Grüßen,", "Jolanthe Quandt", [(1, 0, 15, "uncertain", False, "")]),
+    ("Frau", "Unbekannter", [(1, 0, 11, "uncertain", False, "")]),
+    ("Es sprach Herr", "Quandt zuerst.", [(1, 0, 6, "uncertain", False, "")]),
+    ("{p}Müller, Anna und Peter", "", [(0, 0, 12, "certain", False, ""), (0, 17, 22, "certain", False, "")]),
+    ("{p}Im Winter kam die Frau nach Hause.", "heute", [(0, 3, 9, "uncertain", True, "")]),
+    ("{p}Herr Dr. von Bodelschwingh und Prof. A. Weber", "auch", [(0, 9, 26, "certain", False, ""), (0, 37, 45, "certain", False, "")]),
+    ("{p}Am Freitag im August", "um drei", [(0, 14, 20, "uncertain", True, "")]),
+    ("{p}Die Frau Weber und das Winter-Haus", "Raum 5", [(0, 9, 14, "certain", False, "")]),
+    ("{p}Ahmets Bruder, Ahmet Bey", "kam", [(0, 0, 6, "certain", False, "s"), (0, 15, 24, "certain", False, "")]),
+    ("{p}Kollegin Jolanthe schrieb an Jolanthe Kowalski", "-", [(0, 9, 17, "uncertain", False, ""), (0, 29, 46, "uncertain", False, "")]),
+    ("{p}TOP IBAN GMBH", "ohne Namen", []),
+]
+
+
+def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names found in two lines for each order: double names, titles, forms of address that hand on, closes of letters."""
+    pairs = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b, _ in NAMED_LINES])
+    lines = F.element_at(pairs, (F.col("o_orderkey") % len(NAMED_LINES) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "line"))
+    heading = F.concat(F.lit("Akte "), F.col("doc_id").cast("string"), F.lit(": "))
+    units = rows.select("doc_id", "unit_id", F.replace(F.col("line"), F.lit("{p}"), heading).alias("text"))
+    found = person_mentions(flagged(tokens(units), seed_names(spark)))
+    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("unit_id", "start", "end")], "certainty", "off", "suffix")
+
+
+PART_LINES = ["Dann Webers Hut", "ein muller kam", "dort KAYA", "und Nowaks", "bei Clara"]
+
+
+def propagate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a customer's names that one person alone owns, found again in the lines of the orders; every fourth line
+    belongs to other hits."""
+    orders = _table(spark, sf_dir, "orders")
+    part = lambda sql: F.struct(F.lit("word").alias("kind"), F.expr(sql).alias("key"))
+    linked = orders.select(F.col("o_custkey").alias("doc_id"), F.expr(f"concat('N|', {GIVEN_SQL}, '|', {SURNAME_SQL})").alias("entity"), F.lit("certain").alias("certainty"), F.array(part(GIVEN_SQL), part(SURNAME_SQL)).alias("parts"))
+    line = F.element_at(F.array(*map(F.lit, PART_LINES)), (F.col("o_orderkey") % len(PART_LINES) + 1).cast("int"))
+    units = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), line.alias("text"))
+    covered = units.filter("unit_id % 4 = 0").select("doc_id", "unit_id", F.lit(0).alias("start"), F.lit(20).alias("end"))
+    found = linking.propagate(flagged(tokens(units), seed_names(spark)), linking.owned_parts(linked), covered)
+    return found.select("doc_id", "unit_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "entity", "key", "suffix", "certainty", "off")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (mask_documents, mask_contacts, contact_email, contact_phone, contact_kinds, iban_check, tokens_tiling, token_freq, fold_keys, link_short_forms, person_letters, display_forms, letter_series, contact_numbers, restore_plan, leak_check, name_columns, org_phrases, letters_whole_plan, reversible_round_trip)
+    for f in (mask_documents, mask_contacts, contact_email, contact_phone, contact_kinds, iban_check, tokens_tiling, token_freq, fold_keys, link_short_forms, person_letters, display_forms, letter_series, contact_numbers, restore_plan, leak_check, name_columns, org_phrases, letters_whole_plan, reversible_round_trip, names_in_texts, propagate_parts)
 }
 
 _LETTER = "CASE WHEN {n} < 26 THEN chr(65 + CAST({n} AS INTEGER)) WHEN {n} < 702 THEN chr(64 + CAST({n} // 26 AS INTEGER)) || chr(65 + CAST({n} % 26 AS INTEGER)) ELSE chr(65 + CAST((({n} // 26 - 1) // 26 - 1) % 26 AS INTEGER)) || chr(65 + CAST(({n} // 26 - 1) % 26 AS INTEGER)) || chr(65 + CAST({n} % 26 AS INTEGER)) END"
@@ -223,6 +267,7 @@ for _old, _new in {"ß": "ss", "ı": "i", "ł": "l", "đ": "d", "ø": "o", "æ":
     _FOLDED = f"replace({_FOLDED}, '{_old}', '{_new}')"
 _FREQ = f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{TILES_RE2}')) AS token FROM documents) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}]') GROUP BY token"
 _FORM_LIST = ", ".join(f"'{f}'" for f in FORMS)
+_NAMED = ", ".join(f"({k}, {u}, {a}, {b}, '{sure}', {off}, '{suffix}', {pair[u].startswith('{p}')})" for k, (*pair, names) in enumerate(NAMED_LINES) for u, a, b, sure, off, suffix in names)
 
 ORACLE_SQL = {
     "mask_documents": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL_RE2}')) AS BIGINT) AS n_email, regexp_replace(text, '{EMAIL_RE2}', '[E-MAIL]', 'g') AS masked FROM documents",
@@ -251,4 +296,19 @@ ORACLE_SQL = {
     "name_columns": f"WITH t AS ({CELL_SQL.format(text='VARCHAR')}) SELECT g.doc_id, g.table_id, g.r, g.text AS given, s.text AS surname FROM t g JOIN t s ON g.doc_id = s.doc_id AND g.r = s.r AND g.c = 1 AND s.c = 2 WHERE g.r > 0 AND g.text <> 'offen' AND s.text <> 'offen'",
     "org_phrases": "SELECT o_custkey AS doc_id, o_orderkey AS unit_id, CAST(3 AS BIGINT) AS start, CASE o_orderkey % 4 WHEN 0 THEN 'Haus Rose' WHEN 1 THEN 'Lindenauer Verein' ELSE 'Haus' END AS term, CASE WHEN o_orderkey % 4 = 1 THEN 's' ELSE '' END AS suffix FROM orders WHERE o_orderkey % 4 < 3",
     "reversible_round_trip": "SELECT o_custkey AS doc_id, o_orderkey AS unit_id, 'Gestern kam ' || list_extract(['Anna Müller', 'Peter Weber', 'Frau Müllers', 'Herr Weber', 'A. Müller', 'MÜLLERS', 'anna@x.de', 'niemand'], CAST(o_orderkey % 8 + 1 AS INTEGER)) || ' zu Besuch.' AS restored FROM orders",
+    "names_in_texts": f"""WITH v(k, u, a, b, certainty, "off", suffix, headed) AS (VALUES {_NAMED}), o AS (SELECT o_orderkey AS doc_id, length('Akte ' || CAST(o_orderkey AS VARCHAR) || ': ') AS more FROM orders)
+ SELECT doc_id, CAST(u AS BIGINT) AS unit_id, CAST(a + CASE WHEN headed THEN more ELSE 0 END AS BIGINT) AS start, CAST(b + CASE WHEN headed THEN more ELSE 0 END AS BIGINT) AS "end", certainty, "off", suffix FROM o JOIN v ON doc_id % {len(NAMED_LINES)} = k""",
+    "propagate_parts": f"""WITH n AS (SELECT o_custkey AS doc_id, {_duck(GIVEN_SQL)} AS given, {_duck(SURNAME_SQL)} AS surname FROM orders),
+ p AS (SELECT doc_id, given AS key, 'N|' || given || '|' || surname AS entity FROM n UNION SELECT doc_id, surname, 'N|' || given || '|' || surname FROM n),
+ owned AS (SELECT doc_id, key, min(entity) AS entity FROM p GROUP BY 1, 2 HAVING count(DISTINCT entity) = 1),
+ v(k, a, b, key, suffix, certainty) AS (VALUES (0, 5, 11, 'weber', 's', 'certain'), (1, 4, 10, 'muller', '', 'uncertain'), (2, 5, 9, 'kaya', '', 'certain'), (3, 4, 10, 'nowak', 's', 'certain'), (4, 4, 9, 'clara', '', 'certain'))
+ SELECT o_custkey AS doc_id, o_orderkey AS unit_id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end", entity, v.key AS key, suffix, certainty, false AS "off"
+ FROM orders JOIN v ON o_orderkey % 5 = k JOIN owned ON owned.doc_id = o_custkey AND owned.key = v.key WHERE o_orderkey % 4 <> 0""",
+    "letters_whole_plan": """WITH u AS (SELECT o_custkey AS doc_id, o_orderkey AS unit_id, o_orderkey % 8 AS k FROM orders),
+ f AS (SELECT doc_id, bool_or(k = 0) AS whole FROM u GROUP BY 1),
+ e AS (SELECT u.*, CASE WHEN k = 0 OR (k IN (2, 4) AND whole) THEN 'Anna' WHEN k = 2 THEN 'surname' WHEN k = 4 THEN 'initial' WHEN k IN (1, 3) THEN 'Weber' WHEN k = 5 THEN 'Chidi' END AS who FROM u JOIN f ON u.doc_id = f.doc_id),
+ n AS (SELECT doc_id, who, row_number() OVER (PARTITION BY doc_id ORDER BY min(unit_id)) - 1 AS nth FROM e WHERE who IS NOT NULL GROUP BY 1, 2)
+ SELECT e.doc_id, unit_id, 'Gestern kam ' || list_extract(['Anna Müller', 'Peter Weber', 'Frau Müllers', 'Herr Weber', 'A. Müller', 'Chidi Okonkwo', 'anna@x.de', 'niemand'], CAST(k + 1 AS INTEGER)) || ' zu Besuch.' AS text,
+ 'Gestern kam ' || CASE k WHEN 2 THEN 'Frau ' WHEN 3 THEN 'Herr ' ELSE '' END || CASE WHEN k = 6 THEN '[E-MAIL]' WHEN k = 7 THEN 'niemand' ELSE 'Person ' || chr(65 + CAST(nth AS INTEGER)) END || CASE k WHEN 2 THEN 's' ELSE '' END || ' zu Besuch.' AS masked
+ FROM e LEFT JOIN n ON e.doc_id = n.doc_id AND e.who = n.who""",
 }

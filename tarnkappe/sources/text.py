@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LARGEST, LARGE = 20_000_000, 5_000_000
+#: The inside of a quoted cell.
+QUOTED = '[^"]*(?:""[^"]*)*'
 
 
 def decode(data: bytes) -> str:
@@ -43,8 +44,11 @@ def sniff(data: bytes, name: str) -> str:
 
 
 def delimiter(text: str) -> str:
-    """Of ; , tab and | the one whose number is the same in most of the first 20 rows, then the one with more."""
-    rows = [r for r in text[:20_000].splitlines() if r.strip()][:20]
+    """Of ; , tab and | the one whose number is the same in most of the first 20 rows, then the one with more.
+
+    Signs and line breaks inside quotes don't count.
+    """
+    rows = [r for r in re.sub(f'"{QUOTED}(?:"|$)', "", text[:20_000]).splitlines() if r.strip()][:20]
 
     def rank(sign: str) -> int:
         counts = [r.count(sign) for r in rows]
@@ -83,28 +87,50 @@ def written_text(units: DataFrame, column: str = "masked") -> DataFrame:
     return units.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "").alias("text"))
 
 
-CELLS = "doc_id string, table_id string, r int, c int, text string, quoted boolean, sign string"
+CELLS = "doc_id string, table_id string, r int, c int, text string, quoted boolean, open boolean, raw string, end string, sign string"
+
+
+def table_cells(text: str, sign: str) -> Iterator[tuple[int, int, str, bool, bool, str, str]]:
+    """(row, column, text, quoted, open, raw, end) of each cell; ``raw + end`` of all cells together are the text.
+
+    ``open`` is a quote that is never closed: the cell goes on to the end of the text. What stands behind a closing quote
+    belongs to the cell.
+    """
+    s = re.escape(sign)
+    cell = re.compile(rf'(?:"(?P<inside>{QUOTED})(?P<close>"?)(?P<rest>[^{s}\r\n]*)|(?P<plain>[^{s}\r\n]*))(?P<end>{s}|\r\n|\r|\n|$)')
+    at, r, c, end = 0, 0, 0, "\n"
+    while at < len(text) or end == sign:
+        m = cell.match(text, at)
+        at, end = m.end(), m["end"]
+        quoted = m["plain"] is None
+        value = m["inside"].replace('""', '"') + m["rest"] if quoted else m["plain"]
+        yield r, c, value, quoted, quoted and not m["close"], m[0][: len(m[0]) - len(end)], end
+        r, c = (r, c + 1) if end == sign else (r + 1, 0)
 
 
 def csv_cells(files: DataFrame) -> DataFrame:
-    """doc_id, table_id, r, c, text, quoted, sign of every cell of the csv files; a quoted cell may hold line breaks."""
+    """A row for every cell of the csv files; a quoted cell may hold line breaks.
+
+    doc_id (the path), table_id, r, c, text, quoted, open (a quote that is never closed), raw (as it stands in the file),
+    end (the sign or line break behind it) and sign. An empty file has no cells.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 text = decode(bytes(content))
                 sign = delimiter(text)
-                rows = []
-                for r, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=sign)):
-                    rows += [(path, "csv", r, c, cell, any(x in cell for x in ('"', sign, "\n", "\r")), sign) for c, cell in enumerate(row)]
+                rows = [(path, "csv", *cell, sign) for cell in table_cells(text, sign)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in CELLS.split(", ")])
 
     return files.filter("kind = 'csv'").select("path", "content").mapInPandas(run, CELLS)
 
 
 def written_csv(cells: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id and the text of its table; cells that need quotes get them."""
+    """doc_id and the text of its table. Cells whose ``column`` is their text stay as they stood in the file; others get
+    quotes if they had or need them."""
     need = F.col("quoted") | F.contains(F.col(column), F.col("sign")) | F.col(column).rlike('["\r\n]')
-    cell = F.when(need, F.concat(F.lit('"'), F.replace(F.col(column), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(column))
-    rows = cells.groupBy("doc_id", "r").agg(F.call_function("array_join", F.transform(F.array_sort(F.collect_list(F.struct("c", cell.alias("t")))), lambda x: x["t"]), F.first("sign")).alias("row"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]), "\r\n").alias("text"))
+    new = F.when(need, F.concat(F.lit('"'), F.replace(F.col(column), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(column))
+    cell = F.concat(F.when(F.col(column) == F.col("text"), F.col("raw")).otherwise(new), "end")
+    rows = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "c", cell.alias("t")))).alias("all"))
+    return rows.select("doc_id", F.array_join(F.transform("all", lambda x: x["t"]), "").alias("text"))

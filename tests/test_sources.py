@@ -38,6 +38,21 @@ def test_files(spark, tmp_path):
     assert text.delimiter("a,b;c\nd;e\n") == ";" and text.decode(b"\xff\xfeA\x00") == "A"
 
 
+TABLES = ['a;b\r\n"c";d\n', 'x;"1;2;3"\n\n;;\r"open;\nend', "", "one", 'a;\n"q""q"tail;z\r\n', "\n\n"]
+
+
+def test_csv_comes_back_byte_for_byte(spark):
+    files = spark.createDataFrame([(str(i), "csv", t.encode()) for i, t in enumerate(TABLES)], "path string, kind string, content binary")
+    cells = text.csv_cells(files).cache()
+    back = {r.doc_id: r.text for r in text.written_csv(cells).collect()}
+    assert back == {str(i): t for i, t in enumerate(TABLES) if t}
+    got = {(int(r.doc_id), r.r, r.c): (r.text, r.open) for r in cells.collect()}
+    assert got[1, 0, 1] == ("1;2;3", False) and got[1, 3, 0] == ("open;\nend", True) and got[4, 0, 1] == ("", False) and got[4, 1, 0] == ('q"qtail', False)
+    changed = cells.filter("doc_id in ('0', '1')").withColumn("masked", text.F.when(text.F.col("text").isin("d", "c", "b"), text.F.concat("text", text.F.lit(";x"))).otherwise(text.F.col("text")))
+    assert {r.doc_id: r.text for r in text.written_csv(changed, "masked").collect()} == {"0": 'a;"b;x"\r\n"c;x";"d;x"\n', "1": TABLES[1]}
+    assert text.delimiter('"a,b,c";1\n"d,e\n,f";2\n') == ";"
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a@b.de")], "id long, text string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long, text string").parquet(f"{tmp_path}/in")
