@@ -66,3 +66,31 @@ def test_empty_tables(spark, tmp_path):
     tokens.write_archive(none, f"file://{tmp_path}/none", WORD_FILE, 2)
     assert tokens.read_archive(spark, f"file://{tmp_path}/none").count() == 0
     assert packing.pack(none, BYTE_FILE, 0).count() == 0
+
+
+def rows_scanned(df):
+    """Rows that the scan of ``df`` handed on, after stripes and row groups were left out by their metadata."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_readers_skip_by_metadata(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    many = spark.range(0, 40000, 2).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    tokens.write_archive(many, path, WORD_FILE, 2)
+    scan = spark.read.schema(tokens.ROWS).orc(path).select("doc_id", "n_tokens")
+    assert rows_scanned(scan) == 20000
+    # one row group of 1000 rows of one file: by the ranges in the footers and the row index
+    assert 0 < rows_scanned(scan.filter("doc_id = 20000")) <= 1000
+    assert rows_scanned(scan.filter("doc_id BETWEEN 10000 AND 10010")) <= 2000
+    # odd ids lie inside the ranges: only Bloom filters say that they aren't there
+    assert sum(rows_scanned(scan.filter(f"doc_id = {i}")) for i in (10001, 20001, 30001)) <= 1000
+    # splits inside a file begin at stripes, so that they are read in parallel
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        parallel = spark.read.schema(tokens.ROWS).orc(path)
+        assert parallel.rdd.getNumPartitions() > len(list((tmp_path / "archive").glob("part-*")))
+        assert parallel.count() == 20000 == parallel.select("doc_id").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
