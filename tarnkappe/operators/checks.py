@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnkappe.functions.text import fold, is_cap, umlaut_variant
@@ -26,7 +26,46 @@ def leaks(units: DataFrame, forms: DataFrame) -> DataFrame:
     pieces = words.withColumn("piece", F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "-")))))
     cuts = pieces.select("doc_id", "unit_id", "start", "text", is_cap(F.col("piece")).alias("cap"), F.explode(stems(F.col("piece"))).alias("cut"))
     found = cuts.withColumn("form", fold(F.col("cut.stem"))).join(forms, ["doc_id", "form"]).filter("cap or not ambiguous")
-    return found.groupBy("doc_id", "unit_id", "start").agg(F.first("text").alias("word"), F.min("entity").alias("entity"))
+    return found.groupBy("doc_id", "unit_id", "start").agg(F.first("text").alias("word"), F.min("entity").alias("entity"), F.min("form").alias("form"))
+
+
+def without_decided(found: DataFrame, off: DataFrame) -> DataFrame:
+    """``found`` (doc_id, unit_id, start, form) without what a review left standing: ``off`` (doc_id, unit_id, form).
+
+    For each row of ``off`` one row of ``found`` with that form goes from the unit, the first ones first.
+    """
+    order = F.row_number().over(Window.partitionBy("doc_id", "unit_id", "form").orderBy("start"))
+    numbers = off.groupBy("doc_id", "unit_id", "form").agg(F.count("*").alias("m"))
+    rows = found.withColumn("nth", order).join(numbers, ["doc_id", "unit_id", "form"], "left")
+    return rows.filter(F.col("nth") > F.coalesce("m", F.lit(0))).drop("nth", "m")
+
+
+def final_check(found: DataFrame, off: DataFrame, places: DataFrame | None = None, left: DataFrame | None = None) -> DataFrame:
+    """(doc_id, unit_id, kind, start, word, entity): everything that speaks against giving an output away.
+
+    ``name``: words of active persons in the output (``found``, of ``leaks``) that no review left standing (``off``).
+    ``uncovered``: ``places`` of organisations in the original that weren't replaced whole. ``organisation``: places of
+    terms that stand in the output (``left``), if none of the same term was named as uncovered in that unit.
+    """
+    names = without_decided(found, off).select("doc_id", "unit_id", F.lit("name").alias("kind"), "start", "word", "entity")
+    if places is None or left is None:
+        return names
+    columns = lambda kind: ["doc_id", "unit_id", F.lit(kind).alias("kind"), "start", F.col("term").alias("word"), F.col("term").alias("entity")]
+    again = left.join(places.select("doc_id", "unit_id", "term").distinct(), ["doc_id", "unit_id", "term"], "left_anti")
+    return names.unionByName(places.select(*columns("uncovered"))).unionByName(again.select(*columns("organisation")))
+
+
+def state(findings: DataFrame) -> DataFrame:
+    """(doc_id, points, stamp): how many findings a document has, and a stamp of exactly these."""
+    point = F.sha2(F.to_json(F.struct("unit_id", "kind", "start", "word", "entity")), 256)
+    return findings.groupBy("doc_id").agg(F.count("*").alias("points"), F.sha2(F.array_join(F.array_sort(F.collect_list(point)), ""), 256).alias("stamp"))
+
+
+def may_be_saved(docs: DataFrame, findings: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(doc_id, points, saved): a document may go if it has no findings, or if exactly these were confirmed (doc_id, stamp)."""
+    now = docs.select("doc_id").distinct().join(state(findings), "doc_id", "left")
+    known = confirmed.select("doc_id", "stamp", F.lit(True).alias("known")).distinct()
+    return now.join(known, ["doc_id", "stamp"], "left").select("doc_id", F.coalesce("points", F.lit(0)).alias("points"), (F.col("points").isNull() | F.coalesce("known", F.lit(False))).alias("saved"))
 
 
 def new_leaks(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -35,4 +74,3 @@ def new_leaks(found: DataFrame, known: DataFrame) -> DataFrame:
     b = known.groupBy("doc_id", "word").agg(F.count("*").alias("m"))
     left = F.col("n") - F.coalesce("m", F.lit(0))
     return a.join(b, ["doc_id", "word"], "left").select("doc_id", "word", left.alias("n")).filter("n > 0")
-

@@ -46,6 +46,46 @@ def find(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return units.select("doc_id", "unit_id", F.explode(kept).alias("p")).select("doc_id", "unit_id", "p.start", "p.end", "p.term", "p.suffix")
 
 
+#: Places in the second of two joined lines count from here on; no line is as long.
+SECOND = 1 << 30
+
+
+def find_across(tokens: DataFrame, terms: DataFrame, inside: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, start, end, term, suffix, rest) of terms that end a line and go on at the start of the next.
+
+    The next line is the unit with the next higher number. Only the last and first tokens of two lines are put side by
+    side, fewer of each than the longest term has, so whole texts aren't joined. ``inside`` are the places that
+    ``find`` gives: where they overlap, the place with more letters stays (the one inside a line, if both have as many),
+    and so among the places across two lines, then the one further up. A place gives two rows; the second, in the next
+    line, is the ``rest``. Nothing but white space stands behind the first part or before the second.
+    """
+    runs = term_runs(terms)
+    most = runs.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]  # a single number
+    count = F.count("*").over(Window.partitionBy("doc_id", "unit_id"))
+    rows = tokens.select("doc_id", "unit_id", "pos", "start", "end", "text", count.alias("n"))
+    tails = rows.filter(F.col("n") - F.col("pos") < most).drop("n")
+    heads = rows.filter(F.col("pos") < most - 1).select("doc_id", (F.col("unit_id") - 1).cast(tokens.schema["unit_id"].dataType).alias("unit_id"), (F.col("pos") + SECOND).cast("int").alias("pos"), (F.col("start") + SECOND).cast("int").alias("start"), (F.col("end") + SECOND).cast("int").alias("end"), "text")
+    across = find(tails.unionByName(heads), terms.filter(F.size(tiles(F.trim("term"))) > 1)).filter((F.col("start") < SECOND) & (F.col("end") > SECOND))
+    size = F.char_length("term")
+    first = across.select("doc_id", "unit_id", "term", "suffix", "start", F.lit(SECOND).alias("end"), size.alias("size"), F.col("unit_id").alias("above"), F.lit(False).alias("rest"))
+    second = across.select("doc_id", (F.col("unit_id") + 1).cast(tokens.schema["unit_id"].dataType).alias("unit_id"), "term", "suffix", F.lit(0).alias("start"), (F.col("end") - SECOND).alias("end"), size.alias("size"), F.col("unit_id").alias("above"), F.lit(True).alias("rest"))
+    parts = first.unionByName(second)
+    kept = inside.select("doc_id", "unit_id", "start", "end", F.char_length("term").alias("size"), F.lit(None).cast(tokens.schema["unit_id"].dataType).alias("above"))
+    others = kept.unionByName(parts.select(kept.columns)).select(F.col("doc_id").alias("d"), F.col("unit_id").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("size").alias("z"), F.col("above").alias("a"))
+    better = (F.col("z") > F.col("size")) | ((F.col("z") == F.col("size")) & (F.col("a").isNull() | (F.col("a") < F.col("above"))))
+    beaten = parts.join(others, (F.col("doc_id") == F.col("d")) & (F.col("unit_id") == F.col("u")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")) & better, "left_semi").select("doc_id", "above").distinct()
+    ends = tokens.groupBy("doc_id", "unit_id").agg(F.min("start").alias("head"), F.max("end").alias("last"))
+    good = parts.join(beaten, ["doc_id", "above"], "left_anti").join(ends, ["doc_id", "unit_id"])
+    return good.select("doc_id", "unit_id", F.when(F.col("rest"), F.col("head")).otherwise(F.col("start")).alias("start"), F.least("end", "last").cast("int").alias("end"), "term", F.when(F.col("rest"), F.col("suffix")).otherwise("").alias("suffix"), "rest")
+
+
+def without_overlaps(inside: DataFrame, across: DataFrame) -> DataFrame:
+    """Places of ``find`` and of ``find_across`` together, with ``rest``; places inside a line give way to those across."""
+    a = across.select(F.col("doc_id").alias("d"), F.col("unit_id").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"))
+    alone = inside.join(a, (F.col("doc_id") == F.col("d")) & (F.col("unit_id") == F.col("u")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")
+    return alone.withColumn("rest", F.lit(False)).unionByName(across)
+
+
 def uncovered(places: DataFrame, hits: DataFrame) -> DataFrame:
     """Places of terms that no active hit (doc_id, unit_id, start, end) covers whole: an interval anti-join."""
     h = hits.select("doc_id", "unit_id", F.col("start").alias("s"), F.col("end").alias("e"))

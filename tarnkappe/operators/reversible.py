@@ -20,6 +20,9 @@ _NAMES = f"(?:{'|'.join(NAME_WORDS)})"
 NAME_PLACEHOLDER = rf"{_FREE_BEFORE}(?:{'|'.join((*NAME_WORDS, 'Einrichtung'))}) [A-Z]+[0-9]*(?={_ENDING}{_FREE_AFTER})"
 CONTACT_PLACEHOLDER = rf"\[(?:{'|'.join(CONTACT_BASE.values())})-[0-9]+\]"
 LOOSE = rf"(?i){_FREE_BEFORE}{_NAMES}[sn]?[\s_-]*(?!{_NAMES}[sn]?[\s_-])[A-Z]+[0-9]*{_FREE_AFTER}"
+_CONTACTS = "|".join(("E-MAIL", "EMAIL", *list(CONTACT_BASE.values())[1:]))
+#: A contact's word and number with at least one bracket, in any case, with or without what stands between.
+LOOSE_CONTACT = rf"(?i)\[\s*(?:{_CONTACTS})[\s_-]*[0-9]+(?:\s*\])?|{_FREE_BEFORE}(?:{_CONTACTS})[\s_-]*[0-9]+\s*\]"
 #: What could be taken for a placeholder: any of the words with a letter behind, or one in brackets, and what is glued to it.
 LIKE_NAME = rf"{_FREE_BEFORE}(?:{'|'.join((*NAME_WORDS, *WHOLE_WORDS))})[ \u00a0][A-Z][A-Z0-9]*{_ENDING}{_FREE_AFTER}"
 LIKE_BRACKET = rf"\[(?:{'|'.join(BRACKET_WORDS)})(?:-[\p{{L}}\p{{N}}]*)?\][\p{{L}}\p{{N}}]*"
@@ -154,10 +157,53 @@ def verdict(plan: DataFrame) -> DataFrame:
 
 
 def changed_placeholders(units: DataFrame, key: DataFrame) -> DataFrame:
-    """(doc_id, unit_id, start, text, guess): what looks like a placeholder of the key but was changed; reported, never guessed at."""
-    loose = units.select("doc_id", "unit_id", F.explode(spans(F.coalesce("text", F.lit("")), LOOSE)).alias("s")).select("doc_id", "unit_id", "s.*")
-    exact = found_placeholders(units).select("doc_id", "unit_id", "start", F.lit(True).alias("exact"))
+    """(doc_id, unit_id, start, text, guess, kind): what looks like a placeholder of the key but was changed; reported, never guessed at.
+
+    Its kind is ``split`` if a line break stands inside, ``inflected`` if its word has an ending, else ``changed``.
+    """
+    text = F.coalesce("text", F.lit(""))
+    loose = units.select("doc_id", "unit_id", F.explode(F.concat(spans(text, LOOSE), spans(text, LOOSE_CONTACT))).alias("s")).select("doc_id", "unit_id", "s.*")
+    exact = found_placeholders(units).select("doc_id", "unit_id", F.col("start").alias("s"), F.col("end").alias("e"))
     word = F.initcap(F.regexp_extract("text", r"(?i)^(Vorname|Nachname|Initiale|Name)", 1))
     letter = F.upper(F.regexp_extract("text", r"(?i)^(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-]*([A-Z]+[0-9]*)$", 1))
-    rows = loose.join(exact, ["doc_id", "unit_id", "start"], "left").filter("exact is null").withColumn("guess", F.concat_ws(" ", word, letter))
-    return rows.join(key.select("doc_id", F.col("placeholder").alias("guess")), ["doc_id", "guess"], "left_semi").select("doc_id", "unit_id", "start", "text", "guess")
+    base = F.replace(F.upper(F.regexp_extract("text", rf"(?i)({_CONTACTS})", 1)), F.lit("EMAIL"), F.lit("E-MAIL"))
+    contact = F.concat(F.lit("["), base, F.lit("-"), F.regexp_extract("text", "([0-9]+)", 1), F.lit("]"))
+    kind = F.when(F.col("text").rlike(r"[\r\n]"), "split").when(F.col("text").rlike(rf"(?i)^{_NAMES}[sn]\b"), "inflected").otherwise("changed")
+    free = loose.join(exact, ["doc_id", "unit_id"], "left").groupBy("doc_id", "unit_id", "start", "end", "text").agg(F.max(F.coalesce((F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), F.lit(False))).alias("known")).filter("not known")
+    rows = free.withColumn("guess", F.when(F.col("text").rlike(r"[\[\]]"), contact).otherwise(F.concat_ws(" ", word, letter))).withColumn("kind", kind)
+    return rows.join(key.select("doc_id", F.col("placeholder").alias("guess")).distinct(), ["doc_id", "guess"], "left_semi").select("doc_id", "unit_id", "start", "text", "guess", "kind")
+
+
+def split_placeholders(units: DataFrame, key: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, start, text, guess): a placeholder's word ends a unit, its letter begins the unit with the next number.
+
+    Only the ends and beginnings of units that look like it are joined.
+    """
+    text = F.coalesce("text", F.lit(""))
+    end = F.regexp_extract(text, rf"{_FREE_BEFORE}({'|'.join((*NAME_WORDS, 'Einrichtung'))})\s*$", 1)
+    begin = F.regexp_extract(text, rf"^\s*([A-Z]+[0-9]*){_FREE_AFTER}", 1)
+    place = F.char_length(F.rtrim(F.regexp_replace(text, r"\s+$", ""))) - F.char_length("word")
+    upper = units.select("doc_id", "unit_id", "text", end.alias("word")).filter("word <> ''").select("doc_id", "unit_id", place.alias("start"), "word")
+    lower = units.select("doc_id", (F.col("unit_id") - 1).alias("unit_id"), begin.alias("letter")).filter("letter <> ''")
+    rows = upper.join(lower, ["doc_id", "unit_id"]).withColumn("guess", F.concat_ws(" ", "word", "letter"))
+    known = key.select("doc_id", F.col("placeholder").alias("guess")).distinct()
+    return rows.join(known, ["doc_id", "guess"], "left_semi").select("doc_id", "unit_id", "start", F.concat_ws(" | ", "word", "letter").alias("text"), "guess")
+
+
+def restore_issues(units: DataFrame, key: DataFrame, originals: DataFrame | None = None) -> DataFrame:
+    """(doc_id, unit_id, start, kind, text, guess): what a restored text leaves open.
+
+    ``unknown`` placeholders that the key doesn't have, ``changed``, ``inflected`` and ``split`` ones. ``originals``
+    (doc_id, word) are words like placeholders that stood in the text before; they are spared.
+    """
+    none = F.lit(None).cast("string").alias("guess")
+    unknown = found_placeholders(units).join(key.select("doc_id", "placeholder"), ["doc_id", "placeholder"], "left_anti")
+    rows = unknown.select("doc_id", "unit_id", "start", F.lit("unknown").alias("kind"), F.col("placeholder").alias("text"), none)
+    columns = ["doc_id", "unit_id", "start", "kind", "text", "guess"]
+    rows = rows.unionByName(changed_placeholders(units, key).select(columns)).unionByName(split_placeholders(units, key).withColumn("kind", F.lit("split")).select(columns))
+    return rows if originals is None else rows.join(originals.select("doc_id", F.col("word").alias("text")).distinct(), ["doc_id", "text"], "left_anti").select(columns)
+
+
+def leftovers(restored: DataFrame, key: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, start, placeholder): placeholders of the key that still stand in a restored text."""
+    return found_placeholders(restored).join(key.select("doc_id", "placeholder").distinct(), ["doc_id", "placeholder"], "left_semi").select("doc_id", "unit_id", "start", "placeholder")

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tarnkappe.functions.lexicon import seed_names
 from tarnkappe.functions.text import fold, letter_for
-from tarnkappe.operators import checks, columns, linking, organisations, reversible
+from tarnkappe.operators import checks, columns, linking, organisations, reversible, review
 from tarnkappe.operators.contacts import LABELS, ContactOptions, contact_rows, iban_remainder, with_masked
 from tarnkappe.operators.mentions import person_mentions
 from tarnkappe.operators.tokens import flagged, tiles, tokens
 from tarnkappe.plans.pseudonymise import Options, pseudonymise
+from tarnkappe.session import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -240,9 +241,69 @@ def propagate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "unit_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "entity", "key", "suffix", "certainty", "off")
 
 
+#: Lines of an order, and the places of ``ORG_TERMS`` in them: line, start, end, term, suffix, whether it is the second part.
+#: The first line gets a heading of the length of its order's key, and its places stand so much further on.
+ORG_LINES = [
+    (["{p}Im Lindenauer", "Vereins Hof"], [(0, 3, 13, "Lindenauer Verein", "", False), (1, 0, 7, "Lindenauer Verein", "s", True)]),
+    (["{p}Das Haus", "Rose am Haus"], [(0, 4, 8, "Haus Rose", "", False), (1, 0, 4, "Haus Rose", "", True), (1, 8, 12, "Haus", "", False)]),
+    (["{p}Das Haus.", "Rose"], [(0, 4, 8, "Haus", "", False)]),
+    (["{p}Lindenauer", "", "Verein"], []),
+    (["{p}LINDENAUER", "  vereins Haus Rose"], [(0, 0, 10, "Lindenauer Verein", "", False), (1, 2, 9, "Lindenauer Verein", "s", True), (1, 10, 19, "Haus Rose", "", False)]),
+]
+
+
+def org_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed organisations in the lines of a document for each order, also where they go over a line break."""
+    lines = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x, _ in ORG_LINES]), (F.col("o_orderkey") % len(ORG_LINES) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "line"))
+    heading = F.concat(F.lit("Akte "), F.col("doc_id").cast("string"), F.lit(": "))
+    tok = written(tokens(rows.select("doc_id", "unit_id", F.replace(F.col("line"), F.lit("{p}"), heading).alias("text"))), "org-lines")
+    terms = spark.createDataFrame([(t,) for t in ORG_TERMS], "term string")
+    inside = organisations.find(tok, terms)
+    both = organisations.without_overlaps(inside, organisations.find_across(tok, terms, inside))
+    return both.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("unit_id", "start", "end")], "term", "suffix", "rest")
+
+
+#: Two edited lines, and what a restore finds wrong in them: line, start, kind, text, guess.
+ISSUE_KEY = ["Nachname A", "Vorname B", "[E-MAIL-3]"]
+ISSUE_LINES = [
+    (["Frau nachnamen a kam", "x"], [(0, 5, "inflected", "nachnamen a", "Nachname A")]),
+    (["hier Vorname", "B da"], [(0, 5, "split", "Vorname | B", "Vorname B")]),
+    (["an [email 3 und", "Nachname Q"], [(0, 3, "changed", "[email 3", "[E-MAIL-3]"), (1, 0, "unknown", "Nachname Q", None)]),
+    (["Nachname A, Vorname B", "gut"], []),
+    (["vorname_b nachname A", "B"], [(0, 0, "changed", "vorname_b", "Vorname B"), (0, 10, "changed", "nachname A", "Nachname A")]),
+]
+
+
+def restore_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed, inflected, split and unknown placeholders in two edited lines of a document for each order."""
+    orders = _table(spark, sf_dir, "orders")
+    lines = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x, _ in ISSUE_LINES]), (F.col("o_orderkey") % len(ISSUE_LINES) + 1).cast("int"))
+    units = orders.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "text"))
+    key = orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*map(F.lit, ISSUE_KEY))).alias("placeholder"))
+    found = reversible.restore_issues(units, key)
+    return found.select("doc_id", F.col("unit_id").cast("long").alias("unit_id"), F.col("start").cast("long").alias("start"), "kind", "text", "guess")
+
+
+def hit_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence around the five characters in the middle of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("unit_id"), "text")
+    n = F.char_length("text")
+    start = F.floor(n / 2).cast("int")
+    return review.contexts(docs.select("doc_id", "unit_id", start.alias("start"), F.least(start + 5, n).alias("end")), docs).select("doc_id", "before", "word", "after")
+
+
+def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each label of a customer's orders stands for, and how many of its hits are on."""
+    orders = _table(spark, sf_dir, "orders")
+    units = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(f"concat('Frau ', {SURNAME_SQL}, 's')").alias("text"))
+    hits = units.select("doc_id", "unit_id", F.lit(5).alias("start"), F.char_length("text").alias("end"), F.lit("s").alias("suffix"), (F.col("unit_id") % 3).cast("string").alias("entity"), (F.col("unit_id") % 4 != 0).alias("on"))
+    return review.mapping(hits, units, F.concat(F.lit("Person "), "entity"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (mask_documents, mask_contacts, contact_email, contact_phone, contact_kinds, iban_check, tokens_tiling, token_freq, fold_keys, link_short_forms, person_letters, display_forms, letter_series, contact_numbers, restore_plan, leak_check, name_columns, org_phrases, letters_whole_plan, reversible_round_trip, names_in_texts, propagate_parts)
+    for f in (mask_documents, mask_contacts, contact_email, contact_phone, contact_kinds, iban_check, tokens_tiling, token_freq, fold_keys, link_short_forms, person_letters, display_forms, letter_series, contact_numbers, restore_plan, leak_check, name_columns, org_phrases, letters_whole_plan, reversible_round_trip, names_in_texts, propagate_parts, org_line_breaks, restore_issues, hit_contexts, mapping_table)
 }
 
 _LETTER = "CASE WHEN {n} < 26 THEN chr(65 + CAST({n} AS INTEGER)) WHEN {n} < 702 THEN chr(64 + CAST({n} // 26 AS INTEGER)) || chr(65 + CAST({n} % 26 AS INTEGER)) ELSE chr(65 + CAST((({n} // 26 - 1) // 26 - 1) % 26 AS INTEGER)) || chr(65 + CAST(({n} // 26 - 1) % 26 AS INTEGER)) || chr(65 + CAST({n} % 26 AS INTEGER)) END"
@@ -268,8 +329,18 @@ for _old, _new in {"ß": "ss", "ı": "i", "ł": "l", "đ": "d", "ø": "o", "æ":
 _FREQ = f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{TILES_RE2}')) AS token FROM documents) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}]') GROUP BY token"
 _FORM_LIST = ", ".join(f"'{f}'" for f in FORMS)
 _NAMED = ", ".join(f"({k}, {u}, {a}, {b}, '{sure}', {off}, '{suffix}', {pair[u].startswith('{p}')})" for k, (*pair, names) in enumerate(NAMED_LINES) for u, a, b, sure, off, suffix in names)
+_ORG_PLACES = ", ".join(f"({k}, {u}, {a}, {b}, '{term}', '{suffix}', {rest})" for k, (_, places) in enumerate(ORG_LINES) for u, a, b, term, suffix, rest in places)
+_ISSUES = ", ".join(f"({k}, {u}, {a}, '{kind}', '{text}', {f"'{guess}'" if guess else 'NULL'})" for k, (_, found) in enumerate(ISSUE_LINES) for u, a, kind, text, guess in found)
 
 ORACLE_SQL = {
+    "org_line_breaks": f"""WITH v(k, u, a, b, term, suffix, rest) AS (VALUES {_ORG_PLACES}), o AS (SELECT o_orderkey AS doc_id, length('Akte ' || CAST(o_orderkey AS VARCHAR) || ': ') AS more FROM orders)
+ SELECT doc_id, CAST(u AS BIGINT) AS unit_id, CAST(a + CASE WHEN u = 0 THEN more ELSE 0 END AS BIGINT) AS start, CAST(b + CASE WHEN u = 0 THEN more ELSE 0 END AS BIGINT) AS "end", term, suffix, rest FROM o JOIN v ON doc_id % {len(ORG_LINES)} = k""",
+    "restore_issues": f"""WITH v(k, u, a, kind, text, guess) AS (VALUES {_ISSUES}) SELECT o_orderkey AS doc_id, CAST(u AS BIGINT) AS unit_id, CAST(a AS BIGINT) AS start, kind, text, guess FROM orders JOIN v ON o_orderkey % {len(ISSUE_LINES)} = k""",
+    "hit_contexts": r"""WITH d AS (SELECT doc_id, text, length(text) // 2 AS s, least(length(text) // 2 + 5, length(text)) AS e FROM documents),
+ b AS (SELECT *, regexp_extract(substr(text, greatest(s - 120, 0) + 1, s - greatest(s - 120, 0)), '[^.!?\n]*$') AS pre, left(regexp_extract(substr(text, e + 1, 121), '^[^.!?\n]*'), 120) AS post FROM d),
+ c AS (SELECT *, post || CASE WHEN substr(text, e + length(post) + 1, 1) IN ('.', '!', '?') THEN substr(text, e + length(post) + 1, 1) ELSE '' END AS tail FROM b)
+ SELECT doc_id, CASE WHEN s > length(pre) THEN '…' ELSE '' END || ltrim(pre, ' ') AS before, substr(text, s + 1, e - s) AS word, rtrim(tail, ' ') || CASE WHEN e + length(tail) < length(text) THEN '…' ELSE '' END AS after FROM c""",
+    "mapping_table": f"""SELECT o_custkey AS doc_id, 'Person ' || CAST(o_orderkey % 3 AS VARCHAR) AS label, string_agg(DISTINCT {_duck(SURNAME_SQL)}, ' / ' ORDER BY {_duck(SURNAME_SQL)}) AS forms, count(*) FILTER (o_orderkey % 4 <> 0) AS active FROM orders GROUP BY 1, 2 HAVING count(*) FILTER (o_orderkey % 4 <> 0) > 0""",
     "mask_documents": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL_RE2}')) AS BIGINT) AS n_email, regexp_replace(text, '{EMAIL_RE2}', '[E-MAIL]', 'g') AS masked FROM documents",
     "contact_email": f"SELECT doc_id, email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_RE2}')) AS email FROM documents) GROUP BY 1, 2",
     "contact_phone": rf"""SELECT doc_id, phone, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{PHONE_RE2}', 1)), '[ \x{{a0}}–-]+$', '') AS phone FROM documents)

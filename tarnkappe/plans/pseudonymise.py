@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnkappe.functions.text import apply_spans
-from tarnkappe.operators import checks, columns, linking, organisations, reversible
+from tarnkappe.functions.text import apply_spans, fold
+from tarnkappe.operators import checks, columns, linking, organisations, reversible, review
 from tarnkappe.operators.contacts import LABELS, ContactOptions, contact_rows
 from tarnkappe.operators.mentions import person_mentions
 from tarnkappe.operators.tokens import flagged, tokens
@@ -17,20 +17,24 @@ from tarnkappe.session import written
 
 @dataclass(frozen=True)
 class Options:
-    """``mode``: person (Person A), name ([NAME]) or reversible (Nachname A, with a key)."""
+    """``mode``: person (Person A), name ([NAME]) or reversible (Nachname A, with a key); ``across_lines``: units are lines
+    of running text, numbered without gaps, and organisations may go on in the next one."""
 
     mode: str = "person"
     contacts: ContactOptions = field(default_factory=ContactOptions)
     unsure_on: bool = True
+    across_lines: bool = False
 
 
 @dataclass
 class Result:
-    hits: DataFrame  # doc_id, unit_id, start, end, kind, entity, certainty, on, suffix
+    hits: DataFrame  # doc_id, unit_id, start, end, kind, entity, certainty, on, suffix, letter, rest
     persons: DataFrame  # doc_id, entity, letter, display, forms
     output: DataFrame  # units with masked
     key: DataFrame | None  # doc_id, placeholder, value, count
-    leaks: DataFrame  # doc_id, unit_id, start, word, entity
+    leaks: DataFrame  # doc_id, unit_id, start, word, entity, form
+    findings: DataFrame  # doc_id, unit_id, kind, start, word, entity: the final check
+    odd: DataFrame  # doc_id, unit_id, start, context: hits whose word may be no name
 
 
 def _words(rows: DataFrame, like: DataFrame) -> DataFrame:
@@ -69,6 +73,8 @@ def pseudonymise(
     taken = found.select("doc_id", "unit_id", "start", "end")
     if org_terms is not None:
         orgs = organisations.find(tok, org_terms)
+        orgs = organisations.without_overlaps(orgs, organisations.find_across(tok, org_terms, orgs)) if options.across_lines else orgs.withColumn("rest", F.lit(False))
+        listed = orgs = written(orgs, "organisations")
         spots = found.select("doc_id", F.col("unit_id").alias("u"), F.col("start").alias("s"), F.col("end").alias("e"))
         orgs = orgs.join(spots, (orgs["doc_id"] == spots["doc_id"]) & (orgs["unit_id"] == F.col("u")) & (orgs["start"] < F.col("e")) & (orgs["end"] > F.col("s")), "left_anti")
         taken = taken.unionByName(orgs.select("doc_id", "unit_id", "start", "end"))
@@ -104,11 +110,11 @@ def pseudonymise(
     persons = persons.join(letters, ["doc_id", "entity"])
     person_hits = persons.select("doc_id", "unit_id", "start", "end", F.lit("person").alias("kind"), "entity", "certainty", (~F.col("off")).alias("on"), "suffix", "letter")
     none = F.lit(None).cast("string")
-    hits = person_hits.unionByName(found.select("doc_id", "unit_id", "start", "end", "kind", none.alias("entity"), "certainty", F.lit(True).alias("on"), F.lit("").alias("suffix"), none.alias("letter")))
+    hits = person_hits.unionByName(found.select("doc_id", "unit_id", "start", "end", "kind", none.alias("entity"), "certainty", F.lit(True).alias("on"), F.lit("").alias("suffix"), none.alias("letter"))).withColumn("rest", F.lit(False))
     if orgs is not None:
         org_letters = linking.letters(orgs.select("doc_id", F.col("term").alias("entity"), "unit_id", "start"), blocked if options.mode == "person" else None, "Einrichtung ")
         named = orgs.withColumnRenamed("term", "entity").join(org_letters, ["doc_id", "entity"])
-        hits = hits.unionByName(named.select("doc_id", "unit_id", "start", "end", F.lit("org").alias("kind"), "entity", F.lit("certain").alias("certainty"), F.lit(True).alias("on"), "suffix", "letter"))
+        hits = hits.unionByName(named.select("doc_id", "unit_id", "start", "end", F.lit("org").alias("kind"), "entity", F.lit("certain").alias("certainty"), F.lit(True).alias("on"), "suffix", "letter", "rest"))
     if overrides is not None:
         hits = hits.join(overrides.withColumnRenamed("on", "own"), ["doc_id", "unit_id", "start", "end"], "left").withColumn("on", F.coalesce("own", "on")).drop("own")
     hits = written(hits, "hits")
@@ -127,6 +133,7 @@ def pseudonymise(
     else:
         plain = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
         person, org = (F.lit("[NAME]"), F.lit("[EINRICHTUNG]")) if options.mode == "name" else (F.concat(F.lit("Person "), "letter"), F.concat(F.lit("Einrichtung "), "letter"))
+        org = F.when(F.col("rest"), "").otherwise(org)
         # an ending stays behind the label, in lower case, so that it can't look like part of the letter
         label = F.when(F.col("kind") == "person", F.concat(person, F.lower("suffix"))).when(F.col("kind") == "org", F.concat(org, F.lower("suffix"))).otherwise(F.element_at(plain, F.col("kind")))
         swaps = active.select("doc_id", "unit_id", "start", "end", label.alias("label"))
@@ -137,4 +144,11 @@ def pseudonymise(
     raw = persons.join(on, ["doc_id", "unit_id", "start", "end"], "left_semi").select("doc_id", "entity", "text", F.explode("parts").alias("p")).filter("p.kind = 'word'")
     forms = checks.leak_forms(raw.select("doc_id", "entity", "p.key", F.substr("text", F.col("p.start") + 1, F.col("p.stem_end") - F.col("p.start")).alias("raw"), F.coalesce("p.ambiguous", F.lit(False)).alias("ambiguous")))
     left = checks.leaks(out.select("doc_id", "unit_id", F.col("masked").alias("text")), forms)
-    return Result(hits, shown, out, key, left)
+    off = hits.filter("not on and kind = 'person'").join(units, ["doc_id", "unit_id"])
+    off = off.select("doc_id", "unit_id", F.explode(F.split(fold(F.substr("text", F.col("start") + 1, F.col("end") - F.char_length("suffix") - F.col("start"))), r"[^\p{L}\p{M}'\-]+")).alias("form")).filter("form <> ''")
+    if org_terms is None:
+        findings = checks.final_check(left, off)
+    else:
+        again = organisations.find(tokens(out.select("doc_id", "unit_id", F.col("masked").alias("text"))), org_terms)
+        findings = checks.final_check(left, off, organisations.uncovered(listed, active.filter("kind = 'org'")), again)
+    return Result(hits, shown, out, key, left, findings, review.common_words(persons, tok))
