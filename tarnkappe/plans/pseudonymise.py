@@ -34,6 +34,7 @@ class Result:
     key: DataFrame | None  # doc_id, placeholder, value, count
     leaks: DataFrame  # doc_id, unit_id, start, word, entity, form
     findings: DataFrame  # doc_id, unit_id, kind, start, word, entity: the final check
+    swaps: DataFrame  # doc_id, unit_id, start, end, label: what was written where
     odd: DataFrame  # doc_id, unit_id, start, context: hits whose word may be no name
 
 
@@ -151,4 +152,4 @@ def pseudonymise(
     else:
         again = organisations.find(tokens(out.select("doc_id", "unit_id", F.col("masked").alias("text"))), org_terms)
         findings = checks.final_check(left, off, organisations.uncovered(listed, active.filter("kind = 'org'")), again)
-    return Result(hits, shown, out, key, left, findings, review.common_words(persons, tok))
+    return Result(hits, shown, out, key, left, findings, swaps, review.common_words(persons, tok))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,13 +30,26 @@ def decode(data: bytes) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+def archive_kind(data: bytes) -> str:
+    """A zip is a document or a table if its list of content types says so; other archives, broken ones too, aren't taken."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = set(z.namelist())
+            types = z.read("[Content_Types].xml") if "[Content_Types].xml" in names else b""
+    except (zipfile.BadZipFile, zlib.error):
+        return "rejected: archive"
+    if b"wordprocessingml" in types or "word/document.xml" in names:
+        return "docx"
+    return "xlsx" if b"spreadsheetml" in types or names & {"xl/workbook.xml", "xl/sharedStrings.xml"} else "rejected: archive"
+
+
 def sniff(data: bytes, name: str) -> str:
     """What a file is by its content: txt, csv, docx, xlsx, or why it isn't taken."""
     head = data[:4096]
     if b"%PDF-" in data[:1024]:
         return "rejected: pdf"
     if data.startswith(b"PK\x03\x04"):
-        return "docx" if b"word/" in data else "xlsx" if b"xl/" in data else "rejected: archive"
+        return archive_kind(data)
     if data.startswith(b"\xd0\xcf\x11\xe0") or data.startswith(b"{\\rtf"):
         return "rejected: old format"
     wide = data.startswith((b"\xff\xfe", b"\xfe\xff"))
