@@ -97,3 +97,8 @@ def apply_spans(text: Column, replacements: Column) -> Column:
 
     done = F.aggregate(F.array_sort(replacements), start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text))))
     return F.coalesce(done, text)
+
+
+def neutral_path(path: Column) -> Column:
+    """A local path without the user's name: what follows a folder of users is replaced."""
+    return F.regexp_replace(path, r"(?i)((?:Users|Benutzer|Dokumente und Einstellungen|Documents and Settings|home)[\\/]+)[^\\/]+", "$1benutzer")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnkappe.functions.text import fold
+from tarnkappe.operators import checks
 
 #: The most characters shown before and behind a hit.
 AROUND = 120
@@ -91,3 +92,23 @@ def moved_terms(terms: DataFrame, edits: DataFrame) -> DataFrame:
     rows = rows.withColumn("term", clean).filter("term <> ''").withColumn("key", fold(F.col("term")))
     last = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.col("nth").desc(), "kind", "term"))
     return rows.withColumn("last", last).filter("last = 1 and kind <> 'none'").select("doc_id", "kind", "term")
+
+
+#: Names for the parts of office files, by what their paths look like; the first that fits counts.
+PART_NAMES = {
+    r"^word/document": "text", r"^word/header": "header", r"^word/footer": "footer", r"^word/(foot|end)notes": "note", r"comments?\d*\.xml$": "comment",
+    r"/charts/": "chart", r"/diagrams/": "drawing", r"^word/glossary/": "building block", r"^xl/(worksheets|sharedStrings)": "table", r"^docProps/": "property", r"/media/": "picture",
+}
+
+
+def part_label(part: Column) -> Column:
+    """What a part of an office file is, in a word; ``other`` if its path says nothing."""
+    label = F.lit(None).cast("string")
+    for pattern, name in reversed(PART_NAMES.items()):
+        label = F.when(part.rlike(pattern), name).otherwise(label)
+    return F.coalesce(label, F.lit("other"))
+
+
+def holds_name(units: DataFrame, forms: DataFrame) -> DataFrame:
+    """(doc_id, unit_id) of units with a word that is a form (doc_id, form, entity, ambiguous) of an active name."""
+    return checks.leaks(units, forms).select("doc_id", "unit_id").distinct()

@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LARGEST, LARGE = 20_000_000, 5_000_000
@@ -54,7 +54,7 @@ def sniff(data: bytes, name: str) -> str:
         return "rejected: old format"
     wide = data.startswith((b"\xff\xfe", b"\xfe\xff"))
     controls = sum(b < 32 and b not in (9, 10, 12, 13) for b in head)
-    if not wide and (b"\0" in head or controls > 0.05 * max(1, len(head))):
+    if not wide and (b"\0" in data or controls > 0.05 * max(1, len(head))):
         return "rejected: binary"
     return "csv" if name.lower().endswith((".csv", ".tsv")) else "txt"
 
@@ -103,6 +103,11 @@ def written_text(units: DataFrame, column: str = "masked") -> DataFrame:
     return units.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "").alias("text"))
 
 
+def encoded(text: Column, mark: bool = True) -> Column:
+    """The bytes of a text in UTF-8, with a byte order mark in front unless ``mark`` is false."""
+    return F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")) if mark else F.encode(text, "UTF-8")
+
+
 CELLS = "doc_id string, table_id string, r int, c int, text string, quoted boolean, open boolean, raw string, end string, sign string"
 
 

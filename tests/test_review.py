@@ -2,9 +2,11 @@ from pyspark.sql import functions as F
 
 from tarnkappe.functions import ids
 from tarnkappe.functions.lexicon import seed_names
+from tarnkappe.functions.text import neutral_path
 from tarnkappe.operators import checks, columns, organisations, reversible, review
 from tarnkappe.operators.tokens import tokens
 from tarnkappe.plans.pseudonymise import Options, pseudonymise
+from tarnkappe.sources.text import encoded, sniff
 
 UNIT = "doc_id long, unit_id int, text string"
 
@@ -95,3 +97,15 @@ def test_ids(spark):
     assert [r[0] for r in states.select(ids.id_state(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["ok", "other", "none", "old key"]
     drawn = spark.range(500).select(ids.is_id(ids.new_id(F.col("id"))).alias("fits"))
     assert drawn.filter("not fits").count() == 0
+
+
+def test_labels_paths_and_bytes(spark):
+    rows = spark.createDataFrame([("word/document.xml", r"C:\\Users\\anna\\x.txt"), ("word/comments.xml", "/home/anna/x"), ("xl/sharedStrings.xml", "file:///srv/x"), (None, None)], "part string, path string")
+    got = rows.select(review.part_label(F.col("part")), neutral_path(F.col("path"))).collect()
+    assert [tuple(r) for r in got] == [("text", r"C:\\Users\\benutzer\\x.txt"), ("comment", "/home/benutzer/x"), ("table", "file:///srv/x"), ("other", None)]
+    data = spark.createDataFrame([("ä",)], "t string").select(encoded(F.col("t")), encoded(F.col("t"), mark=False)).first()
+    assert (bytes(data[0]), bytes(data[1])) == ("ä".encode("utf-8-sig"), "ä".encode())
+    assert sniff(b"a" * 5000 + b"\0", "a.txt") == "rejected: binary"
+    forms = spark.createDataFrame([(1, "weber", "e", False)], "doc_id long, form string, entity string, ambiguous boolean")
+    units = spark.createDataFrame([(1, 0, "Webers Hut, Weber"), (1, 1, "Hut"), (2, 0, "Weber"), (1, 2, None)], UNIT)
+    assert [tuple(r) for r in review.holds_name(units, forms).collect()] == [(1, 0)]
