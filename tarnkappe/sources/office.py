@@ -158,7 +158,7 @@ def column_number(letters: str) -> int:
 
 
 def sheet_cells(xml: bytes, shared: list[str]) -> Iterator[tuple[int, int, str, int | None]]:
-    """(row, column, text, number of the shared string) of a sheet's cells with text, in the file's order."""
+    """(row, column, text, number of the shared string) of a sheet's cells with text, in the file's order; cells must name their place."""
     for c in ElementTree.fromstring(xml).iter(f"{S}c"):
         letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
         value, kind = c.find(f"{S}v"), c.get("t")
