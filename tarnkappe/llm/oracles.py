@@ -48,3 +48,14 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, {_base32('h')}
   CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first_id THEN first_id END AS refers_to
 FROM p JOIN f ON p.html = f.html
 """
+
+_HEX = "CAST('0x' || substr(h, {at}, 8) AS BIGINT)"
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+c AS (SELECT doc_id, text, u, len(u) AS n, {_HEX.format(at=1)} % (len(u) + 1) AS x, {_HEX.format(at=9)} % (len(u) + 1) AS y,
+  CASE WHEN h IS NULL OR text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_HEX.format(at=17)} % 100 >= 50 THEN 'plain' WHEN {_HEX.format(at=25)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:least(x, y)], '') AS pre, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS mid, array_to_string(u[greatest(x, y) + 1:n], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END AS output FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
+"""

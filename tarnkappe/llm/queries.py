@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, and SQL for those that SQL can express."""
+"""The queries of the operators, with production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -82,6 +82,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_query(_table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.fim import fim_query
+
+    return fim_query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_prefix_forest": op1_prefix_forest,
     "op2_minhash": op2_minhash,
@@ -93,5 +99,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_lm_scores": op10_lm_scores,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op2_minhash": oracles.OP2, "op4_chat_examples": oracles.OP4, "op5_warc_archive": oracles.OP5}
+ORACLE_SQL = {"op2_minhash": oracles.OP2, "op4_chat_examples": oracles.OP4, "op5_warc_archive": oracles.OP5, "op13_fill_in_middle": oracles.OP13}
