@@ -59,3 +59,24 @@ o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>'
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
   sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
 """
+
+
+def _rounds(number: int) -> str:
+    """Each round: distances to all centroids, the nearest (of equal ones the lowest number), floors of the exact means."""
+    out = []
+    for i in range(number + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT r, v.x, c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - m[i]) * (v.x[i] - m[i]))) AS d FROM v CROSS JOIN c{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if i < number:
+            out.append(f"s{i} AS (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{i} CROSS JOIN range(1, 65) AS t(i) GROUP BY c, i)")
+            out.append(f"m{i} AS (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{i} GROUP BY c)")
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)")
+    return ",\n".join(out)
+
+
+OP12 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), x) - 1 AS c, x AS m FROM v WHERE vec_id IS NOT NULL QUALIFY c < 16),
+{_rounds(3)}
+SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a3.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN v ON a3.r = v.r JOIN c3 ON a3.c = c3.c
+"""

@@ -82,6 +82,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_query(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.centroids import cluster_query
+
+    return cluster_query(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnkappe.llm.fim import fim_query
 
@@ -99,6 +105,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_lm_scores": op10_lm_scores,
+    "op12_centroids": op12_centroids,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op2_minhash": oracles.OP2, "op4_chat_examples": oracles.OP4, "op5_warc_archive": oracles.OP5, "op13_fill_in_middle": oracles.OP13}
+ORACLE_SQL = {"op2_minhash": oracles.OP2, "op4_chat_examples": oracles.OP4, "op5_warc_archive": oracles.OP5, "op12_centroids": oracles.OP12, "op13_fill_in_middle": oracles.OP13}
