@@ -70,6 +70,15 @@ def shard_of(key: Column, cuts: list[int]) -> Column:
     return F.coalesce(F.size(F.filter(inside, lambda c: c <= key)), F.lit(0))
 
 
+def by_key(rows: DataFrame, facts: DataFrame, key: str, frequent: Column) -> DataFrame:
+    """Join on ``key``; the few ``frequent`` keys of ``facts`` are broadcast, so none of them is one task.
+
+    ``frequent`` must hold for a bounded number of keys, as a key that takes a given share of all rows does.
+    """
+    hot = F.broadcast(facts.filter(frequent))
+    return rows.join(hot, key).unionByName(rows.join(facts.filter(~frequent), key))
+
+
 def spread_keys(spark: SparkSession, n: int) -> list[int]:
     """For each of ``n`` places the smallest number that hash partitioning into ``n`` parts puts there.
 

@@ -82,6 +82,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_query(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnkappe.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnkappe.llm.centroids import cluster_query
 
@@ -105,6 +111,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_lm_scores": op10_lm_scores,
+    "op11_simhash": op11_simhash,
     "op12_centroids": op12_centroids,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
