@@ -36,13 +36,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, lost executors don't matter."""
+def written(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, lost executors don't matter.
+
+    The folder is added to ``passing``, if given, so that ``deleted`` can take it away after the table's last use.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if passing is not None:
+        passing.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, passing: list[str]) -> None:
+    """Take away tables that nothing reads any more; what was made from them must have been written."""
+    for path in passing:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    passing.clear()
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows in what is planned and run inside; the caller's setting comes back after it."""
