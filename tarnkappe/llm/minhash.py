@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnkappe.llm.common import WORD
+from tarnkappe.llm.common import WORD, by_key
 from tarnkappe.llm.components import components
-from tarnkappe.session import small_batches, written
+from tarnkappe.session import arrow_batches, deleted, written
 
 K = 48
-#: Members of a block, of those with sketches (of fixed size) and of those with full sets.
-SKETCHES, BLOCK = 4096, 1024
+#: Members of a block, of those with sketches (of fixed size) and of those with full sets, and bytes of these at most.
+SKETCHES, BLOCK, BLOCK_BYTES = 4096, 1024, 64 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,39 +117,32 @@ def classes(rows: DataFrame) -> DataFrame:
     return written(found.select("h", "one.*", "copies"), "minhash-classes")
 
 
-def _by_key(rows: DataFrame, facts: DataFrame, key: str, frequent: Column) -> DataFrame:
-    """Join on ``key``; the few ``frequent`` keys of ``facts`` are broadcast, so none of them is one task.
-
-    ``frequent`` must hold for a bounded number of keys, as a key that takes a given share of all rows does.
-    """
-    hot = F.broadcast(facts.filter(frequent))
-    return rows.join(hot, key).unionByName(rows.join(facts.filter(~frequent), key))
-
-
 def gatherings(found: DataFrame, percent: int, k: int = K) -> DataFrame:
     """(pivot, h): classes that meet in lists, gathered under one of them; pivots are members of their own gatherings."""
-    total = found.count()
+    total, passing = found.count(), []
     values = found.select("h", "n", F.explode("sketch").alias("v"))
-    common = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-values")
+    common = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-values", passing)
     # at most 4096 * k values are in more than one of 4096 classes, so are at most 4096 * k lists
-    shared = _by_key(values, common, "v", F.col("df") * 4096 > total)
+    shared = by_key(values, common, "v", F.col("df") * 4096 > total)
     mine = Window.partitionBy("h")
     size = F.least("n", F.lit(k))
     rare = size - F.count("*").over(mine)  # values of this document alone stand first
     place = rare + F.row_number().over(mine.orderBy("df", "v"))
     shared = shared.withColumn("place", place).withColumn("hub", F.sum(F.log("df")).over(mine))
     prefix = shared.filter(F.col("place") <= size - _least_overlap(F.col("n"), percent, k) + 1).select("v", "h", "hub")
-    lists = written(prefix, "minhash-lists")
+    lists = written(prefix, "minhash-lists", passing)
     best = F.max(F.struct("hub", "h"))
-    pivots = written(lists.groupBy("v").agg(best["h"].alias("pivot"), F.count("*").alias("members")).filter("members > 1"), "minhash-pivots")
-    met = _by_key(lists.select("v", "h"), pivots, "v", F.col("members") * 4096 > total)
-    return written(met.select("pivot", "h").distinct(), "minhash-gatherings")
+    pivots = written(lists.groupBy("v").agg(best["h"].alias("pivot"), F.count("*").alias("members")).filter("members > 1"), "minhash-pivots", passing)
+    met = by_key(lists.select("v", "h"), pivots, "v", F.col("members") * 4096 > total)
+    met = written(met.select("pivot", "h").distinct(), "minhash-gatherings")
+    deleted(found.sparkSession, passing)
+    return met
 
 
 def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent: int, k: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that join the members, and the group that each is in by these; pairs are verified unless both are joined already.
 
-    ``first`` marks the members of one side; if there are two sides, pairs across count only.
+    ``first`` marks the members of one side; if there are two sides, pairs across count only. A member may be on both.
     """
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -158,7 +151,7 @@ def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent:
     least = np.array(least_equal(percent, k))
     heads = np.concatenate([codes[a : a + m] for a, m in zip(ends, kept)])
     head_ends = np.concatenate([[0], np.cumsum(kept)])[:-1]
-    group, mark, links = np.arange(len(sets)), np.zeros(int(codes.max()) + 1, bool), []
+    group, mark, links = np.unique(names, return_inverse=True)[1], np.zeros(int(codes.max()) + 1, bool), []
     across = first.any() and not first.all()
     for i in range(len(sets)):
         others = (group != group[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
@@ -184,8 +177,8 @@ def _link(sets: list[np.ndarray], names: list[int], first: np.ndarray, percent:
     return links, group
 
 
-def _partnered(sketches: list[np.ndarray], sizes: np.ndarray, first: np.ndarray, percent: int, k: int) -> np.ndarray:
-    """Which members have a partner that they may be alike with, by size and equal sketch values."""
+def _partnered(sketches: list[np.ndarray], sizes: np.ndarray, names: np.ndarray, first: np.ndarray, percent: int, k: int) -> np.ndarray:
+    """Which members have a partner, other than themselves, that they may be alike with, by size and equal sketch values."""
     kept = np.array([len(s) for s in sketches])
     codes = np.unique(np.concatenate(sketches), return_inverse=True)[1]
     ends = np.concatenate([[0], np.cumsum(kept)])
@@ -202,36 +195,43 @@ def _partnered(sketches: list[np.ndarray], sizes: np.ndarray, first: np.ndarray,
         partner = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (equal >= least[np.minimum(kept, kept[i])])
         if across:
             partner &= first != first[i]
-        partner[i] = False
+        partner &= names != names[i]
         found[i] = partner.any()
         found |= partner
     return found
 
 
-def _placed(met: DataFrame, block: int) -> DataFrame:
-    """(pivot, h, lead, block, blocks) of the members of gatherings of two and more; lead is the pivot if it is among them, else the smallest."""
-    counts = met.groupBy("pivot").agg(F.count("*").alias("m"), F.max(F.when(F.col("h") == F.col("pivot"), F.col("h"))).alias("own"), F.min("h").alias("least"))
-    counts = counts.filter("m > 1").select("pivot", F.coalesce("own", "least").alias("lead"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    return met.join(counts, "pivot").withColumn("block", F.pmod(F.xxhash64("h", "pivot"), F.col("blocks")).cast("int"))
+def _placed(met: DataFrame, block: int, total: int) -> DataFrame:
+    """(pivot, h, lead, block, blocks) of the members (pivot, h, bytes) of gatherings of two and more; lead is the pivot if it is among them, else the smallest.
+
+    A gathering has as many blocks as its members need, by number and by bytes.
+    """
+    counts = met.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("bytes").alias("all"), F.max(F.when(F.col("h") == F.col("pivot"), F.col("h"))).alias("own"), F.min("h").alias("least"))
+    need = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("all") / BLOCK_BYTES)).cast("int")
+    counts = counts.filter("m > 1").select("pivot", F.coalesce("own", "least").alias("lead"), need.alias("blocks"), "m")
+    placed = by_key(met.select("pivot", "h"), counts, "pivot", F.col("m") * 4096 > total)
+    return placed.select("pivot", "h", "lead", "blocks", F.pmod(F.xxhash64("h", "pivot"), F.col("blocks")).cast("int").alias("block"))
 
 
-def _compared(met: DataFrame, facts: DataFrame, block: int, look, schema: str, name: str) -> DataFrame:
-    """What ``look`` finds among the members of each gathering, in two rounds; its rows with ``rest`` name those left over.
+def _compared(met: DataFrame, facts: DataFrame, block: int, look, schema: str, name: str, passing: list[str]) -> DataFrame:
+    """What ``look`` finds among the members (pivot, h, bytes) of each gathering, in two rounds; its rows with ``rest`` name those left over.
 
     In the first round every block of members is looked at, with the gathering's lead in each. So the work is in
     proportion to the members, and in a group of copies few are left over that weren't joined with the lead. In the
     second these meet all other blocks. ``facts`` has a row for each h.
     """
-    placed = written(_placed(met, block), f"{name}-placed")
+    total = met.count()
+    placed = written(_placed(met, block, total), f"{name}-placed", passing)
     seats = F.when(F.col("h") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     one = placed.withColumn("i", F.explode(seats)).select("pivot", "h", "lead", "i", F.lit(0).alias("j"), F.lit(True).alias("first"), (F.col("blocks") > 1).alias("more"))
-    found = written(one.join(facts, "h").groupBy("pivot", "i", "j").applyInArrow(look, schema), name)
+    found = written(one.join(facts, "h").groupBy("pivot", "i", "j").applyInArrow(look, schema), name, passing)
     left = found.filter("rest").select("pivot", "h").distinct()
-    sides = left.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("sides"))
-    left = left.join(sides, "pivot").withColumn("i", F.pmod(F.xxhash64("pivot", "h"), F.col("sides")).cast("int"))
+    counts = left.groupBy("pivot").agg(F.count("*").alias("m")).withColumn("sides", F.ceil(F.col("m") / block).cast("int"))
     blocks = placed.select("pivot", "h", "block", "blocks")
-    asks = left.join(blocks, ["pivot", "h"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    answers = blocks.join(sides, "pivot").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    hot = F.col("m") * 4096 > total
+    asks = by_key(left.join(blocks, ["pivot", "h"]), counts, "pivot", hot).withColumn("i", F.pmod(F.xxhash64("pivot", "h"), F.col("sides")).cast("int"))
+    asks = asks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    answers = by_key(blocks, counts, "pivot", hot).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     two = asks.select("pivot", "h", "i", "j", F.lit(True).alias("first")).unionByName(answers.select("pivot", "h", "i", F.col("block").alias("j"), F.lit(False).alias("first")))
     two = two.withColumn("lead", F.lit(0).cast("long")).withColumn("more", F.lit(False))
     again = two.join(facts, "h").groupBy("pivot", "i", "j").applyInArrow(look, schema)
@@ -246,16 +246,20 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def alike(found: DataFrame, met: DataFrame, percent: int, k: int = K) -> DataFrame:
     """The rows of gatherings whose sketches leave them a partner."""
+    passing: list[str] = []
 
     def look(table: pa.Table) -> pa.Table:
         first = table["first"].to_numpy()
-        good = _partnered(_lists(table["sketch"]), table["n"].to_numpy(), first, percent, k)
+        good = _partnered(_lists(table["sketch"]), table["n"].to_numpy(), table["h"].to_numpy(), first, percent, k)
         out = pa.table({"pivot": table["pivot"], "h": table["h"], "rest": pa.array(~good)})
         # without a partner yet, but other blocks are there; in the second round nobody is left over
         return out.filter(pa.array(good | table["more"].to_numpy(zero_copy_only=False)))
 
-    looked = _compared(met, found.select("h", "n", "sketch"), SKETCHES, look, "pivot long, h long, rest boolean", "minhash-partners")
-    return written(looked.filter("not rest").select("pivot", "h").distinct(), "minhash-alike")
+    sized = met.withColumn("bytes", F.lit(8 * k).cast("long"))
+    looked = _compared(sized, found.select("h", "n", "sketch"), SKETCHES, look, "pivot long, h long, rest boolean", "minhash-partners", passing)
+    out = written(looked.filter("not rest").select("pivot", "h").distinct(), "minhash-alike")
+    deleted(found.sparkSession, passing)
+    return out
 
 
 def _with_text(texts: DataFrame, one: DataFrame, most: int) -> DataFrame:
@@ -268,7 +272,7 @@ def _with_text(texts: DataFrame, one: DataFrame, most: int) -> DataFrame:
 
 def links(found: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K, most: int = 2_000_000) -> DataFrame:
     """(a, b): verified links between classes, enough to join all that are linked."""
-    met = alike(found, gatherings(found, percent, k), percent, k)
+    met, passing = alike(found, gatherings(found, percent, k), percent, k), []
     one = found.join(met.select("h").distinct(), "h").select("h", "doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +281,7 @@ def links(found: DataFrame, texts: DataFrame, width: int, percent: int, k: int =
             whole = [s.tobytes() for _, s in _sets(batch.column(1).to_pylist(), width, hashes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], ["h", "set"])
 
-    sets = written(_with_text(texts, written(one, "minhash-named"), most).mapInArrow(run, "h long, set binary"), "minhash-sets")
+    sets = written(_with_text(texts, written(one, "minhash-names", passing), most).mapInArrow(run, "h long, set binary"), "minhash-sets", passing)
 
     def join(table: pa.Table) -> pa.Table:
         names, whole, first = table["h"].to_pylist(), table["set"].to_pylist(), table["first"].to_numpy()
@@ -289,8 +293,11 @@ def links(found: DataFrame, texts: DataFrame, width: int, percent: int, k: int =
         pivot = table["pivot"][0].as_py()
         return pa.table({"pivot": pa.array([pivot] * len(rows), pa.int64()), "h": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "rest": pa.array([r[2] for r in rows], pa.bool_())})
 
-    looked = _compared(met, sets, BLOCK, join, "pivot long, h long, b long, rest boolean", "minhash-links")
-    return looked.filter("not rest").select(F.col("h").alias("a"), "b")
+    sized = met.join(found.select("h", (F.col("n") * 8).alias("bytes")), "h")
+    looked = _compared(sized, sets, BLOCK, join, "pivot long, h long, b long, rest boolean", "minhash-links", passing)
+    out = written(looked.filter("not rest").select(F.col("h").alias("a"), "b"), "minhash-joined")
+    deleted(found.sparkSession, passing)
+    return out
 
 
 def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -298,18 +305,18 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Rows of one doc_id with unlike texts have that doc_id as component all of them, but roots of their own.
     """
-    small_batches(docs.sparkSession)
-    rows = sketched(docs, width)
-    able = rows.filter(F.col("doc_id").isNotNull())
-    found = classes(able)
-    roots = components(links(found, docs.filter(F.col("doc_id").isNotNull()), width, percent))
+    with arrow_batches(docs.sparkSession, 512):
+        rows = sketched(docs, width)
+        able = rows.filter(F.col("doc_id").isNotNull())
+        found = classes(able)
+        roots = components(links(found, docs.filter(F.col("doc_id").isNotNull()), width, percent))
     rooted = found.select("h", "doc_id", "copies").join(roots, found["h"] == roots["node"], "left").select("h", "doc_id", "copies", F.coalesce("root", "h").alias("root"))
     # roots of large groups are few: a group of more than one of 4096 rows is looked up by broadcast, and so is a large class
     total = rows.count()
     sized = rooted.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("members"))
-    named = written(_by_key(rooted, sized, "root", F.col("members") * 4096 > total).select("h", "root", "component", "copies"), "minhash-named")
+    named = written(by_key(rooted, sized, "root", F.col("members") * 4096 > total).select("h", "root", "component", "copies"), "minhash-named")
     bare = rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles"))
-    out = _by_key(bare.filter("doc_id is not null and n_shingles > 0"), named, "h", F.col("copies") * 4096 > total).drop("copies")
+    out = by_key(bare.filter("doc_id is not null and n_shingles > 0"), named, "h", F.col("copies") * 4096 > total).drop("copies")
     out = out.unionByName(bare.filter("doc_id is null or n_shingles = 0"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "tie", "n_shingles", component.alias("component_id"), "root")
@@ -333,12 +340,16 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Texts are linked, not ids: of rows of one doc_id with unlike texts each counts in its own text's group. Where the
     smallest doc_id has several texts of the group, the smallest hash of the text stays, and of equal rows one. Texts
-    without shingles are linked with nothing: all their rows stay, and so do all rows without doc_id.
+    without shingles are linked with nothing: all their rows stay, and so do all rows without doc_id. Columns may have any
+    names and types; an empty table gives no rows.
     """
     judged = _judged(docs, width, percent).filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    stays = judged.groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.tie").alias("__tie"))
-    names = [F.col(f"`{n}`") for n in docs.columns]
+    stays = judged.groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("one")).select("one.doc_id", "one.tie")
+    # a row as one column, so that no name of its columns meets one of these
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns])
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    named = docs.filter(~alone).join(stays, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__tie")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy("__id"))
-    return named.withColumn("__nth", nth).filter("__nth = 1").select(*names).unionByName(docs.filter(alone))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), alone.alias("alone"))
+    named = rows.filter("not alone").join(stays, ["doc_id", "tie"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("alone"))
+    once = named.withColumn("nth", nth).filter("nth = 1").select("row")
+    return once.unionByName(rows.filter("alone").select("row")).select("row.*")

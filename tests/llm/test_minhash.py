@@ -78,6 +78,37 @@ def test_one_of_each_goes_by_text_not_by_id(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, one), (5, two), (5, ""), (5, None), (8, " \t"), (None, two)]))
 
 
+def test_an_unrelated_leftover_is_filtered():
+    """In a later round a member meets the block that it is in itself: that isn't a partner."""
+    one, other = np.sort(np.arange(48, dtype=np.uint64) * 7), np.sort(np.arange(48, dtype=np.uint64) * 7 + 1)
+    ask = minhash._partnered([one, one, other], np.array([48, 48, 48]), np.array([5, 5, 6]), np.array([True, False, False]), 80, 48)
+    assert not ask.any()
+    near = one.copy()
+    near[-1] += 1
+    assert minhash._partnered([one, one, near], np.array([48, 48, 48]), np.array([5, 5, 6]), np.array([True, False, False]), 80, 48).tolist() == [True, False, True]
+    links, _ = minhash._link([one, one, near], [5, 5, 6], np.array([True, False, False]), 80, 48)
+    assert links == [(5, 6)]
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    rows = texts(60, seed=4)
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect())
+    assert got == by_hand(rows, 2)
+
+
+def test_any_column_names(spark):
+    names = ["__id", "__tie", "__nth", "row", "alone", "tie", "nth", "a.b", "one", "root"]
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(d, t, *(f"{d}{n}" for n in names)) for d, t in ((1, text), (2, text), (2, text), (3, None), (None, text))]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    got = minhash.one_of_each(df, 5)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[3], rows[4]]))
+    assert minhash.one_of_each(df.limit(0), 5).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(0, 60).selectExpr("(id * 37) % 61 as a", "((id + 1) * 37) % 61 as b").union(spark.sql("select 100L, 101L union all select 101L, 100L union all select 7L, 7L"))
     got = {r.node: r.root for r in components(chain).collect()}
