@@ -3,8 +3,9 @@
 Pages are range-sorted by id into shards of about equal bytes, cut by exact histograms, so reruns cut alike. Every
 shard is written by one task, which rolls to a new file when the compressed size of the present one is reached. Headers,
 record ids and digests are made anew from the content. A file is written under a temporary name and renamed when it is
-whole; the manifest, renamed last, names the files that count. An attempt that is lost leaves only temporary files, and
-a repeated one renames equal bytes over equal names.
+whole. A write has a number, which its files' names begin with; its manifest, renamed last, names the files that count,
+and readers take the highest number. So a root may be written again, and until that is whole readers see the write
+before. An attempt that is lost leaves only temporary files, and a repeated one renames equal bytes over equal names.
 """
 
 from __future__ import annotations
@@ -21,14 +22,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnkappe.llm.common import range_cuts, shard_of
-from tarnkappe.session import new_folder, small_batches, written
+from tarnkappe.llm.common import by_key, range_cuts, shard_of
+from tarnkappe.session import arrow_batches, new_folder, written
 
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
+def _temporary(number: int) -> str:
+    return f"_temporary/{number:05d}"
+
+
+def _manifests(root: str) -> dict[int, str]:
+    """Numbers of the writes below ``root`` that are whole, and their manifests' names."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    names = [f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("manifest-")]
+    return {int(n.removeprefix("manifest-")): n for n in names}
+
+
 def sha1_name(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -52,16 +67,16 @@ def _record(headers: list[tuple[str, object]], block: bytes, level: int) -> byte
 class _Shard:
     """The open file of a shard."""
 
-    def __init__(self, root: str, shard: int, roll: int, date: str, level: int):
+    def __init__(self, root: str, number: int, shard: int, roll: int, date: str, level: int):
         from pyarrow import fs
 
         self.fs, self.base = fs.FileSystem.from_uri(root)
-        self.shard, self.roll, self.date, self.level, self.n, self.out = shard, roll, date, level, 0, None
-        self.temporary = f"{self.base}/_temporary/{uuid.uuid4().hex}"
+        self.number, self.shard, self.roll, self.date, self.level, self.n, self.out = number, shard, roll, date, level, 0, None
+        self.temporary = f"{self.base}/{_temporary(number)}/{uuid.uuid4().hex}"
 
     def add(self, data: bytes) -> Iterator[tuple]:
         if self.out is None:
-            self.name = f"shard-{self.shard:05d}-{self.n:05d}.warc.gz"
+            self.name = f"{self.number:05d}-shard-{self.shard:05d}-{self.n:05d}.warc.gz"
             self.fs.create_dir(self.temporary, recursive=True)
             self.out = self.fs.open_output_stream(f"{self.temporary}/{self.name}", compression=None)
             self.records, self.bytes, self.sum = 0, 0, hashlib.sha256()
@@ -95,7 +110,7 @@ def _page_record(page: dict, first: dict | None, date: str, level: int) -> bytes
     return _record(headers, http if first else http + payload, level)
 
 
-def _writer(root: str, roll: int, date: str, level: int):
+def _writer(root: str, number: int, roll: int, date: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first = None, None
         done: list[tuple] = []
@@ -103,7 +118,7 @@ def _writer(root: str, roll: int, date: str, level: int):
             for row in batch.to_pylist():
                 if shard is None or shard.shard != row["shard"]:
                     done += shard.close() if shard else ()
-                    shard = _Shard(root, row["shard"], roll, date, level)
+                    shard = _Shard(root, number, row["shard"], roll, date, level)
                 if row["kind"] == 0:  # a decision stands just before the pages that it is about
                     first = row
                     continue
@@ -123,12 +138,13 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = 32 << 20, roll_by
     The payload is the html in UTF-8. Of equal payloads of at least ``min_bytes`` the one with the smallest page_id is a
     response, the others are revisits that refer to it. Null html is an empty payload, a null url an empty one; pages
     without id are responses and stand first; rows that repeat the id of the response are responses too; other columns
-    are ignored; an empty table gives a manifest without files.
+    are ignored; an empty table gives a manifest without files. A root that was written before gets a write of the next
+    number; one writer at a time.
     """
     from pyarrow import fs
 
     spark = pages.sparkSession
-    small_batches(spark, 256)
+    number = max(_manifests(root), default=-1) + 1
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     size = F.octet_length("html").cast("long")
@@ -137,17 +153,21 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = 32 << 20, roll_by
     shards = min(4096, max(1, -(-(narrow.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes)))
     cuts = range_cuts(narrow.withColumn("cost", F.col("bytes") + 1024), "page_id", "cost", shards)
     able = narrow.filter(F.col("page_id").isNotNull() & (F.col("bytes") >= min_bytes))
-    firsts = able.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = able.select("page_id", "digest").join(firsts, "digest").filter(F.col("page_id") > F.col("first.page_id")).distinct()
+    firsts = able.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # payloads of more than one of 4096 pages are few: these are looked up by broadcast, so no digest is one task
+    frequent = F.col("n") * 4096 > narrow.count()
+    later = by_key(able.select("page_id", "digest"), firsts, "digest", frequent).filter(F.col("page_id") > F.col("first.page_id")).select("page_id", "digest", "first").distinct()
     nothing = F.lit(None)
     decisions = later.select("page_id", F.col("first.url").alias("url"), nothing.cast("string").alias("html"), "digest", F.lit(0).alias("kind"), F.col("first.page_id").alias("first_id"))
     both = rows.select("*", F.lit(1).alias("kind"), nothing.cast("long").alias("first_id")).unionByName(decisions).withColumn("shard", shard_of(F.col("page_id"), cuts))
     ordered = both.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(base, recursive=True)
-    manifest = f"_temporary/{uuid.uuid4().hex}"
-    ordered.mapInArrow(_writer(root, roll_bytes, date, level), MANIFEST).write.parquet(f"{root}/{manifest}")
-    store.move(f"{base}/{manifest}", f"{base}/manifest")
+    manifest = f"{_temporary(number)}/{uuid.uuid4().hex}"
+    with arrow_batches(spark, 256):
+        ordered.mapInArrow(_writer(root, number, roll_bytes, date, level), MANIFEST).write.parquet(f"{root}/{manifest}")
+    store.move(f"{base}/{manifest}", f"{base}/manifest-{number:05d}")
+    store.delete_dir(f"{base}/{_temporary(number)}")
 
 
 def _headers(stream: io.BufferedIOBase) -> dict[str, str] | None:
@@ -202,9 +222,16 @@ def _reader(root: str, with_payload: bool):
 
 
 def read_warc(spark: SparkSession, root: str, with_payload: bool = True) -> DataFrame:
-    """Records of the files that the manifest names, with digests checked; a revisit's payload is null."""
-    files = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("file")
-    return files.repartition(max(1, files.count())).mapInArrow(_reader(root, with_payload), RECORDS)
+    """Records of the files that the last manifest names, with digests checked; a revisit's payload is null.
+
+    A task reads a shard's files one after the other; nothing but a few megabytes of a file is held.
+    """
+    manifests = _manifests(root)
+    if not manifests:
+        raise FileNotFoundError(f"no manifest below {root}")
+    files = spark.read.schema(MANIFEST).parquet(f"{root}/{manifests[max(manifests)]}").select("shard", "file")
+    shards = (files.agg(F.max("shard")).first()[0] or 0) + 1
+    return files.repartitionById(shards, F.col("shard")).select("file").mapInArrow(_reader(root, with_payload), RECORDS)
 
 
 def warc_query(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def test_reruns_write_equal_bytes(spark, tmp_path):
     for name, df in (("a", pages(spark)), ("b", pages(spark).repartition(2))):
         root = f"file://{tmp_path}/{name}"
         warc.write_warc(df, root, shard_bytes=20_000, roll_bytes=2_000)
-        sums.append(sorted(map(tuple, spark.read.parquet(f"{root}/manifest").collect())))
+        sums.append(sorted(map(tuple, spark.read.parquet(f"{root}/manifest-00000").collect())))
         files = {f.base_name for f in fs.LocalFileSystem().get_file_info(fs.FileSelector(f"{tmp_path}/{name}")) if f.base_name.endswith(".gz")}
         assert files == {x[1] for x in sums[-1]}
     assert sums[0] == sums[1] and len(sums[0]) > 5 and len({x[0] for x in sums[0]}) > 3
@@ -44,3 +44,17 @@ def test_empty_table(spark, tmp_path):
     root = f"file://{tmp_path}/none"
     warc.write_warc(pages(spark).limit(0), root)
     assert warc.read_warc(spark, root).count() == 0
+
+
+def test_a_root_is_written_again(spark, tmp_path):
+    root = f"file://{tmp_path}/again"
+    warc.write_warc(pages(spark), root, shard_bytes=20_000, roll_bytes=2_000)
+    first = spark.read.parquet(f"{root}/manifest-00000").collect()
+    fewer = pages(spark).filter("page_id < 50")
+    warc.write_warc(fewer, root, shard_bytes=20_000, roll_bytes=2_000)
+    got = warc.read_warc(spark, root).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in ROWS if r[0] is not None and r[0] < 50)
+    # the write before stays readable until its files are taken away
+    there = {f.base_name for f in fs.LocalFileSystem().get_file_info(fs.FileSelector(f"{tmp_path}/again"))}
+    assert {r.file for r in first} < there and "manifest-00001" in there
+    assert not list((tmp_path / "again" / "_temporary").iterdir())
