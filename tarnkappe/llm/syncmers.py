@@ -1,9 +1,10 @@
 """Document fingerprints by closed syncmers (operator 7; DataFrame operations only).
 
-The units are words, lower-cased by A-Z. A k-mer of words is an anchor if the smallest hash among the s-mers inside it
-lies at its first or last place. That depends on nothing outside the k-mer, so an edit changes only anchors that overlap
-it, and the same passage gives the same anchors in any text. Short texts, and texts of very long words, have anchors of
-characters as well, which an edit of a word leaves standing.
+The units are pieces of words, lower-cased by A-Z: up to ``PIECE`` characters from a word's beginning, and a unit for each
+character of scripts that are written without spaces. All texts are cut alike, whatever their length or script. A k-mer
+of units is an anchor if the smallest hash among the s-mers inside it lies at its first or last place. That depends on
+nothing outside the k-mer, so an edit changes only anchors that overlap it, and the same passage gives the same anchors
+in any text.
 
 Anchors are matched by position: an entry of the fingerprint is an anchor's hash and its distance from the one before.
 So a passage matches where its anchors stand in the same places to each other, wherever it is in the text.
@@ -14,61 +15,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnkappe.llm.common import GAP, lowered, range_cuts, shard_of, spread_keys
+from tarnkappe.llm.common import lowered, range_cuts, shard_of, spread_keys
 from tarnkappe.session import written
 
-K, S = 8, 2
+K, S, PIECE = 4, 2, 3
 ANCHORS = "array<struct<position:int,hash:bigint>>"
-#: Texts of at most so many characters, or of more than so many a word, have anchors of characters too.
-SHORT, LONG_WORD = 512, 40
+#: Scripts that are written without spaces, whose characters are units of their own.
+_SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNIT = rf"[{_SPACELESS}]|[^\x20\x09-\x0D{_SPACELESS}]{{1,{PIECE}}}"
 
 
-def _anchors(df: DataFrame, units: str, out: str, k: int, s: int) -> DataFrame:
-    """``df`` with ``out``, the anchors (position, hash) among the hashes in the array column ``units``."""
-    m, n, span = f"__{out}_inner", F.size(units), k - s + 1
-    inner = F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i: F.xxhash64(*[F.get(F.col(units), i + (j - 1)) for j in range(s)]))
-    df = df.withColumn(m, F.when(n >= s, inner).otherwise(F.array().cast("array<bigint>")))
+def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """``df`` with ``out``, an array of (position, hash) in order of position, from the text column named.
+
+    A text with units but without an anchor has one: the hash of all its units at position 1. Null and white space have none.
+    """
+    units, inner, span = f"__{out}_units", f"__{out}_inner", k - s + 1
+    pieces = F.regexp_extract_all(lowered(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0))
+    df = df.withColumn(units, F.transform(pieces, lambda x: F.xxhash64(x)))
+    n, m = F.size(units), F.col(inner)
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn(inner, F.when(n >= s, F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i: F.xxhash64(*[F.get(F.col(units), i + (j - 1)) for j in range(s)]))).otherwise(none))
     # s-mers that tile the k-mer, and its last one, stand for its units
     tiles = sorted({*range(0, span, s), span - 1})
 
     def judge(i: Column) -> Column:
-        least = F.array_min(F.slice(F.col(m), i, span))
-        first, last = F.get(F.col(m), i - 1), F.get(F.col(m), i + (span - 2))
-        whole = F.xxhash64(*[F.get(F.col(m), i + (t - 1)) for t in tiles])
+        least = F.array_min(F.slice(m, i, span))
+        first, last = F.get(m, i - 1), F.get(m, i + (span - 2))
+        whole = F.xxhash64(*[F.get(m, i + (t - 1)) for t in tiles])
         return F.when((first == least) | (last == least), F.struct(i.cast("int").alias("position"), whole.alias("hash")))
 
     found = F.filter(F.transform(F.sequence(F.lit(1), n - (k - 1)), judge), lambda x: x.isNotNull())
-    return df.withColumn(out, F.when(n >= k, found).otherwise(F.array().cast(ANCHORS))).drop(m)
-
-
-def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """``df`` with ``out``, an array of (position, hash) in order of position, from the text column named.
-
-    Anchors of characters, where a text has them, stand behind those of words at negative positions, descending. A text
-    with words but without an anchor has one: the hash of all its words at position 1. Null and white space have none.
-    """
-    w, c, a, b = (f"__{out}_{x}" for x in ("words", "signs", "by_word", "by_sign"))
-    low = lowered(F.coalesce(F.col(text), F.lit("")))
-    words = F.filter(F.split(low, GAP), lambda x: x != "")
-    df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
-    n = F.size(w)
-    size = F.char_length(F.coalesce(F.col(text), F.lit("")))
-    signs = F.transform(F.split(F.array_join(words, " "), ""), lambda x: F.xxhash64(x))
-    fine = (n > 0) & ((size <= SHORT) | (size > LONG_WORD * n))
-    df = df.withColumn(c, F.when(fine, signs).otherwise(F.array().cast("array<bigint>")))
-    df = _anchors(_anchors(df, w, a, k, s), c, b, k, s)
-    behind = F.transform(b, lambda x: F.struct((-x["position"]).alias("position"), x["hash"].alias("hash")))
-    alone = F.array(F.struct(F.lit(1).alias("position"), F.xxhash64(F.col(w)).alias("hash")))
-    both = F.concat(a, behind)
-    return df.withColumn(out, F.when((F.size(both) > 0) | (n == 0), both).otherwise(alone)).drop(w, c, a, b)
+    found = F.when(n >= k, found).otherwise(F.array().cast(ANCHORS))
+    alone = F.array(F.struct(F.lit(1).alias("position"), F.xxhash64(F.col(units)).alias("hash")))
+    df = df.withColumn(out, found)
+    return df.withColumn(out, F.when((F.size(out) > 0) | (n == 0), F.col(out)).otherwise(alone)).drop(units, inner)
 
 
 def entries(anchors: str) -> Column:
     """The fingerprint as an array of texts: each anchor's hash in hexadecimal, 40 bits, and its distance from the one before."""
 
     def entry(a: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(F.col(anchors), i - 1)["position"], F.lit(0))
-        apart = F.when((i > 0) & (F.sign(before) == F.sign(a["position"])), a["position"] - before).otherwise(0)
+        apart = F.when(i > 0, a["position"] - F.get(F.col(anchors), i - 1)["position"]).otherwise(0)
         return F.concat_ws("@", F.hex(F.shiftrightunsigned(a["hash"], 24)), apart.cast("string"))
 
     return F.transform(anchors, entry)
