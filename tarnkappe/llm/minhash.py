@@ -111,10 +111,13 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row for each class of equal texts: h, n, sketch, the smallest (doc_id, tie) and how many rows there are; written."""
+    """One row for each class of equal texts: h, c, n, sketch, the smallest (doc_id, tie) and how many rows there are; written.
+
+    ``c`` numbers the classes. Numbers that lie side by side take up less than hashes do where rows are shuffled.
+    """
     one = F.min(F.struct("doc_id", "tie", "n", "sketch")).alias("one")
     found = rows.filter("n > 0").groupBy("h").agg(one, F.count("*").alias("copies"))
-    return written(found.select("h", "one.*", "copies"), "minhash-classes")
+    return written(found.select("h", F.monotonically_increasing_id().alias("c"), "one.*", "copies"), "minhash-classes")
 
 
 def gatherings(found: DataFrame, percent: int, k: int = K) -> DataFrame:
@@ -271,7 +274,8 @@ def _with_text(texts: DataFrame, one: DataFrame, most: int) -> DataFrame:
 
 
 def links(found: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K, most: int = 2_000_000) -> DataFrame:
-    """(a, b): verified links between classes, enough to join all that are linked."""
+    """(a, b): verified links between the numbers of classes, enough to join all that are linked."""
+    found = found.select(F.col("c").alias("h"), "n", "sketch", "doc_id", "tie")
     met, passing = alike(found, gatherings(found, percent, k), percent, k), []
     one = found.join(met.select("h").distinct(), "h").select("h", "doc_id", "tie")
 
@@ -310,7 +314,7 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
         able = rows.filter(F.col("doc_id").isNotNull())
         found = classes(able)
         roots = components(links(found, docs.filter(F.col("doc_id").isNotNull()), width, percent))
-    rooted = found.select("h", "doc_id", "copies").join(roots, found["h"] == roots["node"], "left").select("h", "doc_id", "copies", F.coalesce("root", "h").alias("root"))
+    rooted = found.select("h", "c", "doc_id", "copies").join(roots, found["c"] == roots["node"], "left").select("h", "doc_id", "copies", F.coalesce("root", "c").alias("root"))
     # roots of large groups are few: a group of more than one of 4096 rows is looked up by broadcast, and so is a large class
     total = rows.count()
     sized = rooted.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("members"))
