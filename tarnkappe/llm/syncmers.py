@@ -19,14 +19,24 @@ from tarnkappe.llm.common import lowered, range_cuts, shard_of, spread_keys
 from tarnkappe.session import written
 
 K, S, PIECE = 4, 2, 3
-ANCHORS = "array<struct<position:int,hash:bigint>>"
+#: An anchor is a long: 40 bits of its hash, then 24 of its position (of distances between positions, later on).
+ANCHORS, PLACE = "array<bigint>", 24
 #: Scripts that are written without spaces, whose characters are units of their own.
 _SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 UNIT = rf"[{_SPACELESS}]|[^\x20\x09-\x0D{_SPACELESS}]{{1,{PIECE}}}"
 
 
+def _packed(hash_: Column, place: Column) -> Column:
+    """The upper 40 bits of a hash and a number; of numbers beyond 24 bits the rest counts."""
+    return hash_.bitwiseAND(F.lit(-1 << PLACE)).bitwiseOR(_place(place.cast("long")))
+
+
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << PLACE) - 1))
+
+
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """``df`` with ``out``, an array of (position, hash) in order of position, from the text column named.
+    """``df`` with ``out``, an array of anchors in order of position, counted from 1, from the text column named.
 
     A text with units but without an anchor has one: the hash of all its units at position 1. Null and white space have none.
     """
@@ -43,28 +53,28 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
         least = F.array_min(F.slice(m, i, span))
         first, last = F.get(m, i - 1), F.get(m, i + (span - 2))
         whole = F.xxhash64(*[F.get(m, i + (t - 1)) for t in tiles])
-        return F.when((first == least) | (last == least), F.struct(i.cast("int").alias("position"), whole.alias("hash")))
+        return F.when((first == least) | (last == least), _packed(whole, i))
 
     found = F.filter(F.transform(F.sequence(F.lit(1), n - (k - 1)), judge), lambda x: x.isNotNull())
     found = F.when(n >= k, found).otherwise(F.array().cast(ANCHORS))
-    alone = F.array(F.struct(F.lit(1).alias("position"), F.xxhash64(F.col(units)).alias("hash")))
+    alone = F.array(_packed(F.xxhash64(F.col(units)), F.lit(1)))
     df = df.withColumn(out, found)
     return df.withColumn(out, F.when((F.size(out) > 0) | (n == 0), F.col(out)).otherwise(alone)).drop(units, inner)
 
 
 def entries(anchors: str) -> Column:
-    """The fingerprint as an array of texts: each anchor's hash in hexadecimal, 40 bits, and its distance from the one before."""
+    """The fingerprint as an array of longs: each anchor's hash, and its distance from the one before instead of its position; 0 for the first."""
 
     def entry(a: Column, i: Column) -> Column:
-        apart = F.when(i > 0, a["position"] - F.get(F.col(anchors), i - 1)["position"]).otherwise(0)
-        return F.concat_ws("@", F.hex(F.shiftrightunsigned(a["hash"], 24)), apart.cast("string"))
+        apart = F.when(i > 0, _place(a) - _place(F.get(F.col(anchors), i - 1))).otherwise(0)
+        return _packed(a, apart)
 
     return F.transform(anchors, entry)
 
 
-def as_string(anchors: str) -> Column:
-    """The entries of the fingerprint in order."""
-    return F.array_join(entries(anchors), " ")
+def as_string(found: Column) -> Column:
+    """Entries in order, each as its hash in hexadecimal and its distance."""
+    return F.array_join(F.transform(found, lambda x: F.concat_ws("@", F.hex(F.shiftrightunsigned(x, PLACE)), _place(x).cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,7 +118,9 @@ def with_next(docs: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of whole texts: doc_id, n_chars, anchors, fingerprint. Null texts are empty and have no anchors; rows are independent."""
     rows = with_anchors(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "anchors")
-    return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "anchors", as_string("anchors").alias("fingerprint"))
+    shown = F.transform("anchors", lambda x: F.struct(_place(x).cast("int").alias("position"), F.shiftrightunsigned(x, PLACE).alias("hash")))
+    rows = rows.withColumn("fingerprint", as_string(entries("anchors"))).withColumn("anchors", shown)
+    return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "anchors", "fingerprint")
 
 
 def fingerprint_query(docs: DataFrame) -> DataFrame:
@@ -128,8 +140,8 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.array_join("anchors", " ").alias("fingerprint"),
-        F.array_join("edited_anchors", " ").alias("edited_fingerprint"),
+        as_string(F.col("anchors")).alias("fingerprint"),
+        as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
         likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
