@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnkappe.functions import lexicon
 from tarnkappe.functions.text import fold, is_cap, umlaut_variant
-from tarnkappe.operators.tokens import stems, tokens
+from tarnkappe.operators import organisations
+from tarnkappe.operators.tokens import one_of, stems, tiles, tokens
 
 
 def leak_forms(parts: DataFrame) -> DataFrame:
@@ -14,9 +16,67 @@ def leak_forms(parts: DataFrame) -> DataFrame:
 
     A name part is looked for by its key, its folded form and its spelling without umlauts, from two letters on.
     """
-    forms = F.filter(F.array("key", fold(F.col("raw")), fold(umlaut_variant(F.col("raw")))), lambda x: x.isNotNull() & (F.char_length(x) >= 2))
-    rows = parts.select("doc_id", "entity", "ambiguous", F.explode(F.array_distinct(forms)).alias("form"))
-    return rows.groupBy("doc_id", "form").agg(F.min("entity").alias("entity"), F.min("ambiguous").alias("ambiguous"))
+    rank = F.col("rank") if "rank" in parts.columns else F.lit(0)
+    rows = parts.select("doc_id", "entity", "ambiguous", rank.alias("rank"), F.explode(_spellings(F.col("key"), F.col("raw"))).alias("form"))
+    return rows.groupBy("doc_id", "form").agg(F.min(F.struct("rank", "entity"))["entity"].alias("entity"), F.min("ambiguous").alias("ambiguous"))
+
+
+def _spellings(key: Column, raw: Column) -> Column:
+    """Different keys of two letters at least that a word may be looked for by."""
+    return F.array_distinct(F.filter(F.array(key, fold(raw), fold(umlaut_variant(raw))), lambda x: x.isNotNull() & (F.char_length(x) >= 2)))
+
+
+#: What programs put in a file's properties where they know no name, folded.
+NOBODY = "author autor user benutzer owner besitzer admin administrator guest gast default standard unknown unbekannt office computer pc company firma"
+
+
+def meta_forms(meta_names: DataFrame) -> DataFrame:
+    """(doc_id, form, entity, ambiguous) of the persons in ``meta_names`` (doc_id, name, kind), which a file's properties name.
+
+    Each word of a name counts by itself, so a turned name or one with an initial is found as well; of an e-mail address
+    what stands before the @, of a network's user what stands behind the last stroke. Words that programs put in, titles,
+    particles, stop words and single letters don't count. The entity says where the name is from.
+    """
+    rows = meta_names.filter("kind <> 'org'").select("doc_id", "name")
+    own = F.regexp_replace(F.regexp_replace("name", r"@.*$", ""), r"^.*\\", "")
+    own = F.when(F.contains("name", F.lit("@")), F.regexp_replace(own, "[._-]+", " ")).otherwise(own)
+    words = rows.select("doc_id", "name", F.explode(tiles(own)).alias("raw")).filter(F.col("raw").rlike(r"^[\p{L}\p{M}]")).withColumn("key", fold(F.col("raw")))
+    listed = f"{NOBODY} {lexicon.STRONG_TITLES} {lexicon.WEAK_TITLES} {lexicon.PARTICLES} {lexicon.STOP}"
+    words = words.filter((F.char_length("key") >= 2) & ~one_of(F.col("key"), listed))
+    forms = words.select("doc_id", F.concat(F.lit("F|"), "name").alias("entity"), F.explode(_spellings(F.col("key"), F.col("raw"))).alias("form"))
+    return forms.groupBy("doc_id", "form").agg(F.min("entity").alias("entity")).withColumn("ambiguous", F.lit(False))
+
+
+def meta_terms(meta_names: DataFrame) -> DataFrame:
+    """(doc_id, term) of the organisations in ``meta_names``, to be looked for as whole phrases; not those that programs put in."""
+    words = F.filter(tiles(fold(F.col("name"))), lambda w: w.rlike(r"^[\p{L}\p{M}]"))
+    real = F.col("name").rlike(r"[\p{L}\p{M}]{2}") & F.exists(words, lambda w: ~one_of(w, NOBODY))
+    return meta_names.filter(F.col("kind") == "org").filter(real).select("doc_id", F.trim("name").alias("term")).distinct()
+
+
+def phrase_leaks(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, start, word, entity, form): places of a document's own phrases (doc_id, term) in its units."""
+    found = organisations.find(tokens(units), terms.select("term")).join(terms.select("doc_id", "term").distinct(), ["doc_id", "term"])
+    return found.select("doc_id", "unit_id", "start", F.col("term").alias("word"), F.concat(F.lit("F|"), "term").alias("entity"), fold(F.col("term")).alias("form"))
+
+
+def both_forms(forms: DataFrame, more: DataFrame) -> DataFrame:
+    """``forms`` and those of ``more`` that they don't have."""
+    return forms.unionByName(more.join(forms.select("doc_id", "form"), ["doc_id", "form"], "left_anti"))
+
+
+def beyond(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``found`` (doc_id, unit_id, start, word, entity, form) beyond those of ``known``: a difference of multisets.
+
+    For each word of a document, by its fold, as many rows go as ``known`` has of it, the first ones in order of place. So a
+    word that a file's strings repeat from its units isn't reported twice, and no word is reported less often than it stands
+    there.
+    """
+    word = fold(F.col("word"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "folded").orderBy("unit_id", "start", "entity"))
+    numbers = known.groupBy("doc_id", word.alias("folded")).agg(F.count("*").alias("m"))
+    rows = found.withColumn("folded", word).withColumn("nth", nth).join(numbers, ["doc_id", "folded"], "left")
+    return rows.filter(F.col("nth") > F.coalesce("m", F.lit(0))).select(found.columns)
 
 
 def leaks(units: DataFrame, forms: DataFrame) -> DataFrame:

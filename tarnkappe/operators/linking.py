@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from tarnkappe.functions import lexicon
 from tarnkappe.functions.text import fold, letter_for
 from tarnkappe.operators import reversible
+from tarnkappe.operators.mentions import with_taken
 from tarnkappe.operators.tokens import one_of, stems
 from tarnkappe.session import written
 
 INITIAL_ONLY = r"\.$"
+_SHORT_DATES = f"{lexicon.WEEKDAYS_SHORT} {lexicon.MONTHS_SHORT}"
 
 
 def full_names(mentions: DataFrame) -> DataFrame:
@@ -89,10 +91,21 @@ def resolve_merges(hits: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def owned_parts(linked: DataFrame) -> DataFrame:
-    """(doc_id, key, entity) of name parts that may spread: words of certain mentions, of three letters at least, owned by exactly one entity."""
-    parts = linked.filter("certainty = 'certain'").select("doc_id", "entity", F.explode("parts").alias("p")).filter("p.kind = 'word'").select("doc_id", "entity", "p.key")
-    parts = parts.filter((F.char_length("key") >= 3) & ~one_of(F.col("key"), lexicon.STOP) & ~one_of(F.col("key"), lexicon.PARTICLES))
-    return parts.groupBy("doc_id", "key").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("owners")).filter("owners = 1").drop("owners")
+    """(doc_id, key, entity, grp) of name parts that may spread: words of three letters at least that exactly one entity owns.
+
+    Words of certain mentions own; a word of a group (an uncertain name behind a form of address elsewhere) does where no
+    certain mention has it, and hands on its group.
+    """
+    words = linked.select("doc_id", "entity", "certainty", "grp", F.explode("parts").alias("p")).filter("p.kind = 'word'").select("doc_id", "entity", "certainty", "grp", "p.key")
+    words = words.filter((F.char_length("key") >= 3) & ~one_of(F.col("key"), lexicon.STOP) & ~one_of(F.col("key"), lexicon.PARTICLES))
+    sure = F.col("certainty") == "certain"
+    owner = lambda c: F.when(c, F.col("entity"))
+    per = words.filter(sure | F.col("grp").isNotNull()).groupBy("doc_id", "key").agg(
+        F.min(owner(sure)).alias("entity"), F.countDistinct(owner(sure)).alias("owners"),
+        F.min(owner(~sure)).alias("weak"), F.countDistinct(owner(~sure)).alias("weak_owners"), F.min(F.when(~sure, F.col("grp"))).alias("grp"),
+    )
+    known = per.filter("owners = 1").select("doc_id", "key", "entity", F.lit(None).cast("string").alias("grp"))
+    return known.unionByName(per.filter("owners = 0 and weak_owners = 1").select("doc_id", "key", F.col("weak").alias("entity"), "grp"))
 
 
 def manual_parts(terms: DataFrame) -> DataFrame:
@@ -119,23 +132,53 @@ def joined_words(hits: DataFrame) -> DataFrame:
     )
 
 
-def propagate(tokens: DataFrame, owned: DataFrame, covered: DataFrame, marked: bool = False) -> DataFrame:
-    """Further places of owned parts among flagged tokens that no hit of ``covered`` (doc_id, unit_id, start, end) touches.
+def noun_before(i: Column) -> Column:
+    """Whether an article or preposition stands before token ``i`` of ``tokens``, with up to two small words between."""
+    at = lambda k: F.get("tokens", i - k)
+    small = lambda k: F.coalesce(at(k)["word"] & ~at(k)["cap"], F.lit(False))
+    opens = lambda k: F.coalesce(at(k)["determiner"] | at(k)["preposition"], F.lit(False))
+    return opens(1) | (small(1) & opens(2)) | (small(1) & small(2) & opens(3))
 
-    A token fits with the first of its stems that is a part; ambiguous words only with a capital, and then uncertain,
-    and off behind an article or preposition. Parts that are ``marked`` by hand are certain wherever they stand.
+
+def propagate(lines: DataFrame, owned: DataFrame, covered: DataFrame, marked: bool = False) -> DataFrame:
+    """Further places of owned parts (doc_id, key, entity, grp) in lines of flagged tokens that no hit of ``covered`` touches.
+
+    A token fits with the first of its stems that is a part; ambiguous words only with a capital, and then uncertain, and
+    off behind an article or preposition. Weekdays and months are uncertain and off. A word with a group is uncertain and
+    on, and of that group. An unknown capitalised word right before a clear part is taken in (``absorbed``: its start, end
+    and key), and the whole is uncertain. Parts that are ``marked`` by hand are certain wherever they stand; but where they
+    stand in capitals with an ending in capitals they are off, and ``caps``, since such a form may be another word.
     """
-    near = Window.partitionBy("doc_id", "unit_id").orderBy("pos")
-    before = F.coalesce(F.lag("determiner").over(near), F.lit(False)) | F.coalesce(F.lag("preposition").over(near), F.lit(False))
-    words = tokens.withColumn("noun", before).filter("word and not exception" if marked else "word and not stop and not particle and not strong and not weak and not exception")
-    free = words.join(covered.select("doc_id", "unit_id", F.col("start").alias("s"), F.col("end").alias("e")), (words["doc_id"] == covered["doc_id"]) & (words["unit_id"] == covered["unit_id"]) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")
-    cuts = free.select("doc_id", "unit_id", "start", "end", "text", "cap", "ambiguous", "noun", F.posexplode(stems(F.col("text"))).alias("nth", "cut"))
-    found = cuts.withColumn("key", fold(F.col("cut.stem"))).join(owned, ["doc_id", "key"]).filter("true" if marked else "cap or not ambiguous")
+    small = lambda t, i: F.struct(
+        *[t[c].alias(c) for c in ("pos", "text", "start", "end", "word", "cap", "ambiguous", "stop", "particle", "strong", "weak", "exception")],
+        F.coalesce(t["calendar"] | (one_of(t["key"], _SHORT_DATES) & (F.get("tokens", i + 1)["text"] == ".") & (F.get("tokens", i + 1)["gap"] == "")), F.lit(False)).alias("calendar"),
+        t["covered"].alias("covered"), noun_before(i).alias("noun"), before(i, t["gap"]).alias("before"),
+    )
+
+    def before(i: Column, gap: Column) -> Column:
+        p = F.get("tokens", i - 1)
+        unknown = p["word"] & p["cap"] & ~p["allcaps"] & ~p["covered"] & ~(p["first"] | p["last"] | p["ambiguous"] | p["stop"] | p["strong"] | p["weak"] | p["exception"] | p["particle"] | p["calendar"])
+        return F.when((i > 0) & gap.rlike(r"^[ \x{a0}]+$") & F.coalesce(unknown, F.lit(False)) & ~noun_before(i - 1), F.struct(p["start"].alias("start"), p["end"].alias("end"), p["key"].alias("key")))
+
+    rows = with_taken(lines, covered).select("doc_id", "unit_id", F.explode(F.transform("tokens", small)).alias("t")).select("doc_id", "unit_id", "t.*")
+    free = rows.filter("word and not covered and not exception" if marked else "word and not covered and not stop and not particle and not strong and not weak and not exception")
+    cuts = free.select("doc_id", "unit_id", "pos", "start", "end", "text", "cap", "ambiguous", "noun", "calendar", "before", (F.col("stop") | F.col("particle") | F.col("strong") | F.col("weak")).alias("small"), F.posexplode(stems(F.col("text"))).alias("nth", "cut"))
+    owned = owned if "grp" in owned.columns else owned.withColumn("grp", F.lit(None).cast("string"))
+    caps = F.col("cut.suffix").rlike(r"\p{Lu}") if marked else F.lit(False)
+    found = cuts.withColumn("key", fold(F.col("cut.stem"))).join(owned, ["doc_id", "key"]).withColumn("caps", caps).filter("not (caps and small)" if marked else "cap or not ambiguous")
     first = F.row_number().over(Window.partitionBy("doc_id", "unit_id", "start").orderBy("nth"))
-    sure = F.lit(True) if marked else F.col("cap") & ~F.col("ambiguous")
-    return found.withColumn("best", first).filter("best = 1").select(
+    found = found.withColumn("best", first).filter("best = 1")
+    sure = F.lit(True) if marked else F.col("cap") & ~F.col("ambiguous") & F.col("grp").isNull() & ~F.col("calendar")
+    # the word before is left alone where it is a place of its own
+    own = F.coalesce(F.lag("pos").over(Window.partitionBy("doc_id", "unit_id").orderBy("pos")) == F.col("pos") - 1, F.lit(False))
+    absorbed = F.lit(None).cast(found.schema["before"].dataType) if marked else F.when(sure & ~own, F.col("before"))
+    found = found.withColumn("absorbed", absorbed)
+    date = F.lit(False) if marked else F.col("calendar")
+    return found.select(
         "doc_id", "unit_id", "start", "end", "entity", "key", F.col("cut.suffix").alias("suffix"),
-        F.when(sure, "certain").otherwise("uncertain").alias("certainty"), (~sure & F.col("ambiguous") & F.col("noun")).alias("off"),
+        F.when(sure & F.col("absorbed").isNull(), "certain").otherwise("uncertain").alias("certainty"),
+        (F.col("caps") | date | (~sure & F.col("ambiguous") & F.col("noun") & F.col("grp").isNull())).alias("off"),
+        date.alias("calendar"), "caps", F.when(~date, F.col("grp")).alias("grp"), "absorbed",
     )
 
 
@@ -175,11 +218,3 @@ def display_forms(hits: DataFrame) -> DataFrame:
     top = forms.withColumn("best", F.row_number().over(best)).filter("best = 1").select("doc_id", "entity", F.col("surface").alias("display"))
     all_forms = forms.groupBy("doc_id", "entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("surface", "n")))).alias("forms"))
     return top.join(all_forms, ["doc_id", "entity"])
-
-
-def merge_adjacent(hits: DataFrame, gap: Column | None = None) -> DataFrame:
-    """Neighbouring hits of one entity in a unit with at most one sign between become one: gaps and islands."""
-    order = Window.partitionBy("doc_id", "unit_id").orderBy("start")
-    apart = (F.col("entity") != F.lag("entity").over(order)) | (F.col("start") - F.lag("end").over(order) > (1 if gap is None else gap))
-    island = F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("island", island).groupBy("doc_id", "unit_id", "entity", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")

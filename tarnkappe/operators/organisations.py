@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnkappe.functions.text import fold
@@ -19,23 +19,32 @@ def term_runs(terms: DataFrame) -> DataFrame:
 def find(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, unit_id, start, end, term, suffix) of all places of listed terms.
 
-    Runs of as many tokens as a term has are compared by folded text; the last word may have an ending. Runs don't go
-    over a unit. Of overlapping places the longer, then the earlier stays: a place is dropped if a better one that isn't
+    Runs of as many tokens as a term has, made inside a unit's row, meet the terms by an equal join of their folded text;
+    the last word may have an ending. Runs don't go over a unit. Of overlapping places the longer, then the earlier stays: a place is dropped if a better one that isn't
     itself beaten overlaps it.
     """
     runs = term_runs(terms)
-    unit = Window.partitionBy("doc_id", "unit_id").orderBy("pos")
+    lengths = sorted(r.n for r in runs.select("n").distinct().collect())  # as many as the longest term has tokens, at most
     keyed = tokens.select("doc_id", "unit_id", "pos", "start", "end", "text", fold(F.col("text")).alias("key"))
-    most = runs.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]  # the length of the longest term, a single number
-    if not most:
+    if not lengths:
         return keyed.select("doc_id", "unit_id", "start", "end", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("suffix")).limit(0)
-    ahead = [F.struct(F.lead("key", i).over(unit).alias("key"), F.lead("text", i).over(unit).alias("text"), F.lead("end", i).over(unit).alias("end")) for i in range(most)]
-    rows = keyed.select("doc_id", "unit_id", "start", F.array(*ahead).alias("next"))
-    lengths = runs.select("n").distinct()
-    rows = rows.join(F.broadcast(lengths), F.get("next", F.col("n") - 1)["key"].isNotNull())  # at most one row for each length of a term
-    last = F.get("next", F.col("n") - 1)
-    cuts = rows.select("doc_id", "unit_id", "start", last["end"].alias("end"), "n", F.transform(F.slice("next", 1, F.col("n") - 1), lambda t: t["key"]).alias("before"), F.posexplode(stems(last["text"])).alias("nth", "cut"))
-    places = cuts.withColumn("run", F.array_join(F.concat("before", F.array(fold(F.col("cut.stem")))), " ")).join(runs, ["n", "run"])
+    units = keyed.groupBy("doc_id", "unit_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "text", "key"))).alias("t"))
+
+    def run(p: Column, n: int) -> Column:
+        """The run of ``n`` tokens from place ``p`` on; null where the unit ends before."""
+        last = F.get("t", p + n - 1)
+        before = F.array_join(F.transform(F.slice("t", p + 1, n - 1), lambda x: x["key"]), " ")
+        at = F.get("t", p)
+        return F.when(last.isNotNull(), F.struct(at["start"].alias("start"), last["end"].alias("end"), F.lit(n).alias("n"), at["key"].alias("first"), before.alias("before"), last["text"].alias("last")))
+
+    all_runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda p: F.filter(F.array(*[run(p, n) for n in lengths]), lambda x: x.isNotNull())))
+    rows = units.select("doc_id", "unit_id", F.explode(all_runs).alias("r")).select("doc_id", "unit_id", "r.*")
+    # a run of several tokens begins as a term does; only a last word may have an ending
+    begins = runs.filter("n > 1").select("n", F.element_at(F.split("run", " "), 1).alias("first")).distinct()
+    rows = rows.filter("n > 1").join(begins, ["n", "first"], "left_semi").unionByName(rows.filter("n = 1"))
+    cuts = rows.select("doc_id", "unit_id", "start", "end", "n", "before", F.posexplode(stems(F.col("last"))).alias("nth", "cut"))
+    stem = fold(F.col("cut.stem"))
+    places = cuts.withColumn("run", F.when(F.col("n") > 1, F.concat_ws(" ", "before", stem)).otherwise(stem)).join(runs, ["n", "run"])
     best = F.row_number().over(Window.partitionBy("doc_id", "unit_id", "start", "n").orderBy("nth", "term"))
     places = places.withColumn("best", best).filter("best = 1").select("doc_id", "unit_id", "start", "end", "n", "term", F.col("cut.suffix").alias("suffix"))
     # the places of a unit are few: those kept are collected one after the other, in order of rank

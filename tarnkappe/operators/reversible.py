@@ -90,21 +90,49 @@ def numbered(values: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 
 
 def restore_key(placed: DataFrame) -> DataFrame:
-    """(doc_id, placeholder, value, count) of the placeholders that stand in the output."""
-    return placed.groupBy("doc_id", "placeholder").agg(F.min("value").alias("value"), F.count("*").alias("count"))
+    """(doc_id, placeholder, value, count, category, role, owner) of the placeholders that stand in the output.
 
+    The category is person, org or the kind of contact; persons have a role, and they and organisations an owner, the
+    letter that all placeholders of one share. ``placed`` may lack kind, role and letter; then these are null.
+    """
+    have = set(placed.columns)
+    fact = lambda own, name: (F.min(own) if own in have else F.lit(None).cast("string")).alias(name)
+    return placed.groupBy("doc_id", "placeholder").agg(F.min("value").alias("value"), F.count("*").alias("count"), fact("kind", "category"), fact("role", "role"), fact("letter", "owner"))
+
+
+_ENTRY = "placeholder string, value string, count long, category string, role string, owner string"
+_ENTRIES = "array<struct<" + ",".join(f.replace(" ", ":") for f in _ENTRY.split(", ")) + ">>"
 
-def key_json(key: DataFrame) -> DataFrame:
-    """One JSON text for each document."""
-    rows = F.array_sort(F.collect_list(F.struct("placeholder", "value", "count")))
-    return key.groupBy("doc_id").agg(F.to_json(F.struct(F.lit(1).alias("version"), rows.alias("placeholders"))).alias("key"))
+
+def key_json(key: DataFrame, persons: DataFrame | None = None, originals: DataFrame | None = None) -> DataFrame:
+    """One JSON text for each document with a key.
+
+    Its version is 2 if it holds an organisation, else 1, so that readers who know none refuse it. ``persons`` (doc_id,
+    letter, display) says how the owners are shown, with their placeholders; ``originals`` (doc_id, word, n) are words like
+    placeholders that stood in the text before, which a restore spares.
+    """
+    have = set(key.columns)
+    entry = [F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _ENTRY.split(", "))]
+    rows = key.select("doc_id", F.struct(*entry).alias("e"))
+    version = F.when(F.max(F.coalesce(F.col("e.category") == "org", F.lit(False))), 2).otherwise(1)
+    whole = rows.groupBy("doc_id").agg(version.alias("version"), F.array_sort(F.collect_list("e")).alias("placeholders"))
+    if persons is not None:
+        names = persons.select("doc_id", F.col("letter").alias("owner"), "display")
+        own = rows.filter("e.category = 'person'").groupBy("doc_id", F.col("e.owner").alias("owner")).agg(F.array_sort(F.collect_list("e.placeholder")).alias("placeholders")).join(names, ["doc_id", "owner"])
+        per = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("owner", "display", "placeholders"))).alias("persons"))
+        whole = whole.join(per, "doc_id", "left")
+    if originals is not None:
+        before = originals.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("originals"))
+        whole = whole.join(before, "doc_id", "left")
+    facts = [c for c in whole.columns if c != "doc_id"]
+    return whole.select("doc_id", F.to_json(F.struct(*facts)).alias("key"))
 
 
 def parse_key(texts: DataFrame) -> DataFrame:
-    """(doc_id, placeholder, value, count, problem) from (doc_id, key); a broken key has one row that names its problem."""
-    schema = "version int, placeholders array<struct<placeholder:string,value:string,count:long>>"
+    """(doc_id, placeholder, value, count, category, role, owner, problem) from (doc_id, key); a broken key has one row that names its problem."""
+    schema = f"version int, placeholders {_ENTRIES}"
     parsed = texts.withColumn("k", F.from_json(F.regexp_replace("key", "^﻿", ""), schema))
-    items = F.coalesce("k.placeholders", F.array().cast("array<struct<placeholder:string,value:string,count:long>>"))
+    items = F.coalesce("k.placeholders", F.array().cast(_ENTRIES))
     names = F.transform(items, lambda x: x["placeholder"])
     problem = (
         F.when(F.trim(F.coalesce("key", F.lit(""))) == "", "empty")

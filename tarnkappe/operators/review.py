@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnkappe.functions.text import fold
-from tarnkappe.operators import checks
+from tarnkappe.operators import checks, linking
 
 #: The most characters shown before and behind a hit.
 AROUND = 120
@@ -50,35 +50,86 @@ def mapping_csv(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.concat_ws("\r\n", head, F.array_join(F.array_sort(F.collect_list(line)), "\r\n")).alias("csv"))
 
 
-def common_words(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
+def common_words(mentions: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, unit_id, start, context) of single words that are ordinary words as well, where they may be no name.
 
-    ``article`` if an article or preposition stands right before them, ``inflected`` if they have an ending. A word counts
-    as ordinary in a document if the lists say so of any mention's part with its key.
+    ``article`` if an article or preposition stands before them, ``inflected`` if they have an ending. A word counts as
+    ordinary in a document if the lists say so of any mention's part with its key. ``lines`` have a unit's flagged tokens.
     """
     ordinary = mentions.select("doc_id", F.explode("parts").alias("p")).filter("p.ambiguous").select("doc_id", "p.key").distinct()
-    unit = Window.partitionBy("doc_id", "unit_id").orderBy("pos")
-    behind = F.coalesce(F.lag("determiner").over(unit), F.lit(False)) | F.coalesce(F.lag("preposition").over(unit), F.lit(False))
-    places = tokens.select("doc_id", "unit_id", "start", behind.alias("behind"))
-    lone = mentions.filter(F.size("parts") == 1).select("doc_id", "unit_id", "start", "suffix", F.get("parts", 0)["key"].alias("key")).join(ordinary, ["doc_id", "key"], "left_semi")
-    context = F.when(F.col("behind"), "article").when(F.col("suffix") != "", "inflected")
-    return lone.join(places, ["doc_id", "unit_id", "start"]).select("doc_id", "unit_id", "start", context.alias("context")).filter("context is not null")
+    lone = mentions.filter((F.size("parts") == 1) & ~F.coalesce("caps", F.lit(False))).select("doc_id", "unit_id", "start", "suffix", F.get("parts", 0)["key"].alias("key")).join(ordinary, ["doc_id", "key"], "left_semi")
+    rows = lone.join(lines, ["doc_id", "unit_id"]).withColumn("i", F.array_position(F.transform("tokens", lambda t: t["start"]), F.col("start")).cast("int") - 1)
+    context = F.when(linking.noun_before(F.col("i")), "article").when(F.col("suffix") != "", "inflected")
+    return rows.filter("i >= 0").select("doc_id", "unit_id", "start", context.alias("context")).filter("context is not null")
 
 
-def questions(hits: DataFrame, odd: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def switched(hits: DataFrame, overrides: DataFrame | None = None, answers: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """``hits`` (doc_id, unit_id, start, end, entity, certainty, on, grp, context, calendar, caps) with what a review says of ``on``.
+
+    What is said of a single place counts first (``overrides``: doc_id, unit_id, start, end, on), then the answer to a
+    question about a place, then that to a question about a word, then the switch of a group (``groups``: doc_id, grp, on);
+    without any of them a hit stays as the rules have it. ``answers`` (doc_id, kind, entity, unit_id, start, yes) are for
+    places (kind place) or all places of an entity (kind word; unit_id and start don't count): no switches all its uncertain
+    hits off, yes those on whose word isn't an ordinary one by its context. Dates and forms in capitals are asked by place.
+    Of several answers to one question no counts.
+    """
+    said: list[Column] = []
+    if overrides is not None:
+        own = overrides.groupBy("doc_id", "unit_id", "start", "end").agg(F.min("on").alias("by_place"))
+        hits = hits.join(own, ["doc_id", "unit_id", "start", "end"], "left")
+        said.append(F.col("by_place"))
+    if answers is not None:
+        places = answers.filter("kind = 'place'").groupBy("doc_id", "unit_id", "start").agg(F.min("yes").alias("by_answer"))
+        words = answers.filter("kind = 'word'").groupBy("doc_id", "entity").agg(F.min("yes").alias("by_word"))
+        hits = hits.join(places, ["doc_id", "unit_id", "start"], "left").join(words, ["doc_id", "entity"], "left")
+        unsure = F.coalesce((F.col("certainty") == "uncertain") & ~F.col("calendar") & ~F.col("caps"), F.lit(False))
+        person = F.col("kind") == "person"
+        said.append(F.when(person, F.col("by_answer")))
+        said.append(F.when(person & unsure & (~F.col("by_word") | F.col("context").isNull()), F.col("by_word")))
+    if groups is not None:
+        own = groups.groupBy("doc_id", "grp").agg(F.min("on").alias("by_group"))
+        hits = hits.join(own, ["doc_id", "grp"], "left")
+        said.append(F.col("by_group"))
+    return hits.withColumn("on", F.coalesce(*said, "on")).drop("by_place", "by_answer", "by_word", "by_group")
+
+
+def questions(hits: DataFrame, answers: DataFrame | None = None, meta_names: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, kind, entity, unit_id, start, places): what a reader should decide.
 
-    ``word``: an entity with uncertain hits only, asked once, at its first place. ``place``: a hit of another entity where
-    its word may be no name (``odd``: doc_id, unit_id, start). ``answers`` (doc_id, kind, entity, unit_id, start) are gone.
+    ``word``: an entity with uncertain hits in the context of a name, asked once, at the first of them; or with uncertain
+    hits only. ``place``: a hit of an entity that is sure, by a certain hit, by a mark (M|) or by an answer, where the word
+    may be no name by its context, or is a marked name's form in capitals. ``meta``: a name in the file's properties
+    (``meta_names``: doc_id, name, kind) that isn't in the lists of marked ``terms`` (doc_id, term) yet. Dates aren't asked.
+    Questions that ``answers`` have (doc_id, kind, entity, unit_id, start, yes) are gone, and so are the places of an entity
+    that was answered with no.
     """
     people = hits.filter("kind = 'person'")
-    first = F.min(F.struct("unit_id", "start"))
-    per = people.groupBy("doc_id", "entity").agg(F.min((F.col("certainty") != "certain")).alias("doubtful"), first.alias("at"), F.count("*").alias("places"))
-    words = per.filter("doubtful").select("doc_id", F.lit("word").alias("kind"), "entity", "at.unit_id", "at.start", "places")
-    sure = per.filter("not doubtful").select("doc_id", "entity")
-    places = people.join(odd.select("doc_id", "unit_id", "start").distinct(), ["doc_id", "unit_id", "start"]).join(sure, ["doc_id", "entity"])
-    rows = words.unionByName(places.select("doc_id", F.lit("place").alias("kind"), "entity", "unit_id", "start", F.lit(1).cast("long").alias("places")))
-    return rows if answers is None else rows.join(answers.select("doc_id", "kind", "entity", "unit_id", "start"), ["doc_id", "kind", "entity", "unit_id", "start"], "left_anti").select(rows.columns)
+    unsure = (F.col("certainty") == "uncertain") & ~F.coalesce("calendar", F.lit(False)) & ~F.coalesce("caps", F.lit(False))
+    plain = unsure & F.col("context").isNull()
+    sure = (F.col("certainty") == "certain") & ~F.coalesce("caps", F.lit(False))
+    at = lambda c: F.min(F.when(c, F.struct("unit_id", "start")))
+    n = lambda c: F.sum(c.cast("long"))
+    per = people.groupBy("doc_id", "entity").agg(at(plain).alias("plain"), at(unsure).alias("unsure"), n(plain).alias("n_plain"), n(unsure).alias("n_unsure"), F.max(sure).alias("sure"))
+    per = per.withColumn("sure", F.col("sure") | F.startswith("entity", F.lit("M|"))).withColumn("yes", F.lit(None).cast("boolean"))
+    if answers is not None:
+        said = answers.filter("kind = 'word'").groupBy("doc_id", "entity").agg(F.min("yes").alias("yes"))
+        per = per.drop("yes").join(said, ["doc_id", "entity"], "left")
+    ask = per.filter(F.col("yes").isNull() & (F.col("plain").isNotNull() | (F.col("unsure").isNotNull() & ~F.col("sure"))))
+    first = F.coalesce("plain", "unsure")
+    words = ask.select("doc_id", F.lit("word").alias("kind"), "entity", first["unit_id"].alias("unit_id"), first["start"].alias("start"), F.when(F.col("plain").isNotNull(), F.col("n_plain")).otherwise(F.col("n_unsure")).alias("places"))
+    known = per.filter((F.col("sure") & F.col("yes").isNull()) | F.col("yes")).select("doc_id", "entity")
+    odd = people.filter((F.col("context").isNotNull() & ~F.coalesce("calendar", F.lit(False))) | F.coalesce("caps", F.lit(False))).join(known, ["doc_id", "entity"], "left_semi")
+    if answers is not None:
+        odd = odd.join(answers.filter("kind = 'place'").select("doc_id", "unit_id", "start").distinct(), ["doc_id", "unit_id", "start"], "left_anti")
+    rows = words.unionByName(odd.select("doc_id", F.lit("place").alias("kind"), "entity", "unit_id", "start", F.lit(1).cast("long").alias("places")))
+    if meta_names is None:
+        return rows
+    names = meta_names.select("doc_id", fold(F.trim("name")).alias("entity")).distinct()
+    if terms is not None:
+        names = names.join(terms.select("doc_id", fold(F.trim("term")).alias("entity")).distinct(), ["doc_id", "entity"], "left_anti")
+    if answers is not None:
+        names = names.join(answers.filter("kind = 'meta'").select("doc_id", "entity").distinct(), ["doc_id", "entity"], "left_anti")
+    return rows.unionByName(names.select("doc_id", F.lit("meta").alias("kind"), "entity", F.lit(None).cast(rows.schema["unit_id"].dataType).alias("unit_id"), F.lit(None).cast(rows.schema["start"].dataType).alias("start"), F.lit(1).cast("long").alias("places")))
 
 
 def moved_terms(terms: DataFrame, edits: DataFrame) -> DataFrame:

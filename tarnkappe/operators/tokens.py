@@ -34,6 +34,21 @@ def tokens(units: DataFrame) -> DataFrame:
     return rows.select("doc_id", "unit_id", "pos", "text", "start", "end", word.alias("word"), (word & is_cap(F.col("text"))).alias("cap"), (word & is_allcaps(F.col("text"))).alias("allcaps"), "gap")
 
 
+#: What a flagged token has besides its unit.
+TOKEN = ["pos", "text", "start", "end", "word", "cap", "allcaps", "gap", "key", "suffix", "stop", "first", "last", "ambiguous", "shaped", "strong", "weak", "post", "particle", "determiner", "preposition", "calendar", "exception"]
+
+
+def as_lines(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(doc_id, unit_id, tokens): a row for each unit, its tokens in an array by place."""
+    held = F.array_sort(F.collect_list(F.struct(*(columns or TOKEN)))).alias("tokens")
+    return rows.groupBy("doc_id", "unit_id").agg(held)
+
+
+def as_rows(lines: DataFrame) -> DataFrame:
+    """The tokens of ``as_lines`` as rows; what isn't used of them isn't read."""
+    return lines.select("doc_id", "unit_id", F.inline("tokens"))
+
+
 def one_of(key: Column, words: str) -> Column:
     return key.isin(words.split())
 

@@ -12,34 +12,32 @@ from pyspark.sql import functions as F
 from tarnkappe.functions.lexicon import seed_names
 from tarnkappe.functions.text import fold, letter_for
 from tarnkappe.operators import checks, columns, linking, organisations, reversible, review
-from tarnkappe.operators.contacts import LABELS, ContactOptions, contact_rows, iban_remainder, with_masked
+from tarnkappe.operators.contacts import EMAIL, LABELS, PHONE_BEGIN, PHONE_DIGITS, YEARS, ContactOptions, contact_rows, iban_remainder, with_masked
 from tarnkappe.operators.mentions import person_mentions
-from tarnkappe.operators.tokens import flagged, tiles, tokens
+from tarnkappe.operators.tokens import as_lines, flagged, tiles, tokens
 from tarnkappe.plans.pseudonymise import Options, pseudonymise
 from tarnkappe.session import written
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 ONLY_EMAIL = ContactOptions(iban=False, address=False, phone=False)
 ONLY_PHONE = ContactOptions(iban=False, address=False, email=False)
-EMAIL_RE2 = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-PHONE_RE2 = r"(?:^|[^\p{L}\p{N}+])((?:\+|00)?\(?[0-9][0-9 \x{a0}/()–-]{5,}[0-9])"
 WORD_RE2 = r"[\p{L}\p{M}]+(?:[''’][\p{L}\p{M}]+)*"
 TILES_RE2 = rf"{WORD_RE2}(?:-{WORD_RE2})*|\p{{N}}+|[\s\x{{a0}}]+|[^\s\x{{a0}}]"
 
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mails masked in all documents, and how many there were."""
-    rows = with_masked(_table(spark, sf_dir, "documents").select("doc_id", "text"), options=ONLY_EMAIL)
+    rows = with_masked(table(spark, sf_dir, "documents").select("doc_id", "text"), options=ONLY_EMAIL)
     return rows.select("doc_id", F.size("contacts").cast("long").alias("n_email"), "masked")
 
 
 def mask_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds of contact data masked in all documents, and how many spans of each kind; no oracle, RE2 has no look-around."""
-    rows = with_masked(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = with_masked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("contacts", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -48,18 +46,18 @@ def mask_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contact_rows(_table(spark, sf_dir, "documents"), ["doc_id"], options=ONLY_EMAIL)
+    rows = contact_rows(table(spark, sf_dir, "documents"), ["doc_id"], options=ONLY_EMAIL)
     return rows.groupBy("doc_id", F.col("text").alias("email")).agg(F.count("*").alias("n"))
 
 
 def contact_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contact_rows(_table(spark, sf_dir, "documents"), ["doc_id"], options=ONLY_PHONE)
+    rows = contact_rows(table(spark, sf_dir, "documents"), ["doc_id"], options=ONLY_PHONE)
     return rows.groupBy("doc_id", F.col("text").alias("phone")).agg(F.count("*").alias("n"))
 
 
 def contact_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds in texts of web pages, without an oracle: RE2 has no look-around."""
-    rows = contact_rows(_table(spark, sf_dir, "pages"), ["page_id"], text_col="html")
+    rows = contact_rows(table(spark, sf_dir, "pages"), ["page_id"], text_col="html")
     return rows.groupBy("page_id", "kind", "certainty").agg(F.count("*").alias("n"))
 
 
@@ -67,20 +65,20 @@ IBANS = "concat(CASE WHEN o_orderkey % 3 = 0 THEN 'DE' WHEN o_orderkey % 3 = 1 T
 
 
 def iban_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(IBANS.format(text="string")).alias("iban"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(IBANS.format(text="string")).alias("iban"))
     return rows.select("o_orderkey", "iban", iban_remainder(F.col("iban")).cast("long").alias("remainder"))
 
 
 def tokens_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document; together they are as long as the text."""
-    rows = _table(spark, sf_dir, "documents").withColumn("t", tiles(F.col("text")))
+    rows = table(spark, sf_dir, "documents").withColumn("t", tiles(F.col("text")))
     words = F.filter("t", lambda x: x.rlike(r"^[\p{L}\p{M}]"))
     length = F.aggregate("t", F.lit(0), lambda a, x: a + F.char_length(x))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tiles"), F.size(words).cast("long").alias("n_words"), length.cast("long").alias("tiled"))
 
 
 def token_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.explode(tiles(F.col("text"))).alias("token")).filter(F.col("token").rlike(r"^[\p{L}\p{M}\p{N}]"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(tiles(F.col("text"))).alias("token")).filter(F.col("token").rlike(r"^[\p{L}\p{M}\p{N}]"))
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -111,7 +109,7 @@ MENTIONS_DUCK = _duck(MENTIONS)
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.link(spark.sql(MENTIONS.replace("FROM orders", "FROM {o}"), o=_table(spark, sf_dir, "orders")))
+    return linking.link(spark.sql(MENTIONS.replace("FROM orders", "FROM {o}"), o=table(spark, sf_dir, "orders")))
 
 
 def link_short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,18 +127,18 @@ def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letter_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters of the first persons of a document with as many as there are customers."""
-    return _table(spark, sf_dir, "customer").select("c_custkey", letter_for(F.col("c_custkey")).alias("letter"))
+    return table(spark, sf_dir, "customer").select("c_custkey", letter_for(F.col("c_custkey")).alias("letter"))
 
 
 def contact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered placeholders of customers by nation: a document for each nation, a value for each segment and rest of the key."""
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.lit("[E-MAIL]").alias("base"), F.expr("concat(lower(c_mktsegment), c_custkey % 5, '@x.de')").alias("value"), F.col("c_custkey").alias("unit_id"), F.lit(0).alias("start"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.lit("[E-MAIL]").alias("base"), F.expr("concat(lower(c_mktsegment), c_custkey % 5, '@x.de')").alias("value"), F.col("c_custkey").alias("unit_id"), F.lit(0).alias("start"))
     return reversible.numbered(rows).select("doc_id", "unit_id", "value", "placeholder")
 
 
 def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's key expects as many places as there are orders; the texts hold one for each order that isn't urgent."""
-    orders = _table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     key = orders.groupBy(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("Nachname "), letter_for(F.col("o_orderkey") % 30)).alias("placeholder")).agg(F.count("*").alias("count"), F.lit("x").alias("value"))
     shown = F.concat(F.lit("Frau Nachname "), letter_for(F.col("o_orderkey") % 30), F.lit("s Haus"))
     units = orders.filter("o_orderpriority <> '1-URGENT'").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), shown.alias("text"))
@@ -152,7 +150,7 @@ FORMS = ["die", "the", "est", "que", "rosa"]
 
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations that are one of a few forms, with or without an ending, by unit."""
-    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_id"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_id"), "text")
     forms = turns.select("doc_id").distinct().withColumn("form", F.explode(F.array(*map(F.lit, FORMS)))).select("doc_id", "form", F.lit("P").alias("entity"), F.lit(False).alias("ambiguous"))
     return checks.leaks(turns, forms).groupBy("doc_id", "unit_id", "word").agg(F.count("*").alias("n"))
 
@@ -165,7 +163,7 @@ FROM customer CROSS JOIN (VALUES (0), (1), (2)) AS a(r) CROSS JOIN (VALUES (0),
 def name_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small table for each customer: persons of rows with a given name and a surname."""
     grid = F.explode(F.expr("flatten(transform(sequence(0, 2), r -> transform(sequence(0, 2), c -> struct(r, c))))"))
-    base = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("t").alias("table_id"), grid.alias("g")).select("doc_id", "table_id", F.col("g.r").alias("r"), F.col("g.c").alias("c"))
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("t").alias("table_id"), grid.alias("g")).select("doc_id", "table_id", F.col("g.r").alias("r"), F.col("g.c").alias("c"))
     text = F.expr("case when r = 0 then case when c = 0 then 'Nr' when c = 1 then 'Vorname' else 'Nachname' end when c = 0 then cast(r as string) when (doc_id + r * c) % 4 = 0 then 'offen' when (doc_id + c) % 3 = 0 then 'Anna' else 'Berg' end")
     cells = base.withColumn("text", text)
     return columns.row_persons(columns.name_cells(cells, columns.name_columns(cells)))
@@ -176,7 +174,7 @@ ORG_TEXT = "concat('Im ', CASE WHEN o_orderkey % 4 = 0 THEN 'Haus Rose' WHEN o_o
 
 
 def org_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(ORG_TEXT).alias("text"))
+    units = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(ORG_TEXT).alias("text"))
     found = organisations.find(tokens(units), spark.createDataFrame([(t,) for t in ORG_TERMS], "term string"))
     return found.select("doc_id", "unit_id", F.col("start").cast("long").alias("start"), "term", "suffix")
 
@@ -184,14 +182,14 @@ def org_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letters_whole_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way on letters made from orders: a document for each customer, a line for each order."""
     name = "element_at(array('Anna Müller', 'Peter Weber', 'Frau Müllers', 'Herr Weber', 'A. Müller', 'Chidi Okonkwo', 'anna@x.de', 'niemand'), cast(o_orderkey % 8 + 1 as int))"
-    units = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(f"concat('Gestern kam ', {name}, ' zu Besuch.')").alias("text"))
+    units = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(f"concat('Gestern kam ', {name}, ' zu Besuch.')").alias("text"))
     return pseudonymise(units, seed_names(spark), Options()).output
 
 
 def reversible_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters replaced reversibly and restored: the texts as they were."""
     name = "element_at(array('Anna Müller', 'Peter Weber', 'Frau Müllers', 'Herr Weber', 'A. Müller', 'MÜLLERS', 'anna@x.de', 'niemand'), cast(o_orderkey % 8 + 1 as int))"
-    units = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(f"concat('Gestern kam ', {name}, ' zu Besuch.')").alias("text"))
+    units = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(f"concat('Gestern kam ', {name}, ' zu Besuch.')").alias("text"))
     result = pseudonymise(units, seed_names(spark), Options(mode="reversible"))
     return reversible.restore(result.output.select("doc_id", "unit_id", F.col("masked").alias("text")), result.key).select("doc_id", "unit_id", "restored")
 
@@ -218,7 +216,7 @@ def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names found in two lines for each order: double names, titles, forms of address that hand on, closes of letters."""
     pairs = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b, _ in NAMED_LINES])
     lines = F.element_at(pairs, (F.col("o_orderkey") % len(NAMED_LINES) + 1).cast("int"))
-    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "line"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "line"))
     heading = F.concat(F.lit("Akte "), F.col("doc_id").cast("string"), F.lit(": "))
     units = rows.select("doc_id", "unit_id", F.replace(F.col("line"), F.lit("{p}"), heading).alias("text"))
     found = person_mentions(flagged(tokens(units), seed_names(spark)))
@@ -231,13 +229,13 @@ PART_LINES = ["Dann Webers Hut", "ein muller kam", "dort KAYA", "und Nowaks", "b
 def propagate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a customer's names that one person alone owns, found again in the lines of the orders; every fourth line
     belongs to other hits."""
-    orders = _table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     part = lambda sql: F.struct(F.lit("word").alias("kind"), F.expr(sql).alias("key"))
     linked = orders.select(F.col("o_custkey").alias("doc_id"), F.expr(f"concat('N|', {GIVEN_SQL}, '|', {SURNAME_SQL})").alias("entity"), F.lit("certain").alias("certainty"), F.array(part(GIVEN_SQL), part(SURNAME_SQL)).alias("parts"))
     line = F.element_at(F.array(*map(F.lit, PART_LINES)), (F.col("o_orderkey") % len(PART_LINES) + 1).cast("int"))
     units = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), line.alias("text"))
     covered = units.filter("unit_id % 4 = 0").select("doc_id", "unit_id", F.lit(0).alias("start"), F.lit(20).alias("end"))
-    found = linking.propagate(flagged(tokens(units), seed_names(spark)), linking.owned_parts(linked), covered)
+    found = linking.propagate(as_lines(flagged(tokens(units), seed_names(spark))), linking.owned_parts(linked.withColumn("grp", F.lit(None).cast("string"))), covered)
     return found.select("doc_id", "unit_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "entity", "key", "suffix", "certainty", "off")
 
 
@@ -255,7 +253,7 @@ ORG_LINES = [
 def org_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed organisations in the lines of a document for each order, also where they go over a line break."""
     lines = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x, _ in ORG_LINES]), (F.col("o_orderkey") % len(ORG_LINES) + 1).cast("int"))
-    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "line"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "line"))
     heading = F.concat(F.lit("Akte "), F.col("doc_id").cast("string"), F.lit(": "))
     tok = written(tokens(rows.select("doc_id", "unit_id", F.replace(F.col("line"), F.lit("{p}"), heading).alias("text"))), "org-lines")
     terms = spark.createDataFrame([(t,) for t in ORG_TERMS], "term string")
@@ -277,7 +275,7 @@ ISSUE_LINES = [
 
 def restore_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed, inflected, split and unknown placeholders in two edited lines of a document for each order."""
-    orders = _table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     lines = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x, _ in ISSUE_LINES]), (F.col("o_orderkey") % len(ISSUE_LINES) + 1).cast("int"))
     units = orders.select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("unit_id", "text"))
     key = orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*map(F.lit, ISSUE_KEY))).alias("placeholder"))
@@ -287,7 +285,7 @@ def restore_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hit_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence around the five characters in the middle of every document."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("unit_id"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("unit_id"), "text")
     n = F.char_length("text")
     start = F.floor(n / 2).cast("int")
     return review.contexts(docs.select("doc_id", "unit_id", start.alias("start"), F.least(start + 5, n).alias("end")), docs).select("doc_id", "before", "word", "after")
@@ -295,7 +293,7 @@ def hit_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each label of a customer's orders stands for, and how many of its hits are on."""
-    orders = _table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders")
     units = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("unit_id"), F.expr(f"concat('Frau ', {SURNAME_SQL}, 's')").alias("text"))
     hits = units.select("doc_id", "unit_id", F.lit(5).alias("start"), F.char_length("text").alias("end"), F.lit("s").alias("suffix"), (F.col("unit_id") % 3).cast("string").alias("entity"), (F.col("unit_id") % 4 != 0).alias("on"))
     return review.mapping(hits, units, F.concat(F.lit("Person "), "entity"))
@@ -306,7 +304,18 @@ QUERIES = {
     for f in (mask_documents, mask_contacts, contact_email, contact_phone, contact_kinds, iban_check, tokens_tiling, token_freq, fold_keys, link_short_forms, person_letters, display_forms, letter_series, contact_numbers, restore_plan, leak_check, name_columns, org_phrases, letters_whole_plan, reversible_round_trip, names_in_texts, propagate_parts, org_line_breaks, restore_issues, hit_contexts, mapping_table)
 }
 
-_LETTER = "CASE WHEN {n} < 26 THEN chr(65 + CAST({n} AS INTEGER)) WHEN {n} < 702 THEN chr(64 + CAST({n} // 26 AS INTEGER)) || chr(65 + CAST({n} % 26 AS INTEGER)) ELSE chr(65 + CAST((({n} // 26 - 1) // 26 - 1) % 26 AS INTEGER)) || chr(65 + CAST(({n} // 26 - 1) % 26 AS INTEGER)) || chr(65 + CAST({n} % 26 AS INTEGER)) END"
+
+
+def _letter_sql() -> str:
+    """Letters of the number {n}, right for all longs: 14 places, each empty for numbers that don't reach it."""
+    places, least = [], 0
+    for place in range(14):
+        least += 26**place if place else 0
+        places.append(f"CASE WHEN {{n}} >= {least} THEN chr(65 + CAST((CAST({{n}} AS HUGEINT) - {least}) // {26**place} % 26 AS INTEGER)) ELSE '' END")
+    return f"({' || '.join(reversed(places))})"
+
+
+LETTER = _letter_sql()
 _LINKED = f"""
 WITH m AS ({MENTIONS_DUCK}),
 full_names AS (SELECT DISTINCT doc_id, given, surname, 'N|' || given || '|' || surname AS entity FROM m WHERE given IS NOT NULL AND NOT given LIKE '%.'),
@@ -323,9 +332,9 @@ linked AS (SELECT m.doc_id, m.unit_id, m.start, m.given, m.surname, m.single,
   FROM m LEFT JOIN s ON s.doc_id = m.doc_id AND s.name = coalesce(m.single, m.surname) LEFT JOIN g ON g.doc_id = m.doc_id AND g.name = m.single
   LEFT JOIN i ON i.doc_id = m.doc_id AND i.name = m.surname AND m.single IS NULL AND i.letter = substr(m.given, 1, 1))
 """
-_FOLDED = "strip_accents(lower(token))"
+FOLDED = "strip_accents(lower(token))"
 for _old, _new in {"ß": "ss", "ı": "i", "ł": "l", "đ": "d", "ø": "o", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ħ": "h", "’": "''"}.items():
-    _FOLDED = f"replace({_FOLDED}, '{_old}', '{_new}')"
+    FOLDED = f"replace({FOLDED}, '{_old}', '{_new}')"
 _FREQ = f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{TILES_RE2}')) AS token FROM documents) WHERE regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\p{{N}}]') GROUP BY token"
 _FORM_LIST = ", ".join(f"'{f}'" for f in FORMS)
 _NAMED = ", ".join(f"({k}, {u}, {a}, {b}, '{sure}', {off}, '{suffix}', {pair[u].startswith('{p}')})" for k, (*pair, names) in enumerate(NAMED_LINES) for u, a, b, sure, off, suffix in names)
@@ -341,27 +350,27 @@ ORACLE_SQL = {
  c AS (SELECT *, post || CASE WHEN substr(text, e + length(post) + 1, 1) IN ('.', '!', '?') THEN substr(text, e + length(post) + 1, 1) ELSE '' END AS tail FROM b)
  SELECT doc_id, CASE WHEN s > length(pre) THEN '…' ELSE '' END || ltrim(pre, ' ') AS before, substr(text, s + 1, e - s) AS word, rtrim(tail, ' ') || CASE WHEN e + length(tail) < length(text) THEN '…' ELSE '' END AS after FROM c""",
     "mapping_table": f"""SELECT o_custkey AS doc_id, 'Person ' || CAST(o_orderkey % 3 AS VARCHAR) AS label, string_agg(DISTINCT {_duck(SURNAME_SQL)}, ' / ' ORDER BY {_duck(SURNAME_SQL)}) AS forms, count(*) FILTER (o_orderkey % 4 <> 0) AS active FROM orders GROUP BY 1, 2 HAVING count(*) FILTER (o_orderkey % 4 <> 0) > 0""",
-    "mask_documents": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL_RE2}')) AS BIGINT) AS n_email, regexp_replace(text, '{EMAIL_RE2}', '[E-MAIL]', 'g') AS masked FROM documents",
-    "contact_email": f"SELECT doc_id, email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_RE2}')) AS email FROM documents) GROUP BY 1, 2",
-    "contact_phone": rf"""SELECT doc_id, phone, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{PHONE_RE2}', 1)), '[ \x{{a0}}–-]+$', '') AS phone FROM documents)
- WHERE length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AND regexp_matches(phone, '^(\+|00|0|\(0)') AND NOT regexp_matches(phone, '^[0-9]{{4}}\s*[–-]\s*[0-9]{{4}}$') GROUP BY 1, 2""",
+    "mask_documents": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n_email, regexp_replace(text, '{EMAIL}', '[E-MAIL]', 'g') AS masked FROM documents",
+    "contact_email": f"SELECT doc_id, email, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS email FROM documents) GROUP BY 1, 2",
+    "contact_phone": rf"""SELECT doc_id, phone, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{{L}}\p{{N}}+])({PHONE_DIGITS})', 1)) AS phone FROM documents)
+ WHERE length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AND regexp_matches(phone, '{PHONE_BEGIN}') AND NOT regexp_matches(phone, '{YEARS}') GROUP BY 1, 2""",
     "iban_check": f"""SELECT o_orderkey, iban, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(iban, 5) || substr(iban, 1, 4), ''), lambda c: CASE WHEN ascii(c) < 65 THEN CAST(ascii(c) - 48 AS BIGINT) ELSE CAST(ascii(c) - 55 AS BIGINT) END)), lambda a, d: CASE WHEN d < 10 THEN (a * 10 + d) % 97 ELSE (a * 100 + d) % 97 END) AS BIGINT) AS remainder
  FROM (SELECT o_orderkey, {IBANS.format(text="VARCHAR")} AS iban FROM orders)""",
     "tokens_tiling": rf"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tiles, CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[\p{{L}}\p{{M}}]'))) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(t, lambda x: length(x))), 0) AS BIGINT) AS tiled
  FROM (SELECT doc_id, regexp_extract_all(text, '{TILES_RE2}') AS t FROM documents)""",
     "token_freq": _FREQ,
-    "fold_keys": rf"SELECT {_FOLDED} AS key, CAST(sum(n) AS BIGINT) AS n, count(*) AS forms FROM ({_FREQ}) WHERE regexp_matches(token, '^[\p{{L}}\p{{M}}]') GROUP BY 1",
+    "fold_keys": rf"SELECT {FOLDED} AS key, CAST(sum(n) AS BIGINT) AS n, count(*) AS forms FROM ({_FREQ}) WHERE regexp_matches(token, '^[\p{{L}}\p{{M}}]') GROUP BY 1",
     "link_short_forms": f"{_LINKED} SELECT doc_id, unit_id, entity, link FROM linked",
-    "person_letters": f"{_LINKED}, f AS (SELECT doc_id, entity, min(unit_id) AS seen FROM linked GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seen, entity) - 1 AS nth FROM f) SELECT doc_id, entity, {_LETTER.format(n='nth')} AS letter FROM r",
+    "person_letters": f"{_LINKED}, f AS (SELECT doc_id, entity, min(unit_id) AS seen FROM linked GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seen, entity) - 1 AS nth FROM f) SELECT doc_id, entity, {LETTER.format(n='nth')} AS letter FROM r",
     "display_forms": f"{_LINKED}, f AS (SELECT doc_id, entity, coalesce(single, given || ' ' || surname) AS surface, count(*) AS n FROM linked GROUP BY 1, 2, 3) SELECT doc_id, entity, surface AS display FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, entity ORDER BY n DESC, length(surface) DESC, surface) = 1",
-    "letter_series": f"SELECT c_custkey, {_LETTER.format(n='c_custkey')} AS letter FROM customer",
+    "letter_series": f"SELECT c_custkey, {LETTER.format(n='c_custkey')} AS letter FROM customer",
     "contact_numbers": """WITH v AS (SELECT c_nationkey AS doc_id, c_custkey AS unit_id, lower(c_mktsegment) || CAST(c_custkey % 5 AS VARCHAR) || '@x.de' AS value FROM customer),
  f AS (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY min(unit_id)) AS nth FROM v GROUP BY 1, 2)
  SELECT v.doc_id, v.unit_id, v.value, '[E-MAIL-' || CAST(f.nth AS VARCHAR) || ']' AS placeholder FROM v JOIN f ON v.doc_id = f.doc_id AND v.value = f.value""",
-    "restore_plan": f"""WITH k AS (SELECT o_custkey AS doc_id, 'Nachname ' || {_LETTER.format(n='(o_orderkey % 30)')} AS placeholder, count(*) AS expected, count(*) FILTER (o_orderpriority <> '1-URGENT') AS found FROM orders GROUP BY 1, 2)
+    "restore_plan": f"""WITH k AS (SELECT o_custkey AS doc_id, 'Nachname ' || {LETTER.format(n='(o_orderkey % 30)')} AS placeholder, count(*) AS expected, count(*) FILTER (o_orderpriority <> '1-URGENT') AS found FROM orders GROUP BY 1, 2)
  SELECT doc_id, placeholder, expected, found, CASE WHEN found = expected THEN 'ok' ELSE 'fewer' END AS status FROM k""",
     "leak_check": rf"""WITH w AS (SELECT conv_id AS doc_id, turn AS unit_id, unnest(regexp_extract_all(text, '{TILES_RE2}')) AS word FROM conversations),
- x AS (SELECT *, {_FOLDED.replace('token', 'word')} AS k FROM w WHERE regexp_matches(word, '^[\p{{L}}\p{{M}}]'))
+ x AS (SELECT *, {FOLDED.replace('token', 'word')} AS k FROM w WHERE regexp_matches(word, '^[\p{{L}}\p{{M}}]'))
  SELECT doc_id, unit_id, word, count(*) AS n FROM x WHERE k IN ({_FORM_LIST}) OR (regexp_matches(word, '(s|es|n|ns)$') AND regexp_matches(k, '^(die|the|est|que|rosa)(s|es|n|ns)$'))
  OR (word = upper(word) AND regexp_matches(k, '^(die|the|est|que|rosa)(s|es|n|ns)$')) GROUP BY 1, 2, 3""",
     "name_columns": f"WITH t AS ({CELL_SQL.format(text='VARCHAR')}) SELECT g.doc_id, g.table_id, g.r, g.text AS given, s.text AS surname FROM t g JOIN t s ON g.doc_id = s.doc_id AND g.r = s.r AND g.c = 1 AND s.c = 2 WHERE g.r > 0 AND g.text <> 'offen' AND s.text <> 'offen'",

@@ -97,7 +97,8 @@ def test_merges_rings_and_islands(spark):
     got = linking.resolve_merges(hits, spark.createDataFrame(long, "doc_id long, entity string, target string")).collect()
     assert sorted(r.entity for r in got) == ["e300", "e300", "r000", "r000"]
     rows = spark.createDataFrame([(1, 0, "e", 0, 3), (1, 0, "e", 4, 7), (1, 0, "f", 8, 9), (1, 0, "e", 10, 12)], "doc_id long, unit_id int, entity string, start int, end int")
-    assert sorted((r.entity, r.start, r.end) for r in linking.merge_adjacent(rows).collect()) == [("e", 0, 7), ("e", 10, 12), ("f", 8, 9)]
+    rows = rows.selectExpr("*", "'certain' as certainty", "'' as suffix", "false as titled", "false as off", "entity as single", "array(entity) as parts", "cast(null as string) as link")
+    assert sorted((r.entity, r.start, r.end) for r in linking.joined_words(rows).collect()) == [("e", 0, 7), ("e", 10, 12), ("f", 8, 9)]
 
 
 def test_organisations(spark):
