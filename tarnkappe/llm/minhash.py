@@ -120,13 +120,34 @@ def classes(rows: DataFrame) -> DataFrame:
     return written(found.select("h", F.monotonically_increasing_id().alias("c"), "one.*", "copies"), "minhash-classes")
 
 
+#: One of so many documents is looked at to tell which values are frequent; a value of more than one of so many documents is.
+LOOKED_AT, FREQUENT = 64, 4096
+
+
+def _frequent(values: DataFrame, total: int) -> DataFrame:
+    """(v) of the values that may be in more than one of ``FREQUENT`` documents, from a fixed part of these by hash.
+
+    They are at most ``FREQUENT`` * k or so. It only decides how rows are dealt: a value is treated alike on either way.
+    """
+    some = values.filter(F.pmod(F.xxhash64("h"), F.lit(LOOKED_AT)) == 0).groupBy("v").agg(F.count("*").alias("c"))
+    return some.filter((F.col("c") >= 16) & (F.col("c") * LOOKED_AT * FREQUENT > total)).select("v")
+
+
+def _over_values(rows: DataFrame, frequent: DataFrame, facts: dict[str, Column]) -> DataFrame:
+    """``rows`` with aggregates over all rows of their value ``v``: one shuffle by value, and for ``frequent`` ones aggregates that are broadcast."""
+    often = rows.join(F.broadcast(frequent), "v", "left_semi")
+    summed = often.groupBy("v").agg(*[c.alias(n) for n, c in facts.items()])
+    own = Window.partitionBy("v")
+    seldom = rows.join(F.broadcast(frequent), "v", "left_anti").select("*", *[c.over(own).alias(n) for n, c in facts.items()])
+    return seldom.unionByName(often.join(F.broadcast(summed), "v"))
+
+
 def gatherings(found: DataFrame, percent: int, k: int = K) -> DataFrame:
     """(pivot, h): classes that meet in lists, gathered under one of them; pivots are members of their own gatherings."""
     total, passing = found.count(), []
     values = found.select("h", "n", F.explode("sketch").alias("v"))
-    common = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-values", passing)
-    # at most 4096 * k values are in more than one of 4096 classes, so are at most 4096 * k lists
-    shared = by_key(values, common, "v", F.col("df") * 4096 > total)
+    frequent = written(_frequent(values, total), "minhash-frequent", passing)
+    shared = _over_values(values, frequent, {"df": F.count("*")}).filter("df > 1")
     mine = Window.partitionBy("h")
     size = F.least("n", F.lit(k))
     rare = size - F.count("*").over(mine)  # values of this document alone stand first
@@ -134,10 +155,8 @@ def gatherings(found: DataFrame, percent: int, k: int = K) -> DataFrame:
     shared = shared.withColumn("place", place).withColumn("hub", F.sum(F.log("df")).over(mine))
     prefix = shared.filter(F.col("place") <= size - _least_overlap(F.col("n"), percent, k) + 1).select("v", "h", "hub")
     lists = written(prefix, "minhash-lists", passing)
-    best = F.max(F.struct("hub", "h"))
-    pivots = written(lists.groupBy("v").agg(best["h"].alias("pivot"), F.count("*").alias("members")).filter("members > 1"), "minhash-pivots", passing)
-    met = by_key(lists.select("v", "h"), pivots, "v", F.col("members") * 4096 > total)
-    met = written(met.select("pivot", "h").distinct(), "minhash-gatherings")
+    met = _over_values(lists, frequent, {"best": F.max(F.struct("hub", "h")), "members": F.count("*")}).filter("members > 1")
+    met = written(met.select(F.col("best.h").alias("pivot"), "h").distinct(), "minhash-gatherings")
     deleted(found.sparkSession, passing)
     return met
 
