@@ -44,19 +44,17 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     pieces = F.regexp_extract_all(lowered(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0))
     df = df.withColumn(units, F.transform(pieces, lambda x: F.xxhash64(x)))
     n, m = F.size(units), F.col(inner)
-    none = F.array().cast("array<bigint>")
-    df = df.withColumn(inner, F.when(n >= s, F.transform(F.sequence(F.lit(1), n - (s - 1)), lambda i: F.xxhash64(*[F.get(F.col(units), i + (j - 1)) for j in range(s)]))).otherwise(none))
+    upto = lambda array, last: F.slice(array, 1, F.greatest(n - last, F.lit(0)))
+    df = df.withColumn(inner, F.transform(upto(units, s - 1), lambda x, i: F.xxhash64(x, *[F.get(F.col(units), i + j) for j in range(1, s)])))
     # s-mers that tile the k-mer, and its last one, stand for its units
     tiles = sorted({*range(0, span, s), span - 1})
 
-    def judge(i: Column) -> Column:
-        least = F.array_min(F.slice(m, i, span))
-        first, last = F.get(m, i - 1), F.get(m, i + (span - 2))
-        whole = F.xxhash64(*[F.get(m, i + (t - 1)) for t in tiles])
-        return F.when((first == least) | (last == least), _packed(whole, i))
+    def judge(x: Column, i: Column) -> Column:
+        held = [x, *[F.get(m, i + j) for j in range(1, span)]]
+        least = F.least(*held)
+        return F.when((held[0] == least) | (held[-1] == least), _packed(F.xxhash64(*[held[t] for t in tiles]), i + 1))
 
-    found = F.filter(F.transform(F.sequence(F.lit(1), n - (k - 1)), judge), lambda x: x.isNotNull())
-    found = F.when(n >= k, found).otherwise(F.array().cast(ANCHORS))
+    found = F.filter(F.transform(upto(inner, k - 1), judge), lambda x: x.isNotNull())
     alone = F.array(_packed(F.xxhash64(F.col(units)), F.lit(1)))
     df = df.withColumn(out, found)
     return df.withColumn(out, F.when((F.size(out) > 0) | (n == 0), F.col(out)).otherwise(alone)).drop(units, inner)
@@ -73,8 +71,8 @@ def entries(anchors: str) -> Column:
 
 
 def as_string(found: Column) -> Column:
-    """Entries in order, each as its hash in hexadecimal and its distance."""
-    return F.array_join(F.transform(found, lambda x: F.concat_ws("@", F.hex(F.shiftrightunsigned(x, PLACE)), _place(x).cast("string"))), " ")
+    """Entries in order, each in hexadecimal: ten digits of its hash, leading zeros left out, and six of its distance."""
+    return F.array_join(F.transform(found, lambda x: F.hex(x)), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
