@@ -22,14 +22,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: five-word shingles, similarity of 0.8."""
+    """One document of each group of near-copies: five-word shingles, similarity of 0.8.
+
+    That with the smallest doc_id stays; of several texts of that id the one with the smallest hash, of equal rows one.
+    Null texts, texts without words and rows without doc_id are alike with nothing and stay; an empty table gives none.
+    """
     return minhash.one_of_each(docs, width=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often and in the order as the mix takes them; a document may come twice.
 
-    Written, the order is that of the files' numbers and of the rows in a file.
+    Written, the order is that of the files' numbers and of the rows in a file. A null source is one of its own, and the last;
+    null texts and texts without words have size 0 and are not taken; equal rows are taken each, ties in training time go by
+    doc_id and text; an empty table gives none.
     """
     return mixing.in_training_order(docs, mixing.mix(docs))
 
