@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,11 +50,16 @@ def written(df: DataFrame, name: str, passing: list[str] | None = None) -> DataF
 
 
 def deleted(spark: SparkSession, passing: list[str]) -> None:
-    """Take away tables that nothing reads any more; what was made from them must have been written."""
+    """Take away tables that nothing reads any more; what was made from them must have been written.
+
+    Spark keeps shuffle files until the driver's collector finds that nothing refers to them; it is asked to look now.
+    """
     for path in passing:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     passing.clear()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @contextmanager
