@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(n for n in SQL if not n.startswith(("op", "pipeline"))))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "documents", "conversations", "pages"):
+    for t in ("customer", "orders", "documents", "conversations", "events", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(SQL[name])
     names = sorted(d[0] for d in want.description)
