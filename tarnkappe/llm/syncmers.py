@@ -1,6 +1,6 @@
 """Document fingerprints by closed syncmers (operator 7; DataFrame operations only).
 
-The units are pieces of words, lower-cased by A-Z: up to ``PIECE`` characters from a word's beginning, and a unit for each
+The units are pieces of words in small letters: up to ``PIECE`` characters from a word's beginning, and a unit for each
 character of scripts that are written without spaces. All texts are cut alike, whatever their length or script. A k-mer
 of units is an anchor if the smallest hash among the s-mers inside it lies at its first or last place. That depends on
 nothing outside the k-mer, so an edit changes only anchors that overlap it, and the same passage gives the same anchors
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnkappe.llm.common import lowered, range_cuts, shard_of, spread_keys
+from tarnkappe.llm.common import range_cuts, shard_of, spread_keys
 from tarnkappe.session import written
 
 K, S, PIECE = 4, 2, 3
@@ -41,7 +41,7 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     A text with units but without an anchor has one: the hash of all its units at position 1. Null and white space have none.
     """
     units, inner, span = f"__{out}_units", f"__{out}_inner", k - s + 1
-    pieces = F.regexp_extract_all(lowered(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0))
+    pieces = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(UNIT), F.lit(0))
     df = df.withColumn(units, F.transform(pieces, lambda x: F.xxhash64(x)))
     n, m = F.size(units), F.col(inner)
     upto = lambda array, last: F.slice(array, 1, F.greatest(n - last, F.lit(0)))
@@ -76,10 +76,9 @@ def as_string(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared part of the distinct entries of two fingerprints (Jaccard); 1 if neither has any."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    both = F.size(F.array_intersect(x, y))
-    union = F.size(x) + F.size(y) - both
+    """Shared part of the distinct entries of two fingerprints (Jaccard), given as such; 1 if neither has any."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
@@ -134,12 +133,15 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
     rows = with_anchors(rows.withColumn("edited", edited), "edited", "edited_anchors")
     own = {c: entries(c) for c in ("anchors", "edited_anchors", "next_anchors")}
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[e.alias(c) for c, e in own.items()])
+    for c in own:  # each once, however often it is compared
+        rows = rows.withColumn(f"{c}_once", F.array_distinct(c))
+    once = lambda c: F.col(f"{c}_once")
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_string(F.col("anchors")).alias("fingerprint"),
         as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        likeness(once("anchors"), once("edited_anchors")).alias("near_edited"),
+        likeness(once("anchors"), once("next_anchors")).alias("near_next"),
     )
