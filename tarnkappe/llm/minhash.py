@@ -90,7 +90,7 @@ def _least_overlap(n: Column, percent: int, k: int) -> Column:
     return F.when(n <= k * percent // 100, F.ceil(n * percent / 100)).otherwise(least_equal(percent, k)[k]).cast("int")
 
 
-def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
+def sketched(docs: DataFrame, width: int, k: int = K, passing: list[str] | None = None) -> DataFrame:
     """row, doc_id, h (hash of the words, the class of equal texts), n (shingles), sketch of every document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64()), sketch], ["row", "doc_id", "tie", "h", "n", "sketch"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, "row long, doc_id long, tie long, h long, n long, sketch array<long>"), "minhash")
+    return written(rows.mapInArrow(run, "row long, doc_id long, tie long, h long, n long, sketch array<long>"), "minhash", passing)
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -309,17 +309,19 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Rows of one doc_id with unlike texts have that doc_id as component all of them, but roots of their own.
     """
+    passing: list[str] = []
     with arrow_batches(docs.sparkSession, 512):
-        rows = sketched(docs, width)
-        able = rows.filter(F.col("doc_id").isNotNull())
-        found = classes(able)
+        rows = sketched(docs, width, passing=passing)
+        found = classes(rows.filter(F.col("doc_id").isNotNull()))
+        # sketches are kept once for each class from here on
+        bare = written(rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles")), "minhash-rows")
+        deleted(docs.sparkSession, passing)
         roots = components(links(found, docs.filter(F.col("doc_id").isNotNull()), width, percent))
     rooted = found.select("h", "c", "doc_id", "copies").join(roots, found["c"] == roots["node"], "left").select("h", "doc_id", "copies", F.coalesce("root", "c").alias("root"))
     # roots of large groups are few: a group of more than one of 4096 rows is looked up by broadcast, and so is a large class
-    total = rows.count()
+    total = bare.count()
     sized = rooted.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("members"))
     named = written(by_key(rooted, sized, "root", F.col("members") * 4096 > total).select("h", "root", "component", "copies"), "minhash-named")
-    bare = rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles"))
     out = by_key(bare.filter("doc_id is not null and n_shingles > 0"), named, "h", F.col("copies") * 4096 > total).drop("copies")
     out = out.unionByName(bare.filter("doc_id is null or n_shingles = 0"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
