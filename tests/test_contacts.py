@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,15 @@ def test_apply_spans_drops_overlaps(spark):
     df = spark.sql("select 'abcdef' as t, array(named_struct('start',3,'end',5,'text','X'), named_struct('start',1,'end',4,'text','Y')) as r")
     assert df.select(T.apply_spans(F.col("t"), F.col("r"))).first()[0] == "aYef"
     assert spark.createDataFrame([("Jäger",), ("Meier",)], "w string").select(T.umlaut_variant(F.col("w"))).collect()[0][0] == "Jaeger"
+
+
+def test_phone_query_with_letters_behind(spark, tmp_path):
+    """The query counts what its SQL counts; masking leaves digits of longer words alone."""
+    texts = ['token = "0641917ea4e9feb9"', "0341 1234567 12abc 030 7654321", "0341 1234567x, 0341 1234567", "a0341 1234567", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["contact_phone"]).fetchall()
+    got = [tuple(r) for r in catalog.contact_phone(spark, str(tmp_path)).select("doc_id", "phone", "n").collect()]
+    assert sorted(got) == sorted(want) and (0, "0641917", 1) in got
+    assert C.with_masked(spark.createDataFrame([(texts[0],)], "text string")).first().masked == texts[0]
