@@ -33,13 +33,16 @@ NOBODY = "author autor user benutzer owner besitzer admin administrator guest ga
 def meta_forms(meta_names: DataFrame) -> DataFrame:
     """(doc_id, form, entity, ambiguous) of the persons in ``meta_names`` (doc_id, name, kind), which a file's properties name.
 
-    Each word of a name counts by itself, so a turned name or one with an initial is found as well; of an e-mail address
-    what stands before the @, of a network's user what stands behind the last stroke. Words that programs put in, titles,
-    particles, stop words and single letters don't count. The entity says where the name is from.
+    Each word of a name counts by itself, so a turned name or one with an initial is found as well; of a name that is an
+    e-mail address or a network's user and nothing else, what stands before the @ or behind the last stroke. Of the kind
+    ``text``, such as a title with names in it, and where an address stands among other words, all words count. Words that
+    programs put in, titles, particles, stop words and single letters don't count. The entity says where the name is from.
     """
-    rows = meta_names.filter("kind <> 'org'").select("doc_id", "name")
-    own = F.regexp_replace(F.regexp_replace("name", r"@.*$", ""), r"^.*\\", "")
-    own = F.when(F.contains("name", F.lit("@")), F.regexp_replace(own, "[._-]+", " ")).otherwise(own)
+    rows = meta_names.filter("kind <> 'org'").select("doc_id", "name", "kind")
+    address = F.col("name").rlike(r"^\s*[^\s@]+@\S*\s*$")
+    own = F.regexp_replace(F.regexp_replace("name", r"@\S*\s*$", ""), r"^.*\\", "")
+    own = F.when(address, F.regexp_replace(own, "[._-]+", " ")).otherwise(F.regexp_replace("name", r"^\s*[^\s@]*\\", ""))
+    own = F.when(F.col("kind") == "text", F.col("name")).otherwise(own)
     words = rows.select("doc_id", "name", F.explode(tiles(own)).alias("raw")).filter(F.col("raw").rlike(r"^[\p{L}\p{M}]")).withColumn("key", fold(F.col("raw")))
     listed = f"{NOBODY} {lexicon.STRONG_TITLES} {lexicon.WEAK_TITLES} {lexicon.PARTICLES} {lexicon.STOP}"
     words = words.filter((F.char_length("key") >= 2) & ~one_of(F.col("key"), listed))

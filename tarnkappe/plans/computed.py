@@ -41,7 +41,7 @@ def file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's title names its authors: their words in title and address, beyond those that stand in its navigation."""
     pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    forms = checks.meta_forms(pages.select(F.col("page_id").alias("doc_id"), title.alias("name"), F.lit("person").alias("kind")))
+    forms = checks.meta_forms(pages.select(F.col("page_id").alias("doc_id"), title.alias("name"), F.lit("text").alias("kind")))
     unit = lambda n, text: pages.select(F.col("page_id").alias("doc_id"), F.lit(n).alias("unit_id"), text.alias("text"))
     beside = checks.leaks(unit(1, title).unionByName(unit(2, F.col("url"))), forms)
     left = checks.leaks(unit(0, F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)), forms)

@@ -55,3 +55,11 @@ def test_difference_of_multisets(spark):
     found = spark.createDataFrame([(1, 5, 0, "weber", "e", "weber"), (1, 5, 9, "Weber", "e", "weber"), (1, 6, 0, "Weber", "e", "weber"), (1, 6, 7, "Kaya", "e", "kaya")], row)
     assert sorted((x.unit_id, x.start, x.word) for x in checks.beyond(found, known).collect()) == [(6, 0, "Weber"), (6, 7, "Kaya")]
     assert checks.beyond(found, known.limit(0)).count() == 4 and checks.beyond(found.limit(0), known).count() == 0
+
+
+def test_words_around_an_address_in_a_name(spark):
+    rows = [(1, "quandt.58@mail8.x.de Jana, Berg", "person"), (2, "kaya.1@mail8.x.de", "text"), (3, "kaya.1@mail8.x.de", "person"), (4, r"SCHULE\Jana Berg", "person"), (5, r"von C:\Berg", "text"), (6, None, "person")]
+    forms = checks.meta_forms(spark.createDataFrame(rows, "doc_id long, name string, kind string"))
+    got = {k: {x.form for x in forms.collect() if x.doc_id == k} for k in range(1, 7)}
+    assert {"quandt", "jana", "berg"} <= got[1] and {"kaya", "mail"} <= got[2]
+    assert got[3] == {"kaya"} and got[4] == {"jana", "berg"} and got[5] == {"berg"} and got[6] == set()
