@@ -16,6 +16,7 @@ from tarnkappe.operators.mentions import person_mentions
 from tarnkappe.operators.tokens import as_lines, flagged, tiles, tokens
 from tarnkappe.plans.catalog import FOLDED, LETTER, ONLY_EMAIL, TILES_RE2, table
 from tarnkappe.plans.pseudonymise import Options, pseudonymise
+from tarnkappe.session import dealt
 
 
 def _longs(df: DataFrame, *names: str) -> DataFrame:
@@ -60,7 +61,7 @@ WHERE NOT (i = 1 AND k % 5 = 0) AND NOT (i = 0 AND r = 2 AND k % 3 = 0)"""
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.explode(F.expr("flatten(transform(sequence(0, 2), r -> transform(sequence(0, 2), i -> struct(r, i))))")).alias("g")
-    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), rows).select("k", "seg", "g.*")
+    base = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), rows).select("k", "seg", "g.*")
     body = _CELLS[_CELLS.index("SELECT") : _CELLS.index("FROM")] + "FROM {base} " + _CELLS[_CELLS.index("WHERE") :]
     return spark.sql(body, base=base)
 
@@ -194,7 +195,7 @@ def contact_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts of all kinds at computed places: a mailbox that looks like a phone number is one contact, an account number
     with wrong check digits is uncertain."""
     parts = _contact_sql("string", "decimal(38,0)")
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), *[F.expr(v).alias(k) for k, v in parts.items()])
+    rows = dealt(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), *[F.expr(v).alias(k) for k, v in parts.items()])
     found = contact_rows(rows.select("doc_id", F.expr(f"concat({', '.join(_PARTS)})").alias("text")), ["doc_id"])
     return _longs(found.select("doc_id", "kind", "start", "end", "certainty"), "start", "end")
 

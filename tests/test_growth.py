@@ -5,11 +5,15 @@ import io
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnkappe.functions.text import running
-from tarnkappe.operators import organisations
+from tarnkappe.operators import contacts, organisations
 from tarnkappe.operators.tokens import tokens
+from tarnkappe.plans import catalog, computed
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -40,6 +44,20 @@ def test_tokens_need_no_window(spark):
     assert [sum(r.unit_id == i for r in rows) for i in range(len(texts))] == [0, 0, 0, 6, 450]
 
 
+def test_arrays_are_made_once(spark):
+    """No filter by an array's size before it is made row by row, which would make it a second time."""
+    units = spark.createDataFrame([(1, 0, "x")], "doc_id long, unit_id int, text string")
+    for df in (contacts.contact_rows(units, ["doc_id"]), tokens(units)):
+        optimized = plan(df).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert not re.search(r"Filter .*size\(", optimized)
+
+
+@pytest.mark.parametrize("query", [computed.contact_places, computed.salutation_cells, catalog.name_columns])
+def test_few_bytes_are_dealt_out(spark, query):
+    assert "REPARTITION_BY_NUM" in plan(query(spark, SF)) or query is computed.salutation_cells
+    assert "REPARTITION_BY_NUM" in plan(computed._cells(spark, SF))
+
+
 def test_terms_of_one_letter_with_endings(spark):
     terms = spark.createDataFrame([("B",), ("Haus B",), ("ΟΔΟΣ",)], "term string")
     units = spark.createDataFrame([(1, 0, "Bs Hut"), (1, 1, "Haus B's Tor"), (1, 2, "Be, BN"), (1, 3, "ΟΔΟΣs")], "doc_id long, unit_id int, text string")
