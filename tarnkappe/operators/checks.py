@@ -87,7 +87,7 @@ def leaks(units: DataFrame, forms: DataFrame) -> DataFrame:
     hyphens; ambiguous forms only with a capital. One row for each word."""
     words = tokens(units).filter("word").select("doc_id", "unit_id", "start", "text")
     pieces = words.withColumn("piece", F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "-")))))
-    cuts = pieces.select("doc_id", "unit_id", "start", "text", is_cap(F.col("piece")).alias("cap"), F.explode(stems(F.col("piece"))).alias("cut"))
+    cuts = pieces.select("doc_id", "unit_id", "start", "text", is_cap(F.col("piece")).alias("cap"), F.explode_outer(stems(F.col("piece"))).alias("cut"))
     found = cuts.withColumn("form", fold(F.col("cut.stem"))).join(forms, ["doc_id", "form"]).filter("cap or not ambiguous")
     return found.groupBy("doc_id", "unit_id", "start").agg(F.first("text").alias("word"), F.min("entity").alias("entity"), F.min("form").alias("form"))
 
