@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tarnkappe.functions import lexicon
 from tarnkappe.functions.text import fold, letter_for
 from tarnkappe.operators import reversible
-from tarnkappe.operators.mentions import with_taken
 from tarnkappe.operators.tokens import one_of, stems
 from tarnkappe.session import written
 
@@ -140,32 +139,43 @@ def noun_before(i: Column) -> Column:
     return opens(1) | (small(1) & opens(2)) | (small(1) & small(2) & opens(3))
 
 
-def propagate(lines: DataFrame, owned: DataFrame, covered: DataFrame, marked: bool = False) -> DataFrame:
+def propagate(lines: DataFrame, owned: DataFrame, covered: DataFrame, marked: bool = False, most: int = 300_000) -> DataFrame:
     """Further places of owned parts (doc_id, key, entity, grp) in lines of flagged tokens that no hit of ``covered`` touches.
 
     A token fits with the first of its stems that is a part; ambiguous words only with a capital, and then uncertain, and
     off behind an article or preposition. Weekdays and months are uncertain and off. A word with a group is uncertain and
     on, and of that group. An unknown capitalised word right before a clear part is taken in (``absorbed``: its start, end
     and key), and the whole is uncertain. Parts that are ``marked`` by hand are certain wherever they stand; but where they
-    stand in capitals with an ending in capitals they are off, and ``caps``, since such a form may be another word.
+    stand in capitals with an ending in capitals they are off, and ``caps``, since such a form may be another word. Words
+    that are nobody's part are left out before the join, if parts have at most ``most`` different keys (broadcast).
     """
-    small = lambda t, i: F.struct(
-        *[t[c].alias(c) for c in ("pos", "text", "start", "end", "word", "cap", "ambiguous", "stop", "particle", "strong", "weak", "exception")],
+    kept = lambda t: t["word"] & ~t["exception"] if marked else t["word"] & ~t["stop"] & ~t["particle"] & ~t["strong"] & ~t["weak"] & ~t["exception"] & (t["cap"] | ~t["ambiguous"])
+    small = lambda t, i: F.when(kept(t), F.struct(
+        *[t[c].alias(c) for c in ("pos", "text", "start", "end", "cap", "ambiguous", "stop", "particle", "strong", "weak")],
         F.coalesce(t["calendar"] | (one_of(t["key"], _SHORT_DATES) & (F.get("tokens", i + 1)["text"] == ".") & (F.get("tokens", i + 1)["gap"] == "")), F.lit(False)).alias("calendar"),
-        t["covered"].alias("covered"), noun_before(i).alias("noun"), before(i, t["gap"]).alias("before"),
-    )
+        F.when(t["ambiguous"], noun_before(i)).alias("noun"), before(i, t["gap"]).alias("before"),
+    ))
 
     def before(i: Column, gap: Column) -> Column:
         p = F.get("tokens", i - 1)
-        unknown = p["word"] & p["cap"] & ~p["allcaps"] & ~p["covered"] & ~(p["first"] | p["last"] | p["ambiguous"] | p["stop"] | p["strong"] | p["weak"] | p["exception"] | p["particle"] | p["calendar"])
+        unknown = p["word"] & p["cap"] & ~p["allcaps"] & ~(p["first"] | p["last"] | p["ambiguous"] | p["stop"] | p["strong"] | p["weak"] | p["exception"] | p["particle"] | p["calendar"])
         return F.when((i > 0) & gap.rlike(r"^[ \x{a0}]+$") & F.coalesce(unknown, F.lit(False)) & ~noun_before(i - 1), F.struct(p["start"].alias("start"), p["end"].alias("end"), p["key"].alias("key")))
 
-    rows = with_taken(lines, covered).select("doc_id", "unit_id", F.explode(F.transform("tokens", small)).alias("t")).select("doc_id", "unit_id", "t.*")
-    free = rows.filter("word and not covered and not exception" if marked else "word and not covered and not stop and not particle and not strong and not weak and not exception")
-    cuts = free.select("doc_id", "unit_id", "pos", "start", "end", "text", "cap", "ambiguous", "noun", "calendar", "before", (F.col("stop") | F.col("particle") | F.col("strong") | F.col("weak")).alias("small"), F.posexplode(stems(F.col("text"))).alias("nth", "cut"))
+    rows = lines.select("doc_id", "unit_id", F.explode_outer(F.filter(F.transform("tokens", small), lambda t: t.isNotNull())).alias("t")).filter("t is not null").select("doc_id", "unit_id", "t.*")
+    cuts = rows.select("doc_id", "unit_id", "pos", "start", "end", "text", "cap", "ambiguous", "noun", "calendar", "before", (F.col("stop") | F.col("particle") | F.col("strong") | F.col("weak")).alias("small"), F.posexplode_outer(stems(F.col("text"))).alias("nth", "cut")).filter("cut is not null").withColumn("key", fold(F.col("cut.stem")))
+    owned = written(owned, "owned")
+    keys = written(owned.select("key").distinct(), "owned-keys")
+    if keys.count() <= most:
+        cuts = cuts.join(F.broadcast(keys), "key", "left_semi")
     owned = owned if "grp" in owned.columns else owned.withColumn("grp", F.lit(None).cast("string"))
     caps = F.col("cut.suffix").rlike(r"\p{Lu}") if marked else F.lit(False)
-    found = cuts.withColumn("key", fold(F.col("cut.stem"))).join(owned, ["doc_id", "key"]).withColumn("caps", caps).filter("not (caps and small)" if marked else "cap or not ambiguous")
+    found = cuts.join(owned, ["doc_id", "key"]).withColumn("caps", caps)
+    found = found.filter("not (caps and small)") if marked else found
+    # only places that fit are asked whether a hit touches them, so lines aren't shuffled
+    spots = covered.groupBy("doc_id", "unit_id").agg(F.collect_list(F.struct("start", "end")).alias("spots"))
+    touched = lambda start, end: F.coalesce(F.exists("spots", lambda s: (start < s["end"]) & (end > s["start"])), F.lit(False))
+    found = found.join(spots, ["doc_id", "unit_id"], "left").filter(~touched(F.col("start"), F.col("end")))
+    found = found.withColumn("before", F.when(F.col("before").isNotNull() & ~touched(F.col("before.start"), F.col("before.end")), F.col("before"))).drop("spots")
     first = F.row_number().over(Window.partitionBy("doc_id", "unit_id", "start").orderBy("nth"))
     found = found.withColumn("best", first).filter("best = 1")
     sure = F.lit(True) if marked else F.col("cap") & ~F.col("ambiguous") & F.col("grp").isNull() & ~F.col("calendar")
@@ -186,7 +196,7 @@ def placeholder_words(units: DataFrame) -> DataFrame:
     """(doc_id, word, n): what looks like a placeholder in the original already; none of these is given out."""
     text = F.coalesce("text", F.lit(""))
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (reversible.LIKE_NAME, reversible.LIKE_BRACKET)])
-    return units.select("doc_id", F.explode(found).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return units.select("doc_id", F.explode_outer(found).alias("word")).filter("word is not null").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 def reserved(words: DataFrame) -> DataFrame:
@@ -204,11 +214,12 @@ def letters(first_seen: DataFrame, taken: DataFrame | None = None, prefix: str =
     if taken is None:
         return ranked.select("doc_id", "entity", letter_for(F.col("nth")).alias("letter"))
     bad = taken.filter(F.startswith("word", F.lit(prefix))).select("doc_id", F.substr("word", F.lit(len(prefix) + 1)).alias("letter")).distinct()
-    # a document needs as many letters as it has persons and taken ones
-    need = ranked.groupBy("doc_id").agg(F.count("*").alias("n")).join(bad.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id", "left")
-    pool = need.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + F.coalesce("m", F.lit(0)) - 1)).alias("i")).withColumn("letter", letter_for(F.col("i")))
+    # a document with taken letters needs as many as it has persons and taken ones; the others have theirs by number
+    need = ranked.join(bad.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id").groupBy("doc_id").agg((F.count("*") + F.max("m")).alias("n"))
+    pool = need.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).withColumn("letter", letter_for(F.col("i")))
     free = pool.join(bad, ["doc_id", "letter"], "left_anti").withColumn("nth", (F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1).cast("long"))
-    return ranked.join(free.select("doc_id", "nth", "letter"), ["doc_id", "nth"]).select("doc_id", "entity", "letter")
+    named = ranked.join(free.select("doc_id", "nth", "letter"), ["doc_id", "nth"], "left")
+    return named.select("doc_id", "entity", F.coalesce("letter", letter_for(F.col("nth"))).alias("letter"))
 
 
 def display_forms(hits: DataFrame) -> DataFrame:

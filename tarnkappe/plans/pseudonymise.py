@@ -13,7 +13,7 @@ from tarnkappe.operators import checks, columns, linking, organisations, reversi
 from tarnkappe.operators import strings as free
 from tarnkappe.operators.contacts import LABELS, ContactOptions, contact_rows
 from tarnkappe.operators.mentions import mentions_of_lines, with_taken
-from tarnkappe.operators.tokens import as_lines, as_rows, flagged, tokens
+from tarnkappe.operators.tokens import TOKEN, as_lines, as_rows, flagged, tokens, words_of
 from tarnkappe.session import written
 
 
@@ -97,10 +97,11 @@ def pseudonymise(
     """
     units = units.select("doc_id", "unit_id", "text")
     found = written(contact_rows(units, ["doc_id", "unit_id"], options=options.contacts), "contacts")
-    lines = written(as_lines(flagged(tokens(units), names, exceptions)), "lines")
+    # units are together here, so contacts are marked in them without another shuffle of all tokens
+    lines = written(with_taken(as_lines(flagged(tokens(units), names, exceptions, own_words=words_of(units)).withColumn("covered", F.lit(False)), [*TOKEN, "covered"]), _spots(found)), "lines")
     orgs = listed = None
     if org_terms is not None:
-        tok = as_rows(lines)
+        tok = as_rows(lines).drop("covered")
         orgs = organisations.find(tok, org_terms)
         orgs = organisations.without_overlaps(orgs, organisations.find_across(tok, org_terms, orgs)) if options.across_lines else orgs.withColumn("rest", F.lit(False))
         listed = orgs = written(orgs, "organisations")
@@ -110,10 +111,10 @@ def pseudonymise(
     if cells is not None:
         placed = cells.drop("text").join(units, ["doc_id", "unit_id"])
         busy = _spots(found, orgs).select("doc_id", "unit_id").distinct()
-        of_cells = written(columns.cell_mentions(as_rows(lines), placed, name_columns).join(busy, ["doc_id", "unit_id"], "left_anti"), "cells")
+        of_cells = written(columns.cell_mentions(as_rows(lines).drop("covered"), placed, name_columns).join(busy, ["doc_id", "unit_id"], "left_anti"), "cells")
         lefts = columns.left_neighbours(placed)
     taken = _spots(found, orgs)
-    marked = with_taken(lines, _spots(found, orgs, of_cells))
+    marked = lines if orgs is None and of_cells is None else with_taken(lines, _spots(orgs, of_cells))
     mentions = written(mentions_of_lines(marked, options.unsure_on, lefts, layout), "mentions")
     mentions = mentions if of_cells is None else mentions.unionByName(of_cells)
     linked = written(linking.link(mentions, unlinks).withColumn("caps", F.lit(False)), "linked")
@@ -130,7 +131,7 @@ def pseudonymise(
     persons = written(people.join(units, ["doc_id", "unit_id"]), "persons")
     odd = review.common_words(persons, lines)
     words = linking.placeholder_words(units)
-    blocked = linking.reserved(words)
+    blocked = written(linking.reserved(words), "reserved")
     # forms in capitals of marked names decide neither on letters nor on what is shown of a person
     whole = persons.filter("not caps")
     letters = written(linking.letters(whole.select("doc_id", "entity", "unit_id", "start"), blocked if options.mode == "person" else None), "letters")
@@ -156,7 +157,8 @@ def pseudonymise(
         others = active.filter("kind <> 'person'").join(units, ["doc_id", "unit_id"])
         stem_end = F.col("end") - F.when(F.col("suffix").rlike(r"\p{Lu}"), 0).otherwise(F.char_length("suffix"))
         rest = others.select("doc_id", "unit_id", "start", stem_end.alias("end"), F.coalesce(F.element_at(base, F.col("kind")), F.concat_ws(" ", F.lit("Einrichtung"), "letter")).alias("base"), F.substr("text", F.col("start") + 1, stem_end - F.col("start")).alias("value"), "kind", _none().alias("role"), "letter")
-        placed = written(reversible.numbered(parts.select("doc_id", "unit_id", "start", "end", "base", "value", F.lit("person").alias("kind"), "role", "letter").unionByName(rest), blocked), "placed")
+        values = parts.select("doc_id", "unit_id", "start", "end", "base", "value", F.lit("person").alias("kind"), "role", "letter").unionByName(rest)
+        placed = written(reversible.numbered(written(values, "values"), blocked), "placed")
         key = reversible.restore_key(placed)
         swaps = placed.select("doc_id", "unit_id", "start", "end", F.col("placeholder").alias("label"))
     else:
