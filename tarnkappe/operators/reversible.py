@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnkappe.functions.text import apply_spans, spans
+from tarnkappe.functions.text import apply_spans, let, spans
 
 #: Placeholder words of name parts, of whole persons and organisations, of contacts, and endings of names.
 NAME_WORDS = ("Vorname", "Nachname", "Initiale", "Name")
@@ -80,12 +80,12 @@ def numbered(values: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     if taken is None:
         named = ranked.withColumn("placeholder", shown(F.col("nth")))
     else:
-        own = ranked.groupBy("doc_id", "base").agg(F.count("*").alias("n"))
-        own = own.join(taken.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-        pool = own.select("doc_id", "base", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.col("m"))).alias("i")).withColumn("placeholder", shown(F.col("i")))
+        # only documents with taken words need to look which placeholders are free
+        own = ranked.join(taken.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id").groupBy("doc_id", "base").agg((F.count("*") + F.max("m")).alias("n"))
+        pool = own.select("doc_id", "base", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).withColumn("placeholder", shown(F.col("i")))
         pool = pool.join(taken.select("doc_id", F.col("word").alias("placeholder")).distinct(), ["doc_id", "placeholder"], "left_anti")
         pool = pool.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("i"))).drop("i")
-        named = ranked.join(pool, ["doc_id", "base", "nth"])
+        named = ranked.join(pool, ["doc_id", "base", "nth"], "left").withColumn("placeholder", F.coalesce("placeholder", shown(F.col("nth"))))
     return values.join(named.select("doc_id", "base", "value", "placeholder"), ["doc_id", "base", "value"])
 
 
@@ -147,11 +147,13 @@ def parse_key(texts: DataFrame) -> DataFrame:
     return rows.unionByName(good.filter("problem is not null").select("doc_id", "problem"), allowMissingColumns=True)
 
 
+def _exact(text: Column) -> Column:
+    return F.concat(spans(text, NAME_PLACEHOLDER), spans(text, CONTACT_PLACEHOLDER))
+
+
 def found_placeholders(units: DataFrame) -> DataFrame:
     """(doc_id, unit_id, start, end, placeholder) of everything in the texts that is written exactly like a placeholder."""
-    text = F.coalesce("text", F.lit(""))
-    found = F.concat(spans(text, NAME_PLACEHOLDER), spans(text, CONTACT_PLACEHOLDER))
-    return units.select("doc_id", "unit_id", F.explode(found).alias("s")).select("doc_id", "unit_id", "s.start", "s.end", F.col("s.text").alias("placeholder"))
+    return units.select("doc_id", "unit_id", F.explode_outer(_exact(F.coalesce("text", F.lit("")))).alias("s")).filter("s is not null").select("doc_id", "unit_id", "s.start", "s.end", F.col("s.text").alias("placeholder"))
 
 
 def restore(units: DataFrame, key: DataFrame) -> DataFrame:
@@ -184,25 +186,30 @@ def verdict(plan: DataFrame) -> DataFrame:
     return sums.select("doc_id", F.when(F.col("places") == 0, "wrong").when(doubt, "doubtful").otherwise("fitting").alias("verdict"))
 
 
-def changed_placeholders(units: DataFrame, key: DataFrame) -> DataFrame:
+def changed_placeholders(units: DataFrame, key: DataFrame | None) -> DataFrame:
     """(doc_id, unit_id, start, text, guess, kind): what looks like a placeholder of the key but was changed; reported, never guessed at.
 
-    Its kind is ``split`` if a line break stands inside, ``inflected`` if its word has an ending, else ``changed``.
+    What is no exact placeholder is found inside the row, without a join or group of places. Its kind is ``split`` if a line break stands inside, ``inflected`` if its word has an ending, else ``changed``.
     """
     text = F.coalesce("text", F.lit(""))
-    loose = units.select("doc_id", "unit_id", F.explode(F.concat(spans(text, LOOSE), spans(text, LOOSE_CONTACT))).alias("s")).select("doc_id", "unit_id", "s.*")
-    exact = found_placeholders(units).select("doc_id", "unit_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    loose = F.array_distinct(F.concat(spans(text, LOOSE), spans(text, LOOSE_CONTACT)))
+    apart = let(_exact(text), lambda exact: F.filter(loose, lambda s: ~F.exists(exact, lambda e: (s["start"] < e["end"]) & (s["end"] > e["start"]))))
+    free = units.select("doc_id", "unit_id", F.explode_outer(apart).alias("s")).filter("s is not null").select("doc_id", "unit_id", "s.*")
     word = F.initcap(F.regexp_extract("text", r"(?i)^(Vorname|Nachname|Initiale|Name)", 1))
     letter = F.upper(F.regexp_extract("text", r"(?i)^(?:Vorname|Nachname|Initiale|Name)(?:s|n)?[\s_-]*([A-Z]+[0-9]*)$", 1))
     base = F.replace(F.upper(F.regexp_extract("text", rf"(?i)({_CONTACTS})", 1)), F.lit("EMAIL"), F.lit("E-MAIL"))
     contact = F.concat(F.lit("["), base, F.lit("-"), F.regexp_extract("text", "([0-9]+)", 1), F.lit("]"))
     kind = F.when(F.col("text").rlike(r"[\r\n]"), "split").when(F.col("text").rlike(rf"(?i)^{_NAMES}[sn]\b"), "inflected").otherwise("changed")
-    free = loose.join(exact, ["doc_id", "unit_id"], "left").groupBy("doc_id", "unit_id", "start", "end", "text").agg(F.max(F.coalesce((F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), F.lit(False))).alias("known")).filter("not known")
     rows = free.withColumn("guess", F.when(F.col("text").rlike(r"[\[\]]"), contact).otherwise(F.concat_ws(" ", word, letter))).withColumn("kind", kind)
-    return rows.join(key.select("doc_id", F.col("placeholder").alias("guess")).distinct(), ["doc_id", "guess"], "left_semi").select("doc_id", "unit_id", "start", "text", "guess", "kind")
+    return _of_key(rows, key).select("doc_id", "unit_id", "start", "text", "guess", "kind")
+
+
+def _of_key(rows: DataFrame, key: DataFrame | None) -> DataFrame:
+    """``rows`` whose guess the key has; all of them without a key."""
+    return rows if key is None else rows.join(key.select("doc_id", F.col("placeholder").alias("guess")), ["doc_id", "guess"], "left_semi")
 
 
-def split_placeholders(units: DataFrame, key: DataFrame) -> DataFrame:
+def split_placeholders(units: DataFrame, key: DataFrame | None) -> DataFrame:
     """(doc_id, unit_id, start, text, guess): a placeholder's word ends a unit, its letter begins the unit with the next number.
 
     Only the ends and beginnings of units that look like it are joined.
@@ -214,8 +221,7 @@ def split_placeholders(units: DataFrame, key: DataFrame) -> DataFrame:
     upper = units.select("doc_id", "unit_id", "text", end.alias("word")).filter("word <> ''").select("doc_id", "unit_id", place.alias("start"), "word")
     lower = units.select("doc_id", (F.col("unit_id") - 1).alias("unit_id"), begin.alias("letter")).filter("letter <> ''")
     rows = upper.join(lower, ["doc_id", "unit_id"]).withColumn("guess", F.concat_ws(" ", "word", "letter"))
-    known = key.select("doc_id", F.col("placeholder").alias("guess")).distinct()
-    return rows.join(known, ["doc_id", "guess"], "left_semi").select("doc_id", "unit_id", "start", F.concat_ws(" | ", "word", "letter").alias("text"), "guess")
+    return _of_key(rows, key).select("doc_id", "unit_id", "start", F.concat_ws(" | ", "word", "letter").alias("text"), "guess")
 
 
 def restore_issues(units: DataFrame, key: DataFrame, originals: DataFrame | None = None) -> DataFrame:
@@ -224,11 +230,13 @@ def restore_issues(units: DataFrame, key: DataFrame, originals: DataFrame | None
     ``unknown`` placeholders that the key doesn't have, ``changed``, ``inflected`` and ``split`` ones. ``originals``
     (doc_id, word) are words like placeholders that stood in the text before; they are spared.
     """
-    none = F.lit(None).cast("string").alias("guess")
-    unknown = found_placeholders(units).join(key.select("doc_id", "placeholder"), ["doc_id", "placeholder"], "left_anti")
-    rows = unknown.select("doc_id", "unit_id", "start", F.lit("unknown").alias("kind"), F.col("placeholder").alias("text"), none)
+    exact = found_placeholders(units).select("doc_id", "unit_id", "start", F.lit("unknown").alias("kind"), F.col("placeholder").alias("text"), F.col("placeholder").alias("guess"))
     columns = ["doc_id", "unit_id", "start", "kind", "text", "guess"]
-    rows = rows.unionByName(changed_placeholders(units, key).select(columns)).unionByName(split_placeholders(units, key).withColumn("kind", F.lit("split")).select(columns))
+    rows = exact.unionByName(changed_placeholders(units, None).select(columns)).unionByName(split_placeholders(units, None).withColumn("kind", F.lit("split")).select(columns))
+    # all kinds look into the key in one join: exact ones must not be there, the guesses for others must
+    known = key.select("doc_id", F.col("placeholder").alias("guess")).distinct().withColumn("known", F.lit(True))
+    rows = rows.join(known, ["doc_id", "guess"], "left").filter((F.col("kind") == "unknown") == F.col("known").isNull())
+    rows = rows.withColumn("guess", F.when(F.col("known"), F.col("guess"))).select(columns)
     return rows if originals is None else rows.join(originals.select("doc_id", F.col("word").alias("text")).distinct(), ["doc_id", "text"], "left_anti").select(columns)
 
 

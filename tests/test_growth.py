@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnkappe.functions.lexicon import seed_names
 from tarnkappe.functions.text import running, spans
-from tarnkappe.operators import contacts, linking, organisations
+from tarnkappe.operators import contacts, linking, organisations, reversible
 from tarnkappe.operators.tokens import as_lines, flagged, stems, tokens, words_of
 from tarnkappe.plans import catalog, computed
 from tarnkappe.session import written
@@ -105,3 +105,14 @@ def test_lines_of_tokens_are_not_shuffled_for_parts(spark):
     for line in plan(df).split("== Physical Plan ==")[1].splitlines():
         assert not re.search(r"Exchange .*tokens", line)
     assert "tokens" not in "".join(x for x in plan(df).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].splitlines() if "Join " in x)
+
+
+def test_changed_placeholders_need_no_join_of_places(spark):
+    """Exact places are taken out inside the row, and all kinds of issues look into the key in one join."""
+    units = spark.createDataFrame([(1, 0, "Nachname A, nachname a [email 3 und [E-MAIL-3] Nachname Q"), (1, 1, "Vorname"), (1, 2, "B")], "doc_id long, unit_id int, text string")
+    key = spark.createDataFrame([(1, "Nachname A"), (1, "Vorname B"), (1, "[E-MAIL-3]")], "doc_id long, placeholder string")
+    df = reversible.restore_issues(units, key)
+    got = sorted((r.unit_id, r.start, r.kind, r.text, r.guess or "") for r in df.collect())
+    assert got == [(0, 12, "changed", "nachname a", "Nachname A"), (0, 23, "changed", "[email 3", "[E-MAIL-3]"), (0, 47, "unknown", "Nachname Q", ""), (1, 0, "split", "Vorname | B", "Vorname B")]
+    said = plan(df).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert said.count("Join ") == 2 and said.count("Aggregate ") == 1
