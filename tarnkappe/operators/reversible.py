@@ -220,7 +220,7 @@ def split_placeholders(units: DataFrame, key: DataFrame | None) -> DataFrame:
     place = F.char_length(F.rtrim(F.regexp_replace(text, r"\s+$", ""))) - F.char_length("word")
     upper = units.select("doc_id", "unit_id", "text", end.alias("word")).filter("word <> ''").select("doc_id", "unit_id", place.alias("start"), "word")
     lower = units.select("doc_id", (F.col("unit_id") - 1).alias("unit_id"), begin.alias("letter")).filter("letter <> ''")
-    rows = upper.join(lower, ["doc_id", "unit_id"]).withColumn("guess", F.concat_ws(" ", "word", "letter"))
+    rows = upper.join(lower.hint("merge"), ["doc_id", "unit_id"]).withColumn("guess", F.concat_ws(" ", "word", "letter"))
     return _of_key(rows, key).select("doc_id", "unit_id", "start", F.concat_ws(" | ", "word", "letter").alias("text"), "guess")
 
 
@@ -234,7 +234,8 @@ def restore_issues(units: DataFrame, key: DataFrame, originals: DataFrame | None
     columns = ["doc_id", "unit_id", "start", "kind", "text", "guess"]
     rows = exact.unionByName(changed_placeholders(units, None).select(columns)).unionByName(split_placeholders(units, None).withColumn("kind", F.lit("split")).select(columns))
     # all kinds look into the key in one join: exact ones must not be there, the guesses for others must
-    known = key.select("doc_id", F.col("placeholder").alias("guess")).distinct().withColumn("known", F.lit(True))
+    # Spark guesses exploded tables to be small and would broadcast them whole, so these joins say that both sides are dealt
+    known = key.select("doc_id", F.col("placeholder").alias("guess")).distinct().withColumn("known", F.lit(True)).hint("merge")
     rows = rows.join(known, ["doc_id", "guess"], "left").filter((F.col("kind") == "unknown") == F.col("known").isNull())
     rows = rows.withColumn("guess", F.when(F.col("known"), F.col("guess"))).select(columns)
     return rows if originals is None else rows.join(originals.select("doc_id", F.col("word").alias("text")).distinct(), ["doc_id", "text"], "left_anti").select(columns)

@@ -116,3 +116,4 @@ def test_changed_placeholders_need_no_join_of_places(spark):
     assert got == [(0, 12, "changed", "nachname a", "Nachname A"), (0, 23, "changed", "[email 3", "[E-MAIL-3]"), (0, 47, "unknown", "Nachname Q", ""), (1, 0, "split", "Vorname | B", "Vorname B")]
     said = plan(df).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert said.count("Join ") == 2 and said.count("Aggregate ") == 1
+    assert "Broadcast" not in plan(df).split("== Physical Plan ==")[1]
