@@ -6,14 +6,15 @@ frequent they meet in a list of one of the first ``size - overlap + 1`` of each
 left to the tail. A list's members are gathered under the member that shares most with others, so that the many lists of
 one group of copies become one. Gatherings are compared in blocks of bounded size, each with that member in it, and only
 what wasn't joined with it meets the other blocks. In a block the share of equal sketch values bounds the estimate from
-the union's sketch and filters; the rest is verified on full sets, and only links that join what wasn't joined yet leave
-the task: fewer than there are members, never all pairs. Copies of one text are one row from the start.
+the union's sketch and filters; 16 bits of each value do for that, since values that differ can only seem equal. The rest
+is verified on full sets, made from the texts where they meet, and only links that join what wasn't joined yet leave the
+task: fewer than there are members, never all pairs. Copies of one text are one row from the start.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarnkappe.llm.common import WORD, by_key
 from tarnkappe.llm.components import components
-from tarnkappe.session import arrow_batches, deleted, written
+from tarnkappe.session import arrow_batches, deleted, released, written
 
 K = 48
 #: Members of a block, of those with sketches (of fixed size) and of those with full sets, and bytes of these at most.
@@ -91,7 +92,7 @@ def _least_overlap(n: Column, percent: int, k: int) -> Column:
 
 
 def sketched(docs: DataFrame, width: int, k: int = K, passing: list[str] | None = None) -> DataFrame:
-    """row, doc_id, h (hash of the words, the class of equal texts), n (shingles), sketch of every document, written."""
+    """row, doc_id, tie, h (hash of the words, the class of equal texts), n (shingles), bytes (of the text), sketch of every document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hash()
@@ -104,36 +105,39 @@ def sketched(docs: DataFrame, width: int, k: int = K, passing: list[str] | None
                 ends.append(ends[-1] + len(parts[-1]))
             flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64()), sketch], ["row", "doc_id", "tie", "h", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pc.binary_length(batch.column(3)).cast(pa.int64()), sketch], ["row", "doc_id", "tie", "h", "n", "bytes", "sketch"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return written(rows.mapInArrow(run, "row long, doc_id long, tie long, h long, n long, sketch array<long>"), "minhash", passing)
+    return written(rows.mapInArrow(run, "row long, doc_id long, tie long, h long, n long, bytes long, sketch array<long>"), "minhash", passing)
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """One row for each class of equal texts: h, c, n, sketch, the smallest (doc_id, tie) and how many rows there are; written.
+def classes(rows: DataFrame, passing: list[str] | None = None) -> DataFrame:
+    """One row for each class of equal texts: h, c, n, sketch, the smallest (doc_id, tie), its bytes and how many rows there are; written.
 
     ``c`` numbers the classes. Numbers that lie side by side take up less than hashes do where rows are shuffled.
     """
-    one = F.min(F.struct("doc_id", "tie", "n", "sketch")).alias("one")
+    one = F.min(F.struct("doc_id", "tie", "n", "bytes", "sketch")).alias("one")
     found = rows.filter("n > 0").groupBy("h").agg(one, F.count("*").alias("copies"))
-    return written(found.select("h", F.monotonically_increasing_id().alias("c"), "one.*", "copies"), "minhash-classes")
+    return written(found.select("h", F.monotonically_increasing_id().alias("c"), "one.*", "copies"), "minhash-classes", passing)
 
 
 def gatherings(found: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """(pivot, h): classes that meet in lists, gathered under one of them; pivots are members of their own gatherings."""
+    """(pivot, h): classes (c) that meet in lists, gathered under one of them; pivots are members of their own gatherings."""
     total, passing = found.count(), []
-    values = found.select("h", "n", F.explode("sketch").alias("v"))
+    # the number of retained values says all about n that is needed here, and takes up less than n where rows are shuffled
+    values = found.select(F.col("c").alias("h"), F.size("sketch").cast("byte").alias("size"), F.explode("sketch").alias("v"))
     common = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-values", passing)
+    released(found.sparkSession)
     # at most 4096 * k values are in more than one of 4096 classes, so are at most 4096 * k lists
     shared = by_key(values, common, "v", F.col("df") * 4096 > total)
     mine = Window.partitionBy("h")
-    size = F.least("n", F.lit(k))
+    size = F.col("size").cast("int")
     rare = size - F.count("*").over(mine)  # values of this document alone stand first
     place = rare + F.row_number().over(mine.orderBy("df", "v"))
     shared = shared.withColumn("place", place).withColumn("hub", F.sum(F.log("df")).over(mine))
-    prefix = shared.filter(F.col("place") <= size - _least_overlap(F.col("n"), percent, k) + 1).select("v", "h", "hub")
+    prefix = shared.filter(F.col("place") <= size - _least_overlap(size, percent, k) + 1).select("v", "h", "hub")
     lists = written(prefix, "minhash-lists", passing)
+    released(found.sparkSession)
     best = F.max(F.struct("hub", "h"))
     pivots = written(lists.groupBy("v").agg(best["h"].alias("pivot"), F.count("*").alias("members")).filter("members > 1"), "minhash-pivots", passing)
     met = by_key(lists.select("v", "h"), pivots, "v", F.col("members") * 4096 > total)
@@ -216,19 +220,22 @@ def _placed(met: DataFrame, block: int, total: int) -> DataFrame:
     return placed.select("pivot", "h", "lead", "blocks", F.pmod(F.xxhash64("h", "pivot"), F.col("blocks")).cast("int").alias("block"))
 
 
-def _compared(met: DataFrame, facts: DataFrame, block: int, look, schema: str, name: str, passing: list[str]) -> DataFrame:
+def _compared(met: DataFrame, facts: Callable[[DataFrame], DataFrame], block: int, look, schema: str, name: str, passing: list[str]) -> DataFrame:
     """What ``look`` finds among the members (pivot, h, bytes) of each gathering, in two rounds; its rows with ``rest`` name those left over.
 
     In the first round every block of members is looked at, with the gathering's lead in each. So the work is in
     proportion to the members, and in a group of copies few are left over that weren't joined with the lead. In the
-    second these meet all other blocks. ``facts`` has a row for each h.
+    second these meet all other blocks; without any there is none. ``facts`` gives a row for each h of the members.
     """
     total = met.count()
     placed = written(_placed(met, block, total), f"{name}-placed", passing)
     seats = F.when(F.col("h") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     one = placed.withColumn("i", F.explode(seats)).select("pivot", "h", "lead", "i", F.lit(0).alias("j"), F.lit(True).alias("first"), (F.col("blocks") > 1).alias("more"))
-    found = written(one.join(facts, "h").groupBy("pivot", "i", "j").applyInArrow(look, schema), name, passing)
+    found = written(one.join(facts(placed), "h").groupBy("pivot", "i", "j").applyInArrow(look, schema), name, passing)
+    released(found.sparkSession)
     left = found.filter("rest").select("pivot", "h").distinct()
+    if left.isEmpty():
+        return found
     counts = left.groupBy("pivot").agg(F.count("*").alias("m")).withColumn("sides", F.ceil(F.col("m") / block).cast("int"))
     blocks = placed.select("pivot", "h", "block", "blocks")
     hot = F.col("m") * 4096 > total
@@ -237,7 +244,7 @@ def _compared(met: DataFrame, facts: DataFrame, block: int, look, schema: str, n
     answers = by_key(blocks, counts, "pivot", hot).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     two = asks.select("pivot", "h", "i", "j", F.lit(True).alias("first")).unionByName(answers.select("pivot", "h", "i", F.col("block").alias("j"), F.lit(False).alias("first")))
     two = two.withColumn("lead", F.lit(0).cast("long")).withColumn("more", F.lit(False))
-    again = two.join(facts, "h").groupBy("pivot", "i", "j").applyInArrow(look, schema)
+    again = two.join(facts(two), "h").groupBy("pivot", "i", "j").applyInArrow(look, schema)
     return found.unionByName(again)
 
 
@@ -248,7 +255,7 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def alike(found: DataFrame, met: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """The rows of gatherings whose sketches leave them a partner."""
+    """The rows of gatherings whose sketches leave them a partner. Of each value 16 bits are compared."""
     passing: list[str] = []
 
     def look(table: pa.Table) -> pa.Table:
@@ -259,7 +266,8 @@ def alike(found: DataFrame, met: DataFrame, percent: int, k: int = K) -> DataFra
         return out.filter(pa.array(good | table["more"].to_numpy(zero_copy_only=False)))
 
     sized = met.withColumn("bytes", F.lit(8 * k).cast("long"))
-    looked = _compared(sized, found.select("h", "n", "sketch"), SKETCHES, look, "pivot long, h long, rest boolean", "minhash-partners", passing)
+    short = found.select(F.col("c").alias("h"), "n", F.transform("sketch", lambda v: v.bitwiseAND(0xFFFF) - 0x8000).cast("array<smallint>").alias("sketch"))
+    looked = _compared(sized, lambda _: short, SKETCHES, look, "pivot long, h long, rest boolean", "minhash-partners", passing)
     out = written(looked.filter("not rest").select("pivot", "h").distinct(), "minhash-alike")
     deleted(found.sparkSession, passing)
     return out
@@ -273,32 +281,32 @@ def _with_text(texts: DataFrame, one: DataFrame, most: int) -> DataFrame:
     return rows.join(small, ["doc_id", "tie"]).select("h", "text").dropDuplicates(["h"])
 
 
-def links(found: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K, most: int = 2_000_000) -> DataFrame:
-    """(a, b): verified links between the numbers of classes, enough to join all that are linked."""
-    found = found.select(F.col("c").alias("h"), "n", "sketch", "doc_id", "tie")
-    met, passing = alike(found, gatherings(found, percent, k), percent, k), []
-    one = found.join(met.select("h").distinct(), "h").select("h", "doc_id", "tie")
+def links(found: DataFrame, met: DataFrame, texts: DataFrame, width: int, percent: int, k: int = K, most: int = 2_000_000) -> DataFrame:
+    """(a, b): verified links between the numbers of classes, enough to join all that are linked.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hash()
-        for batch in batches:
-            whole = [s.tobytes() for _, s in _sets(batch.column(1).to_pylist(), width, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], ["h", "set"])
+    ``met`` has the gatherings (pivot, h). Texts are dealt out to these, as they take up less than their sets.
+    """
+    passing: list[str] = []
+    found = found.select(F.col("c").alias("h"), "n", "bytes", "doc_id", "tie")
+    hashes = _Hash()  # of each task its own
 
-    sets = written(_with_text(texts, written(one, "minhash-names", passing), most).mapInArrow(run, "h long, set binary"), "minhash-sets", passing)
+    def facts(members: DataFrame) -> DataFrame:
+        one = found.join(members.select("h").distinct(), "h").select("h", "doc_id", "tie")
+        return _with_text(texts, written(one, "minhash-names", passing), most)
 
     def join(table: pa.Table) -> pa.Table:
-        names, whole, first = table["h"].to_pylist(), table["set"].to_pylist(), table["first"].to_numpy()
+        names, first = table["h"].to_pylist(), table["first"].to_numpy()
+        whole = [s for _, s in _sets(table["text"].to_pylist(), width, hashes)]
         lead = table["lead"][0].as_py()
         order = sorted(range(len(names)), key=lambda p: (names[p] != lead, not first[p], names[p]))
-        linked, group = _link([np.frombuffer(whole[p], np.uint64) for p in order], [names[p] for p in order], first[order], percent, k)
+        linked, group = _link([whole[p] for p in order], [names[p] for p in order], first[order], percent, k)
         rest = [names[p] for p, g in zip(order, group) if g != group[0]] if table["more"][0].as_py() else []
         rows = [(x, y, False) for x, y in linked] + [(x, None, True) for x in rest]
         pivot = table["pivot"][0].as_py()
         return pa.table({"pivot": pa.array([pivot] * len(rows), pa.int64()), "h": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "rest": pa.array([r[2] for r in rows], pa.bool_())})
 
-    sized = met.join(found.select("h", (F.col("n") * 8).alias("bytes")), "h")
-    looked = _compared(sized, sets, BLOCK, join, "pivot long, h long, b long, rest boolean", "minhash-links", passing)
+    sized = met.join(found.select("h", (F.col("n") * 8 + F.col("bytes")).alias("bytes")), "h")
+    looked = _compared(sized, facts, BLOCK, join, "pivot long, h long, b long, rest boolean", "minhash-links", passing)
     out = written(looked.filter("not rest").select(F.col("h").alias("a"), "b"), "minhash-joined")
     deleted(found.sparkSession, passing)
     return out
@@ -312,11 +320,16 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     passing: list[str] = []
     with arrow_batches(docs.sparkSession, 512):
         rows = sketched(docs, width, passing=passing)
-        found = classes(rows.filter(F.col("doc_id").isNotNull()))
+        sketches: list[str] = []
+        whole = classes(rows.filter(F.col("doc_id").isNotNull()), sketches)
         # sketches are kept once for each class from here on
         bare = written(rows.select("doc_id", "tie", "h", F.col("n").alias("n_shingles")), "minhash-rows")
         deleted(docs.sparkSession, passing)
-        roots = components(links(found, docs.filter(F.col("doc_id").isNotNull()), width, percent))
+        met = alike(whole, gatherings(whole, percent), percent)
+        # and not at all once it is known which classes may be alike
+        found = written(whole.drop("sketch"), "minhash-found")
+        deleted(docs.sparkSession, sketches)
+        roots = components(links(found, met, docs.filter(F.col("doc_id").isNotNull()), width, percent))
     rooted = found.select("h", "c", "doc_id", "copies").join(roots, found["c"] == roots["node"], "left").select("h", "doc_id", "copies", F.coalesce("root", "c").alias("root"))
     # roots of large groups are few: a group of more than one of 4096 rows is looked up by broadcast, and so is a large class
     total = bare.count()

@@ -1,3 +1,4 @@
+import os
 import re
 from itertools import combinations
 
@@ -90,6 +91,44 @@ def test_an_unrelated_leftover_is_filtered():
     assert links == [(5, 6)]
 
 
+def test_little_is_kept_on_disk(spark, monkeypatch):
+    """When texts are compared no sketch is there any more; sets are never written; without leftovers there is no second round."""
+    names, sketches, left, plans = set(), [], [], {}
+
+    def spy(df, name, passing=None):
+        names.add(name)
+        plans[name] = df._jdf.queryExecution().toString()
+        assert "set" not in df.columns
+        if name == "minhash-links":
+            left.extend(f for f in sketches if os.path.exists(f))
+        out = written(df, name, passing)
+        if "sketch" in df.columns:
+            sketches.extend(f.removeprefix("file://") for f in out.inputFiles())
+        return out
+
+    written = minhash.written
+    monkeypatch.setattr(minhash, "written", spy)
+    rows = texts(40, seed=2)
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == by_hand(rows, 2)
+    assert sketches and "minhash-links" in names and not left
+    assert not any("FlatMapGroupsInArrow" in plans[name] for name in ("minhash-alike", "minhash-joined"))
+
+
+def test_short_values_lose_no_partner():
+    """16 bits of each value find every partner that all 64 find, and hardly any more."""
+    r = np.random.default_rng(5)
+    base = np.sort(r.integers(-(2**63), 2**63 - 1, 48))
+    long = [np.sort(r.integers(-(2**63), 2**63 - 1, 48)) for _ in range(200)]
+    for i in range(100):
+        copy = base.copy()
+        copy[: i % 48] = r.integers(-(2**63), 2**63 - 1, i % 48)
+        long.append(copy)
+    sizes, names, one = np.full(300, 400), np.arange(300), np.ones(300, bool)
+    whole, short = (minhash._partnered(x, sizes, names, one, 80, 48) for x in (long, [((s & 0xFFFF) - 0x8000).astype(np.int16) for s in long]))
+    assert whole.any() and not (whole & ~short).any() and short.sum() - whole.sum() < 5
+
+
 def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 5000)
     monkeypatch.setattr(minhash, "BLOCK", 50)
