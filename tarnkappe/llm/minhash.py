@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarnkappe.llm.common import WORD, by_key
 from tarnkappe.llm.components import components
-from tarnkappe.session import arrow_batches, deleted, released, written
+from tarnkappe.session import arrow_batches, dealt, deleted, released, written
 
 K = 48
 #: Members of a block, of those with sketches (of fixed size) and of those with full sets, and bytes of these at most.
@@ -226,12 +226,13 @@ def _compared(met: DataFrame, facts: Callable[[DataFrame], DataFrame], block: in
     In the first round every block of members is looked at, with the gathering's lead in each. So the work is in
     proportion to the members, and in a group of copies few are left over that weren't joined with the lead. In the
     second these meet all other blocks; without any there is none. ``facts`` gives a row for each h of the members.
+    Blocks take long for few bytes, so the size in bytes doesn't say to how many tasks they are dealt out.
     """
     total = met.count()
     placed = written(_placed(met, block, total), f"{name}-placed", passing)
     seats = F.when(F.col("h") == F.col("lead"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     one = placed.withColumn("i", F.explode(seats)).select("pivot", "h", "lead", "i", F.lit(0).alias("j"), F.lit(True).alias("first"), (F.col("blocks") > 1).alias("more"))
-    found = written(one.join(facts(placed), "h").groupBy("pivot", "i", "j").applyInArrow(look, schema), name, passing)
+    found = written(dealt(one.join(facts(placed), "h"), "pivot", "i").groupBy("pivot", "i", "j").applyInArrow(look, schema), name, passing)
     released(found.sparkSession)
     left = found.filter("rest").select("pivot", "h").distinct()
     if left.isEmpty():
@@ -244,7 +245,7 @@ def _compared(met: DataFrame, facts: Callable[[DataFrame], DataFrame], block: in
     answers = by_key(blocks, counts, "pivot", hot).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     two = asks.select("pivot", "h", "i", "j", F.lit(True).alias("first")).unionByName(answers.select("pivot", "h", "i", F.col("block").alias("j"), F.lit(False).alias("first")))
     two = two.withColumn("lead", F.lit(0).cast("long")).withColumn("more", F.lit(False))
-    again = two.join(facts(two), "h").groupBy("pivot", "i", "j").applyInArrow(look, schema)
+    again = dealt(two.join(facts(two), "h"), "pivot", "i", "j").groupBy("pivot", "i", "j").applyInArrow(look, schema)
     return found.unionByName(again)
 
 

@@ -113,6 +113,10 @@ def test_little_is_kept_on_disk(spark, monkeypatch):
     assert got == by_hand(rows, 2)
     assert sketches and "minhash-links" in names and not left
     assert not any("FlatMapGroupsInArrow" in plans[name] for name in ("minhash-alike", "minhash-joined"))
+    # blocks are dealt out once, to a number of tasks that is given
+    for name in ("minhash-partners", "minhash-links"):
+        physical = plans[name].split("== Physical Plan ==")[1].split("FlatMapGroupsInArrow")[1]
+        assert "REPARTITION_BY_NUM" in re.search(r"Exchange[^\n]*", physical)[0]
 
 
 def test_short_values_lose_no_partner():
